@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import OP6_SQL, exact_groups
 from .mixing import OP10_SQL, mix
 
 
@@ -13,10 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents; the largest id stays."""
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 3, 1, 2 in turn, 150 % of all words, at most two epochs."""
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_mixing": op10_mixing}
-SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_exact_dedup": op6_exact_dedup, "op10_mixing": op10_mixing}
+SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
