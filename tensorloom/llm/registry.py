@@ -8,21 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP6_SQL, exact_groups
 from .mixing import OP10_SQL, mix
+from .packing import pack
+from .sharding import shard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into 24 shards of near equal bytes; equal texts stay together."""
+    return shard(table(spark, sf_dir, "documents"), 24)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents; the largest id stays."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 3, 1, 2 in turn, 150 % of all words, at most two epochs."""
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_exact_dedup": op6_exact_dedup, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
