@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import OP6_SQL, exact_groups
+from .language import held_out, identify
 from .mixing import OP10_SQL, mix
 from .packing import pack
 from .sharding import shard
@@ -21,6 +23,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from three quarters of them."""
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents; the largest id stays."""
     return exact_groups(table(spark, sf_dir, "documents"))
@@ -36,5 +43,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op3_language": op3_language, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
