@@ -12,6 +12,7 @@ from .language import held_out, identify
 from .mixing import OP10_SQL, mix
 from .packing import pack
 from .sharding import shard
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from four fifths of the labels."""
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
@@ -43,5 +50,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op3_language": op3_language, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op3_language": op3_language, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
