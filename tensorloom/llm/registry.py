@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import OP6_SQL, exact_groups
 from .language import held_out, identify
 from .mixing import OP10_SQL, mix
+from .near_dedup import OP5_SQL, near_duplicates
 from .packing import pack
 from .sharding import shard
 from .toxicity import toxicity
@@ -29,6 +30,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents, by four-word shingles and similarity 0.8."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents; the largest id stays."""
     return exact_groups(table(spark, sf_dir, "documents"))
@@ -50,5 +56,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op3_language": op3_language, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
-SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op3_language": op3_language, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+SQL: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
