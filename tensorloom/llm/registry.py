@@ -12,6 +12,7 @@ from .language import held_out, identify
 from .mixing import OP10_SQL, mix
 from .near_dedup import OP5_SQL, near_duplicates
 from .packing import pack
+from .quality import quality
 from .sharding import shard
 from .toxicity import toxicity
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each document; its source is the host, its language the section of it."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 24 shards of near equal bytes; equal texts stay together."""
     return shard(table(spark, sf_dir, "documents"), 24)
@@ -56,5 +62,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op3_language": op3_language, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_language": op3_language, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
