@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.shipping import ship
+
 from .common import written
 
 
@@ -103,6 +105,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compares bytes and chains texts that differ. hash_bits below 64 makes collisions common, for
     tests. An empty table gives no rows; other columns are not read.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.shiftleft(F.xxhash64(text), 64 - hash_bits) if hash_bits < 64 else F.xxhash64(text)
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.sha2(text, 256).alias("text_sha256")), "dedup-rows")

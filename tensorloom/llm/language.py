@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from tensorloom.functions.shipping import ship
+
+from .common import slices, written
 
 #: Documents of each language that training reads, as expected by a hash of the id.
 TRAIN_PER_LANG = 1500
@@ -80,11 +82,12 @@ def _sampled(rows: DataFrame, per_lang: int) -> DataFrame:
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = TRAIN_PER_LANG) -> Model:
     """A model of the languages of docs, from about per_lang texts of each, counted on the executors."""
+    ship(docs.sparkSession)
     rows = _sampled(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), per_lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for word, n in Counter(text.split()).items():
                     if kind := script(word):
@@ -178,7 +181,7 @@ def _label_batch(model: Model, cache: _Ids, texts: list[str | None], switch: flo
     return names, share, pa.ListArray.from_arrays(pa.array(first, pa.int32()), inner)
 
 
-def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, words_at_once: int = 1_500_000) -> DataFrame:
+def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, words_at_once: int = 600_000) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, spans.
 
     The script of a word leaves the languages that write in it; words get log likelihoods under
@@ -188,18 +191,19 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     texts are `und` with score 0, and so is all if the model has no language. Ties go to the
     language that comes first by name. Only the text is read.
     """
+    ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Ids(model)
-        for b in batches:
+        for b in slices(batches, 2_000):
             doc, texts, at = b.column(0), b.column(1).to_pylist(), 0
             while at < len(texts):
                 end, words = at, 0
                 while end < len(texts) and (end == at or words < words_at_once):
                     words += len(texts[end] or "") // 5 + 1
                     end += 1
-                if len(cache) > 1_000_000:
+                if len(cache) > 150_000:
                     cache = _Ids(model)
                 names, share, spans = _label_batch(model, cache, texts[at:end], switch)
                 yield pa.RecordBatch.from_arrays([doc.slice(at, end - at).cast(pa.int64()), pa.array(names, pa.string()), pa.array(share, pa.float64()), spans.cast(schema.types[3])], schema=schema)

@@ -10,7 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from tensorloom.functions.shipping import ship
+
+from .common import slices, written
 from .components import components
 
 #: Bands of rows of minima: a pair with similarity 0.8 shares no band in 3 of a million cases.
@@ -31,7 +33,7 @@ class _Words(dict):
     """Word to hash, as far as seen."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -83,27 +85,25 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                sets = [shingles(t, width, words) for t in part.column(1).to_pylist()]
-                full = [s for s in sets if len(s)]
-                bands, signs = np.zeros((0, BANDS), np.int64), np.zeros((0, BANDS * ROWS // 2), np.uint8)
-                if full:
-                    low = minima(full)
-                    signs = packed(low)
-                    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(full), 1))
-                    for r in range(ROWS):
-                        key = _mixed(key * _MIX + low[:, r::ROWS])
-                    bands = key.view(np.int64)
-                at_full = np.cumsum([0, *(len(s) > 0 for s in sets)])
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0).cast(pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(at_full * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64())),
-                    pa.array([signs[i].tobytes() if len(s) else None for i, s in zip(at_full, sets, strict=False)], pa.binary()),
-                ], schema=schema)
+        for part in slices(batches):
+            sets = [shingles(t, width, words) for t in part.column(1).to_pylist()]
+            full = [s for s in sets if len(s)]
+            bands, signs = np.zeros((0, BANDS), np.int64), np.zeros((0, BANDS * ROWS // 2), np.uint8)
+            if full:
+                low = minima(full)
+                signs = packed(low)
+                key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(full), 1))
+                for r in range(ROWS):
+                    key = _mixed(key * _MIX + low[:, r::ROWS])
+                bands = key.view(np.int64)
+            at_full = np.cumsum([0, *(len(s) > 0 for s in sets)])
+            yield pa.RecordBatch.from_arrays([
+                part.column(0).cast(pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(at_full * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64())),
+                pa.array([signs[i].tobytes() if len(s) else None for i, s in zip(at_full, sets, strict=False)], pa.binary()),
+            ], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, signature binary")
 
@@ -113,7 +113,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, width, words).view(np.int64) for t in b.column(1).to_pylist()]
             values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), values)], names=["id", "shingles"])
@@ -159,6 +159,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     on full sets. Buckets whose members are all connected need no further pairs, and those with
     many unconnected members go on in rounds, until no pair of two components is untried.
     """
+    ship(docs.sparkSession)
     sketch = written(sketches(docs, width, id_col, text_col), "near-sketches")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("key").agg(F.min("doc_id").alias("id")), "near-classes")

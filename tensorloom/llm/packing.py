@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from tensorloom.functions.shipping import ship
+
+from .common import numbered, slices, written
 
 #: Slots that one row of the plan is split into before they are written out.
 CHUNK = 10_000
@@ -43,7 +45,7 @@ def pieces(docs: DataFrame, size: int, vocabulary: str, id_col: str, text_col: s
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary).encode_ordinary
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), 0], dtype="<u4")
@@ -102,6 +104,7 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k.json
     takes the r-th slot that the plan has for its length. The driver sees one count per length
     (size of them at most). Rows with equal ids are packed one by one. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     found = written(pieces(docs, size, vocabulary, id_col, text_col), "pack-pieces")
     counts = {r[0]: r[1] for r in found.groupBy("length").count().collect()}

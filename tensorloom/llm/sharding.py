@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.shipping import ship
+
 from .common import numbered, written
 
 #: Groups that one task differences, and partial partitions that one task combines.
@@ -95,6 +97,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     `bytes`), as far as single groups allow. slot numbers the rows of a shard from 0 without gaps;
     equal ids are numbered in any order. grown_shard is null. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     text = F.col(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
