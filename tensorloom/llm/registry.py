@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.shipping import ship
+
 from .exact_dedup import OP6_SQL, exact_groups
 from .language import held_out, identify
 from .mixing import OP10_SQL, mix
 from .near_dedup import OP5_SQL, near_duplicates
 from .packing import pack
 from .quality import quality
+from .search import search
 from .sharding import shard
+from .substring_dedup import remove_repeats
 from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +41,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 50 = 0"), 10)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents, by four-word shingles and similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -52,6 +63,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strings of 400 bytes that occur twice leave of each document."""
+    return remove_repeats(table(spark, sf_dir, "documents"), 400)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
@@ -62,5 +78,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_language": op3_language, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_language": op3_language, "op4_search": op4_search, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
