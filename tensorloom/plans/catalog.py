@@ -65,7 +65,6 @@ VIEWS = {
     "fa": _factor_sql("fa", RANKS[0], 7, 3, 11),
     "fb": _factor_sql("fb", RANKS[1], 5, 2, 7),
     "fc": _factor_sql("fc", RANKS[2], 3, 5, 5),
-    "f3": _factor_sql("f3", 3, 5, 2, 7),
     "dims": "SELECT max(i0) + 1 AS d0, max(i1) + 1 AS d1, max(i2) + 1 AS d2 FROM x3",
 }
 
@@ -229,9 +228,9 @@ def _f3(spark: SparkSession, x: DataFrame, keep: int) -> dict[int, DataFrame]:
 
 for _m in range(3):
     _r = [k for k in range(3) if k != _m]
-    query(f"mttkrp_m{_m}", f"SELECT i{_m}, fa.r, sum(v * fa.u * f3.u) AS v FROM x3 JOIN fa ON i{_r[0]} = fa.x JOIN f3 ON i{_r[1]} = f3.x AND fa.r = f3.r GROUP BY ALL")(lambda s, d, m=_m: contract.mttkrp(x := x3(s, d), _f3(s, x, m), m, "aao"))
-query("mttkrp_fnf", "SELECT i0, fa.r, sum(v * fa.u * f3.u) AS v FROM x3 JOIN fa ON i1 = fa.x JOIN f3 ON i2 = f3.x AND fa.r = f3.r GROUP BY ALL")(lambda s, d: contract.mttkrp(x := x3(s, d), _f3(s, x, 0), 0, "fused"))
-query("mttkrp4", "SELECT i0, fa.r, sum(v * fa.u * f3.u * g.u) AS v FROM x4 JOIN fa ON i1 = fa.x JOIN f3 ON i2 = f3.x AND fa.r = f3.r JOIN f3 g ON i3 = g.x AND fa.r = g.r GROUP BY ALL")(lambda s, d: contract.mttkrp(x := x4(s, d), _f3(s, x, 0), 0))
+    query(f"mttkrp_m{_m}", f"SELECT i{_m}, r, sum(v * ((7 * i{_r[0]} + 3 * r) % 11) * ((5 * i{_r[1]} + 2 * r) % 7)) AS v FROM x3 CROSS JOIN (SELECT unnest(range(0, 3)) AS r) GROUP BY ALL")(lambda s, d, m=_m: contract.mttkrp(x := x3(s, d), _f3(s, x, m), m, "aao"))
+query("mttkrp_fnf", "SELECT i0, r, sum(v * ((7 * i1 + 3 * r) % 11) * ((5 * i2 + 2 * r) % 7)) AS v FROM x3 CROSS JOIN (SELECT unnest(range(0, 3)) AS r) GROUP BY ALL")(lambda s, d: contract.mttkrp(x := x3(s, d), _f3(s, x, 0), 0, "fused"))
+query("mttkrp4", "SELECT i0, r, sum(v * ((7 * i1 + 3 * r) % 11) * ((5 * i2 + 2 * r) % 7) * ((5 * i3 + 2 * r) % 7)) AS v FROM x4 CROSS JOIN (SELECT unnest(range(0, 3)) AS r) GROUP BY ALL")(lambda s, d: contract.mttkrp(x := x4(s, d), _f3(s, x, 0), 0))
 
 # ---- linear algebra
 
