@@ -162,6 +162,8 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np
 
 def _label_batch(model: Model, cache: _Ids, texts: list[str | None], switch: float):
     """Per text: predicted language, its share of the words with letters, and the spans."""
+    if not model.langs:
+        return ["und"] * len(texts), np.zeros(len(texts)), pa.array([[]] * len(texts), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))
     ids = [list(map(cache.__getitem__, (t or "").split())) for t in texts]
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(ids) else lengths
@@ -169,13 +171,13 @@ def _label_batch(model: Model, cache: _Ids, texts: list[str | None], switch: flo
     labels = viterbi(np.array(cache.rows), flat, starts, lengths, switch) if len(flat) else np.zeros(0, np.uint8)
     doc = np.repeat(np.arange(len(ids)), lengths)
     k = len(model.langs)
-    votes = np.bincount(doc[flat > 0] * k + labels[flat > 0], minlength=len(ids) * k).reshape(len(ids), k) if k else np.zeros((len(ids), 0))
+    votes = np.bincount(doc[flat > 0] * k + labels[flat > 0], minlength=len(ids) * k).reshape(len(ids), k)
     change = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (labels[1:] != labels[:-1])])) if len(flat) else np.zeros(0, np.int64)
     ends = np.append(change[1:], len(flat)) if len(flat) else change
     total = votes.sum(1)
-    best = votes.argmax(1) if k else np.zeros(len(ids), int)
+    best = votes.argmax(1)
     names = [model.langs[b] if n else "und" for b, n in zip(best, total, strict=True)]
-    share = np.where(total > 0, votes[np.arange(len(ids)), best] / np.maximum(total, 1), 0.0) if k else np.zeros(len(ids))
+    share = np.where(total > 0, votes[np.arange(len(ids)), best] / np.maximum(total, 1), 0.0)
     first = np.searchsorted(doc[change], np.arange(len(ids) + 1)) if len(flat) else np.zeros(len(ids) + 1, int)
     inner = pa.StructArray.from_arrays([pa.array(change - starts[doc[change]] if len(flat) else [], pa.int64()), pa.array(ends - starts[doc[change]] if len(flat) else [], pa.int64()), pa.array([model.langs[x] for x in labels[change]] if len(flat) else [], pa.string())], ["start", "end", "lang"])
     return names, share, pa.ListArray.from_arrays(pa.array(first, pa.int32()), inner)
