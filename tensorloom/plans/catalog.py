@@ -129,7 +129,7 @@ query("coo_shift", "SELECT i0 + 1 AS i0, i1 + 1 AS i1, i2 + 1 AS i2, v FROM x3")
 query("coo_permute_sorted", "SELECT i2 AS i0, i0 AS i1, i1 AS i2, v FROM x3")(lambda s, d: coo.lexicographic(coo.permute(x3(s, d), [2, 0, 1])))
 query("coo_crop", "SELECT i0 - 10 AS i0, i1, i2, v FROM x3 WHERE i0 >= 10 AND i0 < 50 AND i2 < 4")(lambda s, d: coo.crop(x3(s, d), {0: (10, 50), 2: (None, 4)}, rebase=True))
 query("coo_squash", "SELECT i0, i2 AS i1, sum(v) AS v FROM x3 GROUP BY i0, i2")(lambda s, d: coo.squash(x3(s, d), [1]))
-query("coo_squash_cube", "SELECT i0, i1, i2, sum(v) AS v FROM (SELECT i0, i1, i3 AS i2, v FROM x4) GROUP BY CUBE (i0, i1, i2)")(lambda s, d: coo.squash_cube(coo.squash(x4(s, d), [2])))
+query("coo_squash_cube", "SELECT coalesce(i0, -1) AS i0, coalesce(i1, -1) AS i1, coalesce(i2, -1) AS i2, sum(v) AS v FROM (SELECT i0, i1, i3 AS i2, v FROM x4) GROUP BY CUBE (i0, i1, i2)")(lambda s, d: coo.squash_cube(coo.squash(x4(s, d), [2])).na.fill(-1))
 query("coo_scale", "SELECT i0, i1, i2, v * 2.5 AS v FROM x3")(lambda s, d: coo.scale(x3(s, d), 2.5))
 query("coo_add", "SELECT i0, i1, i2, sum(v) AS v FROM (SELECT * FROM x3 UNION ALL SELECT i0, i1, i2 % 3, v * 2 FROM x3) GROUP BY 1, 2, 3")(lambda s, d: coo.add(x3(s, d), coo.scale(x3(s, d).withColumn("i2", F.col("i2") % 3), 2)))
 query("coo_put", "SELECT i0, i1, i2, CASE WHEN i2 = 1 THEN 1.0::DOUBLE ELSE v END AS v FROM x3")(lambda s, d: coo.put(x3(s, d), x3(s, d).where("i2 = 1").withColumn("v", F.lit(1.0))))
