@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
@@ -17,15 +17,22 @@ from .components import components
 
 #: Bands of rows of minima: a pair with similarity 0.8 shares no band in 3 of a million cases.
 BANDS, ROWS = 32, 5
-#: Bits kept of each minimum.
-BITS = 4
-#: How far below the threshold an estimate may lie: five standard errors of 160 minima.
-SLACK = 0.17
-#: Members of a bucket outside its largest component that are all tried at once.
-ALL_AT_ONCE = 64
+#: Minima of a signature, of which it keeps the lowest bit, and the 64-bit words that hold them.
+MINIMA = 2048
+WORDS = MINIMA // 64
+#: How far below the threshold an estimate may lie: five standard errors.
+SLACK = 0.067
+#: Members of a bucket outside its largest component that are tried in one round.
+ALL_AT_ONCE = 1000
 _RNG = np.random.RandomState(20_240_501)
-_A = _RNG.randint(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.randint(0, 2**62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
+
+
+def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    a = _RNG.randint(1, 2**62, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, _RNG.randint(0, 2**62, n, dtype=np.int64).astype(np.uint64)
+
+
+_OF_BANDS, _OF_SIGNATURES = _hashers(BANDS * ROWS), _hashers(MINIMA)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,92 +65,156 @@ def shingles(text: str | None, width: int, words: dict[bytes, int]) -> np.ndarra
     return np.unique(rolled)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], hashers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """(sets, minima) of non-empty sets under each of the hash functions."""
     starts = np.cumsum([0, *map(len, sets[:-1])])
     flat = np.concatenate(sets)
-    return np.stack([np.minimum.reduceat(flat * a + b, starts) for a, b in zip(_A, _B, strict=True)], axis=1)
+    return np.stack([np.minimum.reduceat(flat * a + b, starts) for a, b in zip(*hashers, strict=True)], axis=1)
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """The low BITS of each minimum, two to a byte."""
-    x = ((low >> np.uint64(32)) & np.uint64(2**BITS - 1)).astype(np.uint8)
-    return x[:, ::2] | (x[:, 1::2] << 4)
+    """(sets, WORDS): a low bit of each minimum, 64 to a word.
+
+    It is taken from the middle of the number, as a minimum's upper bits are mostly 0, and the
+    lowest ones of a product hang on few bits.
+    """
+    x = (low >> np.uint64(32)) & np.uint64(1)
+    return np.bitwise_or.reduce(x.reshape(len(x), WORDS, 64) << np.arange(64, dtype=np.uint64), axis=2).view(np.int64)
+
+
+def banded(low: np.ndarray) -> np.ndarray:
+    """(sets, BANDS): a key for each band, of its number and its minima."""
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(low), 1))
+    for r in range(ROWS):
+        key = _mixed(key * _MIX + low[:, r::ROWS])
+    return key.view(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The similarity of signatures (rows of bytes), corrected for minima whose low bits agree by chance."""
-    x = a ^ b
-    agree = ((x & 15 == 0).sum(1) + (x >> 4 == 0).sum(1)) / (2.0 * x.shape[1])
-    chance = 2.0**-BITS
-    return (agree - chance) / (1 - chance)
+def similarity(a: Column, b: Column) -> Column:
+    """The similarity of two signatures (arrays of WORDS longs), by counting the bits that differ.
+
+    Of minima that differ, half agree in one bit, for which the count is corrected.
+    """
+    differ = F.lit(0)
+    for w in range(WORDS):
+        differ = differ + F.bit_count(a[w].bitwiseXOR(b[w]))
+    return 1 - differ * (2.0 / MINIMA)
+
+
+def likely(least: float) -> Column:
+    """Whether rows a and b, by their sizes and signatures, can have a similarity of least."""
+    return (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6) & (similarity(F.col("sign_a"), F.col("sign_b")) >= least - SLACK)
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, the set's 128-bit key, bands, signature."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+    """One row per input row: doc_id, n_shingles, the set's 128-bit key, bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for part in slices(batches):
             sets = [shingles(t, width, words) for t in part.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
-            bands, signs = np.zeros((0, BANDS), np.int64), np.zeros((0, BANDS * ROWS // 2), np.uint8)
+            bands = np.zeros((0, BANDS), np.int64)
             if full:
-                low = minima(full)
-                signs = packed(low)
-                key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(full), 1))
-                for r in range(ROWS):
-                    key = _mixed(key * _MIX + low[:, r::ROWS])
-                bands = key.view(np.int64)
+                bands = banded(minima(full, _OF_BANDS))
             at_full = np.cumsum([0, *(len(s) > 0 for s in sets)])
             yield pa.RecordBatch.from_arrays([
                 part.column(0).cast(pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(at_full * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64())),
-                pa.array([signs[i].tobytes() if len(s) else None for i, s in zip(at_full, sets, strict=False)], pa.binary()),
             ], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, signature binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of docs (id, text)."""
+    """(id, n, shingles, signature, bands) of docs (id, text) that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in slices(batches):
-            sets = [shingles(t, width, words).view(np.int64) for t in b.column(1).to_pylist()]
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), values)], names=["id", "shingles"])
+            sets = [shingles(t, width, words) for t in b.column(1).to_pylist()]
+            at = np.cumsum([0, *map(len, sets)])
+            signs = packed(minima(sets, _OF_SIGNATURES)).ravel()
+            bands = banded(minima(sets, _OF_BANDS)).ravel()
+            rows = lambda width, x: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * width, pa.int32()), pa.array(x))  # noqa: B023, E731
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))), rows(WORDS, signs), rows(BANDS, bands)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], names=["id", "n", "shingles", "signature", "bands"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(run, "id long, n long, shingles array<long>, signature array<long>, bands array<long>")
 
 
-def _likely(pairs: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b, sign_a, sign_b) those with an estimate of at least `least`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            keep = pa.array(similarity(x, y) >= least) if b.num_rows else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), each once, whose full sets have 100 * intersection >= percent * union."""
-    own = lambda x: signs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"sign_{x}"))
-    near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    near = near.join(own("a"), "a").join(own("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = written(_likely(near.select("a", "b", "sign_a", "sign_b"), percent / 100 - SLACK), "near-likely")
+    near = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return written(full.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "near-links")
 
 
+def _sided(members: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """Members of buckets, with their signatures, as one side of pairs."""
+    own = sets.select("id", F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"sign_{side}"))
+    return members.join(own, "id").select("bucket", F.col("id").alias(side), f"n_{side}", f"sign_{side}")
+
+
+#: Members of a bucket that meet all its pivots in one piece of work.
+CHUNK = 512
+
+
+def _likely_in_buckets(now: DataFrame, pivots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of a pivot and a member of its bucket, in different components, that can be similar.
+
+    now has (bucket, band, id, component, met), met the size of the bucket. A bucket's members are
+    cut into chunks, and its pivots go to each of them. A pair comes up in the first band that it
+    shares, and in no other.
+    """
+    cells = sets.select("id", "n", "signature", "bands")
+    chunks = F.ceil(F.col("met") / CHUNK).cast("int")
+    role = lambda df, r, chunk: df.select("bucket", "band", chunk.alias("chunk"), F.lit(r).alias("role"), "id", "component")
+    both = role(now.join(pivots, ["bucket", "id"], "left_semi"), 0, F.explode(F.sequence(F.lit(0), chunks - 1))).unionByName(role(now, 1, F.pmod(F.xxhash64("id"), chunks).cast("int")))
+
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        col = lambda k: t.column(k).combine_chunks()
+        pivot = col("role").to_numpy() == 0
+        ids, comps, n = (col(k).to_numpy() for k in ("id", "component", "n"))
+        signs, bands = (col(k).flatten().to_numpy().reshape(len(ids), -1) for k in ("signature", "bands"))
+        band, out = int(col("band")[0].as_py()), []
+        step = max(1, (1 << 19) // (WORDS * max(1, int((~pivot).sum()))))
+        at = np.flatnonzero(pivot)
+        for i in range(0, len(at), step):
+            p, m = at[i : i + step, None], np.flatnonzero(~pivot)[None, :]
+            ok = (comps[p] != comps[m]) & (np.minimum(n[p], n[m]) >= least * np.maximum(n[p], n[m]) - 1e-6)
+            p, m = (np.broadcast_to(x, ok.shape)[ok] for x in (p, m))
+            if band:
+                new = ~(bands[p, :band] == bands[m, :band]).any(1)
+                p, m = p[new], m[new]
+            near = 1 - np.bitwise_count((signs[p] ^ signs[m]).view(np.uint64)).sum(1) * (2.0 / MINIMA) >= least - SLACK
+            out.append((ids[p[near]], ids[m[near]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]) if out else [], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            key = np.stack([b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64)], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x < y:
+                    if last is not None and last != tuple(key[x]):
+                        yield solve(held)
+                        held = []
+                    held.append(b.slice(x, y - x))
+                    last = tuple(key[x])
+        if held:
+            yield solve(held)
+
+    dealt = both.join(cells, "id").select("bucket", "band", "chunk", "role", "id", "component", "n", "signature", "bands")
+    return dealt.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "role").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -154,9 +225,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     null ids are joined to nothing and stay, with a null component_id. An empty table gives no rows.
 
     Rows with equal sets are one class. Classes that share a band meet in a bucket: first each
-    with the bucket's least id, then every member outside the bucket's largest component with all
-    that are in other components. Pairs that their b-bit signatures leave possible are confirmed
-    on full sets. Buckets whose members are all connected need no further pairs, and those with
+    with the member that meets most others, then every member outside the bucket's largest
+    component with all that are in other components. Pairs that their b-bit signatures leave
+    possible are confirmed on full sets. Buckets whose members are all connected need no further pairs, and those with
     many unconnected members go on in rounds, until no pair of two components is untried.
     """
     ship(docs.sparkSession)
@@ -164,38 +235,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("key").agg(F.min("doc_id").alias("id")), "near-classes")
     reps = usable.join(classes.select("id"), usable["doc_id"] == classes["id"], "left_semi").dropDuplicates(["doc_id"])
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(members.join(shared.drop("n"), "bucket"), "near-members")
-    ids = written(members.select("id").distinct(), "near-ids")
-    signs = written(reps.join(ids, reps["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), "near-signatures")
+    members = reps.select(F.posexplode("bands").alias("band", "bucket"), F.col("doc_id").alias("id"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    members = written(members.join(shared, "bucket"), "near-members")
+    ids = written(members.groupBy("id").agg(F.sum("met").alias("met")), "near-ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(full_sets(texts.join(ids, "id", "left_semi"), width), "near-sets")
+    sets = written(full_sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]), "near-sets")
 
-    links = _confirmed(members.select(F.col("first").alias("a"), F.col("id").alias("b")), signs, sets, percent)
+    # The member that meets most others in its buckets is the likeliest to be what they were copied from.
+    centres = members.join(ids.withColumnRenamed("met", "weight"), "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("id"))
+    members, least = members.drop("met"), percent / 100
+    pairs = _sided(members, sets, "b").join(_sided(centres, sets, "a"), "bucket").where((F.col("a") != F.col("b")) & likely(least))
+    links = _confirmed(pairs, sets, percent)
     labels = components(links)
-    members, tried = members.drop("first"), None
+    tried = None
     while True:
         # Members by bucket with their component; buckets of one component are done.
-        now = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        sizes = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
-        now = written(now.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket"), "near-open")
-        rest = now.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("of_a"))
+        now = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all")).where("all > top.m")
+        now = written(now.join(largest.select("bucket", F.col("top.component").alias("main"), F.col("all").alias("met")), "bucket"), "near-open")
+        rest = now.where("component <> main").select("bucket", "id")
         if tried is not None:
-            rest = rest.join(tried, ["bucket", "a"], "left_anti")
+            rest = rest.join(tried, ["bucket", "id"], "left_anti")
+        rest = written(rest, "near-rest")
         if rest.isEmpty():
             break
-        rest = written(rest, "near-rest")
-        few = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        small = rest.join(few.where(F.col("n") <= ALL_AT_ONCE).select("bucket"), "bucket", "left_semi")
-        some = rest.join(few.where(F.col("n") > ALL_AT_ONCE).select("bucket"), "bucket", "left_semi").groupBy("bucket", F.pmod(F.xxhash64("a"), F.lit(16)).alias("part")).agg(F.min_by("of_a", "a").alias("of_a"), F.min("a").alias("a")).select("bucket", "a", "of_a")
+        few = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+        small = rest.join(few.where(F.col("m") <= ALL_AT_ONCE).select("bucket"), "bucket", "left_semi")
+        some = rest.join(few.where(F.col("m") > ALL_AT_ONCE).select("bucket"), "bucket", "left_semi").groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(ALL_AT_ONCE)).alias("part")).agg(F.min("id").alias("id")).select("bucket", "id")
         pivots = written(small.unionByName(some), "near-pivots")
-        pairs = pivots.join(now.select("bucket", F.col("id").alias("b"), F.col("component").alias("of_b")), "bucket").where("of_a <> of_b")
-        found = _confirmed(written(pairs.select("a", "b").distinct(), "near-pairs"), signs, sets, percent)
-        tried = pivots.select("bucket", "a") if tried is None else written(tried.unionByName(pivots.select("bucket", "a")), "near-tried")
-        links = links.unionByName(found)
+        pairs = _likely_in_buckets(now, pivots, sets, least)
+        found = _confirmed(pairs, sets, percent)
+        tried = pivots if tried is None else written(tried.unionByName(pivots), "near-tried")
         if not found.isEmpty():
+            links = links.unionByName(found)
             labels = components(links)
     of_class = classes.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     linked = usable.select("doc_id", "n_shingles", "key").join(of_class, "key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
