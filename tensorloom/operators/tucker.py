@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions.factors import orthonormal
 from tensorloom.functions.tables import written
 
-from .contract import mttkrp, rank, ttm, ttmc  # noqa: F401
+from .contract import rank, ttmc
 from .coo import modes
 from .linalg import gram, left_singular, local, ridge_rows
 
