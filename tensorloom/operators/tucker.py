@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions.factors import orthonormal
 from tensorloom.functions.tables import written
 
-from .contract import rank, ttmc
+from .contract import rank, ttm_chain, ttmc
 from .coo import modes
 from .linalg import gram, left_singular, local, ridge_rows
 
@@ -60,6 +60,15 @@ def fit_of_core(norm_sq: float, core_sq: float) -> float:
     return 1 - math.sqrt(max(0.0, norm_sq - core_sq)) / math.sqrt(norm_sq) if norm_sq else 1.0
 
 
+def _projected(x: DataFrame, factors: Sequence[DataFrame], mode: int, strategy: str) -> DataFrame:
+    """x times all factors but that of mode, as ttmc() has it; `chain` takes one factor after the other."""
+    if strategy != "chain":
+        return ttmc(x, dict(enumerate(factors)), mode, strategy)
+    rest = [m for m in range(len(factors)) if m != mode]
+    y = ttm_chain(x, {m: factors[m] for m in rest})
+    return y.select(f"i{mode}", *(F.col(f"i{m}").alias(f"r{k}") for k, m in enumerate(rest)), "v")
+
+
 def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 25, tolerance: float = 1e-5, seed: int = 42, strategy: str = "fused", order: Sequence[int] | None = None) -> Tucker:
     """Higher-order orthogonal iteration; modes are updated from the last to the first, or in `order`.
 
@@ -78,7 +87,7 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
     for _ in range(sweeps):
         for mode in order:
             rest = [m for m in range(n) if m != mode]
-            y, names = _spread(ttmc(x, dict(enumerate(factors)), mode, strategy), f"i{mode}", [rank(factors[m]) for m in rest])
+            y, names = _spread(_projected(x, factors, mode, strategy), f"i{mode}", [rank(factors[m]) for m in rest])
             y = written(y, "tucker-y")
             u, sigma = left_singular(y, names, ranks[mode])
             factors[mode] = written(u, "tucker-factor")
@@ -92,7 +101,7 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
 
 def hooi_chain(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 50, tolerance: float = 1e-5, seed: int = 42, order: Sequence[int] | None = None) -> Tucker:
     """hooi() in ascending mode order, with the tensor times the factors one at a time (a chain of ttm)."""
-    return hooi(x, dims, ranks, sweeps, tolerance, seed, "aao", order or range(len(dims)))
+    return hooi(x, dims, ranks, sweeps, tolerance, seed, "chain", order or range(len(dims)))
 
 
 def deltas(x: DataFrame, factors: Sequence[DataFrame], core_: np.ndarray, mode: int) -> DataFrame:
