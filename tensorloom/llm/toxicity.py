@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from tensorloom.functions.shipping import ship
+
+from .common import slices, written
 from .language import held_out
 
 #: Labelled documents of each class that training reads, as expected by a hash of the id.
@@ -35,7 +37,7 @@ def folded(text: str | None) -> str:
     punctuation, as is a lone number.
     """
     words = (text or "").lower().split()
-    return f" {' '.join(' '.join(w.rstrip('$@').translate(_TABLE) for w in words).split())} "
+    return f" {' '.join(' '.join(w.rstrip('$@!.,;:?').translate(_TABLE) for w in words).split())} "
 
 
 def _prefixes(word: str) -> Iterator[str]:
@@ -44,13 +46,16 @@ def _prefixes(word: str) -> Iterator[str]:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(toxic, text) of about per_class labelled documents of each class, written once."""
+    """(toxic, text) of about per_class labelled documents of each class, written once.
+
+    That bounds the chosen labels, which go to all tasks, so that texts stay where they are.
+    """
     counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     share = F.lit(0.0)
     for k in (0, 1):
         share = F.when(F.col("toxic") == k, F.lit(min(1.0, per_class / max(1, counts.get(k, 0))))).otherwise(share)
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
-    return written(docs.join(chosen, "doc_id").select("toxic", "text"), "tox-sample")
+    return written(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "tox-sample")
 
 
 def _counted(sample: DataFrame, items) -> DataFrame:
@@ -58,7 +63,7 @@ def _counted(sample: DataFrame, items) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
-        for b in batches:
+        for b in slices(batches):
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for x in items(text):
                     found.setdefault(x, [0, 0])[toxic] += 1
@@ -130,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     Terms are word starts of 3 to 10 letters whose log odds of standing in a toxic document are
     high; exceptions are the two-word phrases around a term that only clean documents have.
     """
+    ship(docs.sparkSession)
     sample = _sampled(docs.select("doc_id", "text"), labels, per_class)
     sizes = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     toxic, clean = sizes[0] or 0, sizes[1] or 0
@@ -159,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton() if terms else None
-        for b in batches:
+        for b in slices(batches):
             x = []
             for text in b.column(1).to_pylist():
                 text = folded(text)
@@ -179,12 +185,13 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     all, gives the score. Null and empty texts have no match and get the score of such texts. Only
     the text is read.
     """
+    ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_matches", pa.int64()), ("words", pa.int64())])
     c, a, b_ = lexicon.scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton() if lexicon.terms else None
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column(1).to_pylist():
                 text = folded(text)
