@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,19 +24,21 @@ MODEL_WORDS, MODEL_GRAMS = 40_000, 20_000
 SWITCH, FLOOR = 8.0, 6.0
 #: First code point of each range of letters (fixed values of the Unicode blocks).
 SCRIPTS = ((0x41, "latin"), (0x250, "ipa"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "indic"), (0xE00, "thai"), (0xE80, "lao"), (0x1000, "asian"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"))
-_STARTS = np.array([s for s, _ in SCRIPTS])
+_STARTS = [s for s, _ in SCRIPTS]
 
 
 def script(word: str) -> str | None:
     """The script of the first letter; None without a letter."""
     for c in word:
         if c.isalpha():
-            return SCRIPTS[max(0, int(np.searchsorted(_STARTS, ord(c), "right")) - 1)][1]
+            return SCRIPTS[max(0, bisect.bisect_right(_STARTS, ord(c)) - 1)][1]
     return None
 
 
 def plain(word: str) -> str:
     """The word in lower case from its first to its last letter."""
+    if word.isalpha():
+        return word.lower()
     n, m = 0, len(word)
     while n < m and not word[n].isalpha():
         n += 1
@@ -51,25 +54,43 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Log likelihoods by language; scripts: those in which a language writes."""
+    """Log likelihoods by language, a row for each word and trigram; scripts: those in which a language writes.
+
+    The last row of gram_rows is that of trigrams the model has not seen.
+    """
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
     scripts: dict[str, np.ndarray]
-    gram_floor: np.ndarray
 
-    def score(self, word: str) -> np.ndarray | None:
-        """How much the word speaks for each language, 0 for the best; None without a letter."""
-        kind = script(word)
-        if kind is None:
-            return None
-        allowed = self.scripts.get(kind)
-        own = self.words.get(low := plain(word))
-        if own is None:
-            own = sum((self.grams.get(g, self.gram_floor) for g in grams(low)), np.zeros(len(self.langs)))
-        own = np.maximum(own - own.max(), -FLOOR)
-        return own if allowed is None or not allowed.any() else np.where(allowed, own, -2 * FLOOR)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """How much each word, which has letters, speaks for each language; 0 for the best."""
+        out = np.empty((len(words), len(self.langs)))
+        known, known_at, flat, starts, unknown = [], [], [], [], []
+        other = len(self.grams)
+        for n, word in enumerate(words):
+            low = plain(word)
+            at = self.words.get(low)
+            if at is not None:
+                known.append(n)
+                known_at.append(at)
+            else:
+                unknown.append(n)
+                starts.append(len(flat))
+                flat += [self.grams.get(g, other) for g in grams(low)]
+        out[known] = self.word_rows[known_at]
+        if unknown:
+            out[unknown] = np.add.reduceat(self.gram_rows[flat], starts)
+        out = np.maximum(out - out.max(1, keepdims=True), -FLOOR)
+        kinds = np.array([script(w) for w in words])
+        for kind in set(kinds.tolist()):
+            allowed = self.scripts.get(kind)
+            if allowed is not None and allowed.any():
+                out[np.ix_(kinds == kind, ~allowed)] = -2 * FLOOR
+        return out
 
 
 def _sampled(rows: DataFrame, per_lang: int) -> DataFrame:
@@ -103,31 +124,33 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     langs = sorted({r["lang"] for r in totals})
     size = {kind: np.array([sum(r["n"] for r in totals if (r["kind"], r["lang"]) == (kind, x)) for x in langs], float) for kind in "swg"}
 
-    def vectors(kind: str, most: int, prior: float) -> dict[str, np.ndarray]:
-        out = {}
-        for r in items.where(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(most).collect():
-            own = {x["lang"]: x["n"] for x in r["by"]}
-            out[r["item"]] = np.log((np.array([own.get(x, 0) for x in langs]) + prior) / (size[kind] + prior * most))
-        return out
+    def rows_of(kind: str, most: int, prior: float) -> tuple[dict[str, int], np.ndarray]:
+        found = items.where(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(most).collect()
+        counts_ = np.zeros((len(found) + 1, len(langs)))
+        place = {x: n for n, x in enumerate(langs)}
+        for n, r in enumerate(found):
+            for x in r["by"]:
+                counts_[n, place[x["lang"]]] = x["n"]
+        return {r["item"]: n for n, r in enumerate(found)}, np.log((counts_ + prior) / (size[kind] + prior * most))
 
-    scripts = {k: np.exp(v) > 0.002 for k, v in vectors("s", 64, 0.0001).items()}
-    return Model(langs, vectors("w", MODEL_WORDS, 0.05), vectors("g", MODEL_GRAMS, 0.5), scripts, np.log(0.5 / (size["g"] + 0.5 * MODEL_GRAMS)) if langs else np.zeros(0))
+    names, rates = rows_of("s", 64, 0.0001)
+    return Model(langs, *rows_of("w", MODEL_WORDS, 0.05), *rows_of("g", MODEL_GRAMS, 0.5), {k: np.exp(rates[n]) > 0.002 for k, n in names.items()})
 
 
 class _Ids(dict):
     """Word to row of scores; row 0 is that of a word without letters."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, [np.zeros(len(model.langs))]
+        self.model, self.rows, self.n = model, [np.zeros((1, len(model.langs)))], 1
 
-    def __missing__(self, word: str) -> int:
-        own = self.model.score(word)
-        if own is None:
-            self[word] = 0
-            return 0
-        self.rows.append(own)
-        self[word] = len(self.rows) - 1
-        return self[word]
+    def learn(self, texts: list[list[str]]) -> None:
+        """Gives the words of texts their rows."""
+        new = [w for w in set().union(*texts) if w not in self]
+        lettered = [w for w in new if script(w) is not None]
+        self.update(dict.fromkeys(new, 0))
+        self.update(zip(lettered, range(self.n, self.n + len(lettered)), strict=True))
+        self.n += len(lettered)
+        self.rows = [np.concatenate([*self.rows, self.model.scores(lettered)])] if lettered else self.rows
 
 
 def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -163,11 +186,13 @@ def _label_batch(model: Model, cache: _Ids, texts: list[str | None], switch: flo
     """Per text: predicted language, its share of the words with letters, and the spans."""
     if not model.langs:
         return ["und"] * len(texts), np.zeros(len(texts)), pa.array([[]] * len(texts), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))
-    ids = [list(map(cache.__getitem__, (t or "").split())) for t in texts]
+    tokens = [(t or "").split() for t in texts]
+    cache.learn(tokens)
+    ids = [list(map(cache.__getitem__, own)) for own in tokens]
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(ids) else lengths
     flat = np.fromiter((x for own in ids for x in own), np.int64, int(lengths.sum()))
-    labels = viterbi(np.array(cache.rows), flat, starts, lengths, switch) if len(flat) else np.zeros(0, np.uint8)
+    labels = viterbi(cache.rows[0], flat, starts, lengths, switch) if len(flat) else np.zeros(0, np.uint8)
     doc = np.repeat(np.arange(len(ids)), lengths)
     k = len(model.langs)
     votes = np.bincount(doc[flat > 0] * k + labels[flat > 0], minlength=len(ids) * k).reshape(len(ids), k)
