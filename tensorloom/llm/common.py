@@ -2,59 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
+from tensorloom.functions.tables import written  # noqa: F401  the operators' own way to cut lineage
 
 #: A word: a run of anything but ASCII white space (fixed by the contract).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Spark's setting that shuffle files go when the query that made them ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset: a temporary folder for a local master (tests), else a folder in the
-    warehouse, which a cluster shares too.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        own = tempfile.mkdtemp(prefix="tensorloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as a Parquet table in the shared folder and read again.
-
-    Cuts the lineage, so that a lost executor costs no more than the step that it was in. The
-    shuffle files of the step go with its end, as nothing reads them again.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(at)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(at)
-
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so that a worker holds few texts as Python objects."""
