@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -23,14 +24,21 @@ CHUNK = 10_000
 
 @lru_cache(1)
 def _encoder(path: str):
-    """The vocabulary's encoder. A .json path names the same merges in its .tiktoken twin, which is faster."""
+    """The vocabulary's encoder. A .json path names the same merges in its .tiktoken twin, which is faster.
+
+    The twin lacks the added tokens of the JSON, which are found inside a text before any merge.
+    """
     import public_tokenizers
     import tiktoken
 
     twin = path.removesuffix(".json") + ".tiktoken"
+    with open(public_tokenizers.path(path), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if odd := [a["content"] for a in added if a["lstrip"] or a["rstrip"] or a["single_word"]]:
+        raise ValueError(f"{path}: added tokens that take the text around them aren't supported: {odd}")
     with open(public_tokenizers.path(twin), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(twin, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(twin, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={a["content"]: a["id"] for a in added})
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -44,11 +52,11 @@ def pieces(docs: DataFrame, size: int, vocabulary: str, id_col: str, text_col: s
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(vocabulary).encode
         for b in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), 0], dtype="<u4")
+                ids = np.array([*encode(text or "", allowed_special="all"), 0], dtype="<u4")
                 out += [(doc, k, at, n, zlib.crc32(ids[at : at + n])) for k, (at, n) in enumerate(cut(len(ids), size))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
 

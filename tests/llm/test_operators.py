@@ -191,6 +191,24 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    """Ids are those of the tokenizer as it is loaded, which knows its added token inside a text."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t, end = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    r = np.random.RandomState(7)
+    bits = [end, end, "<|endoftext", "|>", " ", "  ", "\n", "\t ", "é", "it's", " 12", "word", " word", "日本", "\u00a0"]
+    texts = [f"hello {end} world", end, end * 3, f" {end} ", f"a  {end}  b", *("".join(r.choice(bits, r.randint(1, 30))) for _ in range(300))]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 10**6, "byte_bpe_50k.json", "doc_id", "text").collect()
+    assert t.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    assert len(got) == len(texts)
+    for x in got:
+        ids = np.array([*t.encode(texts[x["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
+        assert (x["piece"], x["start"], x["length"], x["ids_crc32"]) == (0, 0, len(ids), zlib.crc32(ids))
+
+
 def best_fit(lengths, size):
     bins = []
     for n in sorted(lengths, reverse=True):
