@@ -142,6 +142,16 @@ for _m, _col in ((0, "i1 * d2 + i2"), (1, "i0 * d2 + i2"), (2, "i0 * d1 + i1")):
 query("linearise", "SELECT CAST((i0 * d1 + i1) * d2 + i2 AS BIGINT) AS pos, v FROM x3, dims")(lambda s, d: coo.linearise(x := x3(s, d), sizes(x)))
 query("delinearise", "SELECT * FROM x3")(lambda s, d: coo.delinearise(coo.linearise(x := x3(s, d), sizes(x)), sizes(x)))
 query("densify_small", "SELECT a AS i0, b AS i1, c AS i2, coalesce(v, 0) AS v FROM (SELECT unnest(range(0, 12)) AS a), (SELECT unnest(range(0, 20)) AS b), (SELECT unnest(range(0, 8)) AS c) LEFT JOIN x3 ON a = i0 AND b = i1 AND c = i2")(lambda s, d: coo.densify(coo.crop(x3(s, d), {0: (0, 12), 1: (0, 20)}), [12, 20, 8]))
+_MONTHS = "SELECT CAST(month(l_shipdate) - 1 AS BIGINT) AS i0, CAST(l_linenumber AS BIGINT) AS i1, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
+
+
+@query("densify_months", f"WITH m AS ({_MONTHS}) SELECT a AS i0, b AS i1, coalesce(v, 0) AS v FROM (SELECT unnest(range(0, (SELECT max(i0) + 1 FROM m))) AS a) CROSS JOIN (SELECT unnest(range(0, (SELECT max(i1) + 1 FROM m))) AS b) LEFT JOIN m ON a = i0 AND b = i1")
+def _densify_months(spark, sf_dir):
+    """All order lines by month and line number, a tensor that is small as a whole."""
+    x = coo.from_columns(_table(spark, sf_dir, "lineitem"), [F.month("l_shipdate") - 1, "l_linenumber"], "l_quantity")
+    return coo.densify(x, sizes(x))
+
+
 query("chunks_roundtrip", "SELECT i0, i1, c AS i2, coalesce(v, 0) AS v FROM (SELECT DISTINCT i0, i1 FROM x3) CROSS JOIN (SELECT unnest(range(0, 8)) AS c) LEFT JOIN (SELECT i0, i1, i2 AS c, v FROM x3) USING (i0, i1, c)")(lambda s, d: coo.unchunk(coo.chunks(x3(s, d), 2, 8), 2))
 query("topk_values", "SELECT * FROM x3 ORDER BY v DESC, i0, i1, i2 LIMIT 100")(lambda s, d: coo.top(x3(s, d), 100))
 query("limit_sorted", "SELECT * FROM x3 ORDER BY i0, i1, i2 LIMIT 50")(lambda s, d: coo.first(x3(s, d), 50))
@@ -205,6 +215,22 @@ query("task_ranges", f"SELECT i0, CAST(CASE WHEN big THEN -1 - place ELSE place
 
 query("gemm", 'SELECT a."row", b."row" AS col, sum(a.v * b.v) AS v FROM s2 a JOIN s2 b ON a.col = b.col WHERE b."row" < 40 GROUP BY 1, 2')(lambda s, d: contract.gemm(m := s2(s, d), coo.transpose(m.where("row < 40"))))
 query("gemv_affine", 'SELECT "row", r AS col, sum(v) AS v FROM (SELECT s2."row", r, s2.v * u AS v FROM s2 JOIN fa ON col = x UNION ALL SELECT x, r, u FROM fa WHERE x < 1000) GROUP BY 1, 2')(lambda s, d: contract.affine(m := s2(s, d), contract.narrow(_a(s, int(m.agg(F.max("col")).first()[0]) + 1)), contract.narrow(_a(s, 1000))))
+
+
+@query("gemm_nations", 'SELECT s2.col AS "row", CAST(c_nationkey AS BIGINT) AS col, sum(v) AS v FROM s2 JOIN customer ON c_custkey = s2."row" GROUP BY 1, 2')
+def _gemm_nations(spark, sf_dir):
+    """All of S2, transposed, times the nations of the customers."""
+    nations = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("row"), F.col("c_nationkey").cast("long").alias("col"), F.lit(1.0).alias("v"))
+    return contract.gemm(coo.transpose(s2(spark, sf_dir)), nations)
+
+
+@query("gemv_affine_all", 'SELECT "row", r AS col, sum(v) AS v FROM (SELECT "row", r, v * ((7 * col + 3 * r) % 11) AS v FROM s2 CROSS JOIN (SELECT unnest(range(0, 3)) AS r) UNION ALL SELECT x, r, CAST((7 * x + 3 * r) % 11 AS DOUBLE) FROM (SELECT unnest(range(0, (SELECT max("row") + 1 FROM s2))) AS x) CROSS JOIN (SELECT unnest(range(0, 3)) AS r)) GROUP BY 1, 2')
+def _gemv_affine_all(spark, sf_dir):
+    """S2 times A, and an offset for each row of S2."""
+    rows, cols = sizes((m := s2(spark, sf_dir)).select(F.col("row").alias("i0"), F.col("col").alias("i1"), "v"))
+    return contract.affine(m, contract.narrow(_a(spark, cols)), contract.narrow(_a(spark, rows)))
+
+
 query("spmm", 'SELECT "row", r AS col, sum(v * u) AS v FROM s2 JOIN fa ON col = x GROUP BY 1, 2')(lambda s, d: contract.narrow(contract.spmm(m := s2(s, d), _a(s, int(m.agg(F.max("col")).first()[0]) + 1)).withColumnRenamed("row", "x")))
 query("spmm_identity", "SELECT * FROM s2")(lambda s, d: contract.gemm(m := s2(s, d), fac.identity(s, int(m.agg(F.max("col")).first()[0]) + 1)))
 for _m in range(3):
@@ -388,12 +414,25 @@ def _mtx_symmetric(spark, sf_dir):
     return text.parse_mtx(lines, symmetric=True)
 
 
+@query("mtx_symmetric_all", 'SELECT "row", col, v FROM s2 WHERE "row" >= col UNION ALL SELECT col, "row", v FROM s2 WHERE "row" > col')
+def _mtx_symmetric_all(spark, sf_dir):
+    """All entries of S2 on and below the diagonal, as symmetric storage."""
+    lines = s2(spark, sf_dir).where("row >= col").select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "v").alias("value"))
+    return text.parse_mtx(lines, symmetric=True)
+
+
 @query("csf_text_roundtrip", "SELECT i0, i1, i2, v FROM x3 WHERE i1 < 50")
 def _csf_text(spark, sf_dir):
     x = x3(spark, sf_dir).where("i1 < 50")
     return text.csf_to_coo(written(text.parse_csf(text.csf_lines(x, sizes(x)).select("value")), "csf-text"), 3)
 
 
+@query("csf_text_roundtrip_all", "SELECT * FROM x3")
+def _csf_text_all(spark, sf_dir):
+    x = x3(spark, sf_dir)
+    return text.csf_to_coo(written(text.parse_csf(text.csf_lines(x, sizes(x)).select("value")), "csf-text"), 3)
+
+
 @query("dense_text_roundtrip", 'SELECT x AS "row", r AS col, u AS v FROM fa WHERE x < (SELECT d1 FROM dims)')
 def _dense_text(spark, sf_dir):
     return text.parse_dense(text.dense_lines(contract.narrow(_a(spark, sizes(x3(spark, sf_dir))[1])), RANKS[0]))

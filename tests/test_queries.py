@@ -38,3 +38,17 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(duck.execute(catalog.SQL[name]).df())
     else:
         assert len(got)
+
+
+@pytest.mark.skipif(not os.path.isdir(HERE), reason="the tables aren't here")
+def test_whole_tables(spark, duck):
+    """Beside each query over a subset of ids there is one that takes whole tables."""
+    run = lambda name: catalog.QUERIES[name](spark, HERE).toPandas()
+    total, orders = (duck.execute(f"SELECT sum(l_quantity) FROM lineitem {j}").fetchone()[0] for j in ("", "JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey"))
+    assert run("gemm_nations")["v"].sum() == orders
+    assert run("densify_months")["v"].sum() == total
+    assert run("csf_text_roundtrip_all")["v"].sum() == total
+    s2 = run("transpose")
+    below, diagonal = s2[s2["col"] >= s2["row"]]["v"].sum(), s2[s2["col"] == s2["row"]]["v"].sum()
+    assert run("mtx_symmetric_all")["v"].sum() == 2 * below - diagonal
+    assert set(run("gemv_affine_all")["row"]) == set(range(int(s2["col"].max()) + 1))
