@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tensorloom.functions.tables import written  # noqa: F401  the operators' own way to cut lineage
+from tensorloom.functions.tables import ordinals, written
 
 #: A word: a run of anything but ASCII white space (fixed by the contract).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,3 +43,18 @@ def numbered(df: DataFrame, group: Sequence[str], cell: Column, order: Sequence[
     cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     local = df.withColumn("_local", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
     return local.join(cells.drop("_n"), keys).withColumn(name, (F.col("_first") + F.col("_local")).cast("long")).drop("_cell", "_local", "_first")
+
+
+def row_keys(docs: DataFrame, id_col: str, nulls_last: bool = False) -> tuple[DataFrame, str]:
+    """docs, and the column that tells its rows apart: the ids, where they differ and none is null.
+
+    Else the rows are written with a number each, which rises with the id; rows of one id are
+    numbered by a hash of their columns, and equal rows one by one. Nulls come first or last.
+    """
+    if docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 or _id is null").isEmpty():
+        return docs, id_col
+    hashed = F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map<" not in t])
+    rows = written(docs.withColumn("_hash", hashed).withColumn("_at", F.monotonically_increasing_id()), "row-hashes")
+    by_id = F.col(id_col).asc_nulls_last() if nulls_last else F.col(id_col).asc_nulls_first()
+    places = ordinals(rows.select(id_col, "_hash", "_at"), [by_id, "_hash", "_at"], "_row_key")
+    return written(rows.join(places.select("_at", "_row_key"), "_at").select(*docs.columns, "_row_key"), "row-keys"), "_row_key"

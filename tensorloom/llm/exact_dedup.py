@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
 
-from .common import written
+from .common import row_keys, written
 
 
 def grow_directory(entries: DataFrame, capacity: int, start_bits: int = 6, most_bits: int = 40) -> DataFrame:
@@ -123,9 +123,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies: of equal texts the row with the largest id stays."""
-    groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(groups, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    """docs without the copies: of equal texts one row with the largest id stays, also where ids are null or repeat."""
+    rows, key = row_keys(docs, id_col)
+    groups = exact_groups(rows, key, text_col).where("kept").select(F.col("doc_id").alias("_keep"))
+    return rows.join(groups, rows[key] == F.col("_keep"), "left_semi").select(*docs.columns)
 
 
 OP6_SQL = """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
 
-from .common import slices, written
+from .common import row_keys, slices, written
 
 #: Documents of each language that training reads, as expected by a hash of the id.
 TRAIN_PER_LANG = 1500
@@ -250,6 +250,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def accepted(docs: DataFrame, least_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose text has letters and one language for at least least_share of its words. Ids must differ."""
-    good = identify(docs, id_col, text_col, lang_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least_share)).select(F.col("doc_id").alias("_good"))
-    return docs.join(good, docs[id_col].eqNullSafe(F.col("_good")), "left_semi")
+    """The rows of docs whose text has letters and one language for at least least_share of its words. Ids may be null or repeat."""
+    rows, key = row_keys(docs, id_col)
+    good = identify(rows, key, text_col, lang_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least_share)).select(F.col("doc_id").alias("_good"))
+    return rows.join(good, rows[key] == F.col("_good"), "left_semi").select(*docs.columns)

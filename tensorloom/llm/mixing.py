@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, digits_for, written
+from .common import WORD, digits_for, row_keys, written
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
@@ -77,13 +77,14 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
 
     A document that the cut meets is taken whole in that epoch, so that no text is torn. Documents
     that are not taken go. Documents without words weigh nothing, and stay once if their source has
-    a target above 0 or no words at all. The ids of docs must differ.
+    a target above 0 or no words at all. Rows whose ids are null or repeat are taken one by one.
     """
-    plan = mix(docs, weights, share, max_epochs, id_col, text_col, source_col)
+    rows, key = row_keys(docs, id_col)
+    plan = mix(rows, weights, share, max_epochs, key, text_col, source_col)
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.when((F.col("target") > 0) | (F.col("source_size") == 0), 1).otherwise(0))
     chosen = plan.select(F.col("doc_id").alias("_id"), copies.cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    joined = rows.join(chosen, rows[key] == F.col("_id"))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[rows[c] for c in docs.columns])
 
 
 OP10_SQL = r"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
 
-from .common import slices, written
+from .common import row_keys, slices, written
 from .components import components
 
 #: Bands of rows of minima: a pair with similarity 0.8 shares no band in 3 of a million cases.
@@ -229,7 +229,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     component with all that are in other components. Pairs that their b-bit signatures leave
     possible are confirmed on full sets. Buckets whose members are all connected need no further pairs, and those with
     many unconnected members go on in rounds, until no pair of two components is untried.
+
+    Texts that share an id are linked one by one, and the row's component is that of its text.
     """
+    rows, key = row_keys(docs, id_col, nulls_last=True)
+    if key == id_col:
+        return _linked(docs, width, percent, id_col, text_col)
+    ids = rows.select(key, F.col(id_col).cast("long").alias("_id"))
+    found = written(_linked(rows.withColumn(key, F.when(F.col(id_col).isNotNull(), F.col(key))), width, percent, key, text_col), "near-rows")
+    own, least = (ids.select(F.col(key).alias(k), F.col("_id").alias(f"_{k}")) for k in ("doc_id", "component_id"))
+    named = found.join(own, "doc_id").join(least, "component_id").select(F.col("_doc_id").alias("doc_id"), "n_shingles", F.col("_component_id").alias("component_id"))
+    alone = found.where("doc_id is null").select("doc_id", "n_shingles", "component_id")
+    return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates() of rows whose ids differ where they aren't null."""
     ship(docs.sparkSession)
     sketch = written(sketches(docs, width, id_col, text_col), "near-sketches")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
@@ -278,9 +293,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates: the one with the least id. Ids must differ."""
-    kept = near_duplicates(docs, width, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    """docs with one row of each group of near duplicates: one with the least id, nulls last. Ids may be null or repeat."""
+    rows, key = row_keys(docs, id_col, nulls_last=True)
+    kept = _linked(rows, width, percent, key, text_col).where("kept").select(F.col("doc_id").alias("_keep"))
+    return rows.join(kept, rows[key] == F.col("_keep"), "left_semi").select(*docs.columns)
 
 
 OP5_SQL = r"""

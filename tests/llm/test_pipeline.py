@@ -49,3 +49,26 @@ def test_run_and_registry(spark, folder):
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Stages decide on rows, also where ids are null or repeat."""
+    base = " ".join(f"word{k}" for k in range(60))
+    near, other = base.replace("word59", "end"), " ".join(f"term{k}" for k in range(40))
+    data = [(1, base, "en", "a"), (1, base, "en", "a"), (1, other, "en", "b"), (1, "12 34", "en", "a"), (7, near, "en", "a"), (None, base, "en", "a"), (None, other + " tail", "en", "b"), (None, near, "en", "b"), (None, "alone here", "en", "a"), (None, "alone here", "en", "a"), (None, "56", "en", "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(3)
+    take = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    first = corpus_pipeline.language_id(spark, docs, "")
+    assert first.columns == docs.columns
+    assert take(first) == collections.Counter(x[:2] for x in data if any(c.isalpha() for c in x[1]))
+    second = corpus_pipeline.exact(spark, first, "")
+    assert take(second) == {(1, base): 1, (1, other): 1, (7, near): 1, (None, other + " tail"): 1, (None, "alone here"): 1}
+    third = corpus_pipeline.near(spark, first, "")
+    assert take(third) == {(1, base): 1, (1, other): 1, (None, "alone here"): 1}
+    same = [(None if k % 2 else 5, f"one two {k // 20}", "en", "a") for k in range(40)]
+    mixed = take(corpus_pipeline.mixture(spark, spark.createDataFrame(same, docs.schema).repartition(3), ""))
+    assert max(n / 10 for n in mixed.values()) <= 2 and 60 <= sum(mixed.values()) <= 61
+    from tensorloom.llm.near_dedup import near_duplicates
+
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_duplicates(spark.createDataFrame([(3, other), (3, base), (9, near), (9, other), (None, near)], "doc_id long, text string")).collect())
+    assert got == [(0, 0, True), (3, 3, True), (3, 3, True), (9, 3, False), (9, 3, False)]
