@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,12 @@ from tensorloom.functions.shipping import ship
 from .common import row_keys, slices, written
 from .components import components
 
-#: Bands of rows of minima: a pair with similarity 0.8 shares no band in 3 of a million cases.
-BANDS, ROWS = 32, 5
+#: Most bands, but for the least similarities, and the share of pairs on the threshold that may share none of them.
+BANDS, MISSES = 32, 3.1e-6
 #: Minima of a signature, of which it keeps the lowest bit, and the 64-bit words that hold them.
 MINIMA = 2048
 WORDS = MINIMA // 64
-#: How far below the threshold an estimate may lie: five standard errors.
+#: How far below the threshold 0.8 an estimate may lie: five standard errors.
 SLACK = 0.067
 #: Members of a bucket outside its largest component that are tried in one round.
 ALL_AT_ONCE = 1000
@@ -32,10 +33,40 @@ def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a, _RNG.randint(0, 2**62, n, dtype=np.int64).astype(np.uint64)
 
 
-_OF_BANDS, _OF_SIGNATURES = _hashers(BANDS * ROWS), _hashers(MINIMA)
+_OF_BANDS, _OF_SIGNATURES = _hashers(160), _hashers(MINIMA)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest rows of minima with which BANDS bands miss few enough pairs of percent; from 80 on, 32 and 5.
+
+    Where even rows of one minimum need more bands, there are as many as that takes.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError(f"a similarity of {percent} percent isn't above 0 and up to 100")
+    if percent >= 80:
+        return BANDS, 5
+    need = lambda rows: math.ceil(math.log(MISSES) / math.log1p(-((percent / 100) ** rows)))
+    rows = max((r for r in range(2, 6) if need(r) <= BANDS), default=1)
+    return need(rows), rows
+
+
+def band_hashers(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash functions of the bands, the first of them the same for any shape."""
+    a, b = _OF_BANDS
+    if (n := shape[0] * shape[1] - len(a)) > 0:
+        r = np.random.RandomState(20_240_502)
+        more = r.randint(1, 2**62, (2, n), dtype=np.int64).astype(np.uint64)
+        a, b = np.concatenate([a, more[0] * np.uint64(2) + np.uint64(1)]), np.concatenate([b, more[1]])
+    return a[: shape[0] * shape[1]], b[: shape[0] * shape[1]]
+
+
+def slack(least: float) -> float:
+    """How far below least an estimate may lie: five standard errors, in thousandths; SLACK from 0.8 on."""
+    differ = (1 - least) / 2
+    return max(SLACK, math.ceil(1e4 * math.sqrt(differ * (1 - differ) / MINIMA)) / 1e3)
+
+
 class _Words(dict):
     """Word to hash, as far as seen."""
 
@@ -82,11 +113,11 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(x.reshape(len(x), WORDS, 64) << np.arange(64, dtype=np.uint64), axis=2).view(np.int64)
 
 
-def banded(low: np.ndarray) -> np.ndarray:
-    """(sets, BANDS): a key for each band, of its number and its minima."""
-    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(low), 1))
-    for r in range(ROWS):
-        key = _mixed(key * _MIX + low[:, r::ROWS])
+def banded(low: np.ndarray, rows: int) -> np.ndarray:
+    """(sets, bands): a key for each band of rows minima, of its number and its minima."""
+    key = np.tile(np.arange(low.shape[1] // rows, dtype=np.uint64), (len(low), 1))
+    for r in range(rows):
+        key = _mixed(key * _MIX + low[:, r::rows])
     return key.view(np.int64)
 
 
@@ -103,10 +134,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 def likely(least: float) -> Column:
     """Whether rows a and b, by their sizes and signatures, can have a similarity of least."""
-    return (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6) & (similarity(F.col("sign_a"), F.col("sign_b")) >= least - SLACK)
+    return (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6) & (similarity(F.col("sign_a"), F.col("sign_b")) >= least - slack(least))
 
 
-def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, width: int, shape: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     """One row per input row: doc_id, n_shingles, the set's 128-bit key, bands."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -115,21 +146,21 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
         for part in slices(batches):
             sets = [shingles(t, width, words) for t in part.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
-            bands = np.zeros((0, BANDS), np.int64)
+            bands = np.zeros((0, shape[0]), np.int64)
             if full:
-                bands = banded(minima(full, _OF_BANDS))
+                bands = banded(minima(full, band_hashers(shape)), shape[1])
             at_full = np.cumsum([0, *(len(s) > 0 for s in sets)])
             yield pa.RecordBatch.from_arrays([
                 part.column(0).cast(pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(at_full * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64())),
+                pa.ListArray.from_arrays(pa.array(at_full * shape[0], pa.int32()), pa.array(bands.ravel(), pa.int64())),
             ], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
+def full_sets(docs: DataFrame, width: int, shape: tuple[int, int]) -> DataFrame:
     """(id, n, shingles, signature, bands) of docs (id, text) that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +169,9 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t, width, words) for t in b.column(1).to_pylist()]
             at = np.cumsum([0, *map(len, sets)])
             signs = packed(minima(sets, _OF_SIGNATURES)).ravel()
-            bands = banded(minima(sets, _OF_BANDS)).ravel()
+            bands = banded(minima(sets, band_hashers(shape)), shape[1]).ravel()
             rows = lambda width, x: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * width, pa.int32()), pa.array(x))  # noqa: B023, E731
-            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))), rows(WORDS, signs), rows(BANDS, bands)]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))), rows(WORDS, signs), rows(shape[0], bands)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], names=["id", "n", "shingles", "signature", "bands"])
 
     return docs.mapInArrow(run, "id long, n long, shingles array<long>, signature array<long>, bands array<long>")
@@ -192,7 +223,7 @@ def _likely_in_buckets(now: DataFrame, pivots: DataFrame, sets: DataFrame, least
             if band:
                 new = ~(bands[p, :band] == bands[m, :band]).any(1)
                 p, m = p[new], m[new]
-            near = 1 - np.bitwise_count((signs[p] ^ signs[m]).view(np.uint64)).sum(1) * (2.0 / MINIMA) >= least - SLACK
+            near = 1 - np.bitwise_count((signs[p] ^ signs[m]).view(np.uint64)).sum(1) * (2.0 / MINIMA) >= least - slack(least)
             out.append((ids[p[near]], ids[m[near]]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]) if out else [], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -246,7 +277,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates() of rows whose ids differ where they aren't null."""
     ship(docs.sparkSession)
-    sketch = written(sketches(docs, width, id_col, text_col), "near-sketches")
+    shape = band_shape(percent)
+    sketch = written(sketches(docs, width, shape, id_col, text_col), "near-sketches")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("key").agg(F.min("doc_id").alias("id")), "near-classes")
     reps = usable.join(classes.select("id"), usable["doc_id"] == classes["id"], "left_semi").dropDuplicates(["doc_id"])
@@ -255,7 +287,7 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     members = written(members.join(shared, "bucket"), "near-members")
     ids = written(members.groupBy("id").agg(F.sum("met").alias("met")), "near-ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(full_sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]), "near-sets")
+    sets = written(full_sets(texts.join(ids, "id", "left_semi"), width, shape).dropDuplicates(["id"]), "near-sets")
 
     # The member that meets most others in its buckets is the likeliest to be what they were copied from.
     centres = members.join(ids.withColumnRenamed("met", "weight"), "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("id"))

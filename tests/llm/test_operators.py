@@ -123,6 +123,23 @@ def test_near_duplicates_edges(docs, none, spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in odd) == [(0, 0, True), (1, 1, True), (1, 1, True)]
 
 
+def test_near_duplicates_at_lower_thresholds(spark):
+    """Bands and slack follow the threshold: pairs on it are found, at 50 percent too."""
+    assert near_dedup.band_shape(80) == (32, 5) and near_dedup.slack(0.8) == near_dedup.SLACK
+    for percent in (1, 20, 50, 65, 80, 99):
+        bands, long = near_dedup.band_shape(percent)
+        assert (1 - (percent / 100) ** long) ** bands <= near_dedup.MISSES
+    for percent in (0, -1, 101):
+        with pytest.raises(ValueError):
+            near_dedup.band_shape(percent)
+    data = []
+    for k in range(60):  # for even k a pair has 20 of 40 words in common, for odd k 30 of 70
+        own = [f"p{k}w{j}" for j in range(40)]
+        data += [(2 * k, " ".join(own), "en", "s"), (2 * k + 1, " ".join(own[:30] + [f"q{k}w{j}" for j in range(30)]), "en", "s") if k % 2 else (2 * k + 1, " ".join(own[:20]), "en", "s")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table(spark, data), 1, 50).collect()}
+    assert got == brute_components(data, 1, 50) and sum(i != c for i, (_, c) in got.items()) == 30
+
+
 def test_signatures_estimate_similarity():
     r = np.random.RandomState(2)
     x = r.randint(0, 2**62, 2000).astype(np.uint64)
