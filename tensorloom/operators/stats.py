@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tensorloom.functions.tables import ordinals
+
 from .coo import modes
 from .formats import block_id
 
@@ -82,5 +84,5 @@ def task_ranges(x: DataFrame, fibers: int, long_fiber: int) -> DataFrame:
 def blocks_by_size(x: DataFrame, dims: Sequence[int], size: Sequence[int], workers: int) -> DataFrame:
     """(block, nnz, worker): blocks, largest first, dealt in turn."""
     hist = block_histogram(x, dims, size)
-    place = F.row_number().over(W.orderBy(F.desc("nnz"), "block")) - 1  # one row per block of the grid
-    return hist.withColumn("worker", (place % workers).cast("long"))
+    placed = ordinals(hist, [F.desc("nnz"), F.col("block")], "place")
+    return placed.withColumn("worker", F.col("place") % workers).drop("place")

@@ -129,6 +129,16 @@ def test_singular_vectors(spark):
         linalg.local(y, 3000)
 
 
+def test_blocks_are_numbered_in_parts(spark):
+    x = spark.createDataFrame([(i, j, 1.0) for i in range(40) for j in range(1 + i % 3)], "i0 long, i1 long, v double")
+    dealt = stats.blocks_by_size(x, [40, 3], [1, 3], 4)
+    got = {r["block"]: (r["nnz"], r["worker"]) for r in dealt.collect()}
+    order = sorted(got, key=lambda b: (-got[b][0], b))
+    assert len(got) == 40 and [got[b][1] for b in order] == [k % 4 for k in range(40)]
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in line for line in plan.splitlines() if "row_number" in line)
+
+
 def test_orthonormal_factors(spark):
     f = fac.orthonormal(spark, 50, 4)
     got = np.array([r[1:] for r in f.orderBy("x").collect()])
