@@ -52,17 +52,27 @@ def orthonormal(spark: SparkSession, n: int, r: int, seed: int = 42) -> DataFram
 
 
 def extended(factor: DataFrame, extra: int, seed: int = 42) -> DataFrame:
-    """factor with extra columns that are orthonormal among themselves and to the ones there."""
+    """factor with extra columns that are orthonormal among themselves and to the ones there.
+
+    The new columns start as normal cells under column numbers that the factor's own makers don't
+    use with the same seed. Where what the factor leaves of them is singular, they are drawn again.
+    """
     from tensorloom.operators.linalg import gram, local, project
 
     spark, r = factor.sparkSession, len(factor.columns) - 1
-    new = closed_form(spark, int(factor.agg(F.max("x")).first()[0]) + 1, extra, lambda x, k: F.sqrt(-2 * F.ln(_uniform(x, 2 * k, seed))) * F.cos(2 * np.pi * _uniform(x, 2 * k + 1, seed)))
-    both = factor.join(new.toDF("x", *(f"u{r + k}" for k in range(extra))), "x")
-    names = [f"u{k}" for k in range(r + extra)]
-    g = local(gram(both, names), r + extra)
-    old = np.linalg.pinv(g[:r, :r]) @ g[:r, r:]
-    free = g[r:, r:] - g[r:, :r] @ old
-    out = np.linalg.inv(np.linalg.cholesky(free + 1e-12 * np.eye(extra))).T
+    names, rows = [f"u{k}" for k in range(r + extra)], int(factor.agg(F.max("x")).first()[0]) + 1
+    for draw in range(seed, seed + 4):
+        cell = lambda x, k: F.sqrt(-2 * F.ln(_uniform(x, 2 * (r + k), draw))) * F.cos(2 * np.pi * _uniform(x, 2 * (r + k) + 1, draw))  # noqa: B023, E731
+        new = closed_form(spark, rows, extra, cell)
+        both = factor.join(new.toDF("x", *names[r:]), "x")
+        g = local(gram(both, names), r + extra)
+        old = np.linalg.pinv(g[:r, :r]) @ g[:r, r:]
+        free = g[r:, r:] - g[r:, :r] @ old
+        if np.linalg.eigvalsh(free)[0] > 1e-9 * max(1.0, np.trace(g[r:, r:])):
+            break
+    else:
+        raise ValueError(f"{extra} more columns don't fit beside {r} in {rows} rows")
+    out = np.linalg.inv(np.linalg.cholesky(free)).T
     turn = np.zeros((r + extra, r + extra))
     turn[:r, :r], turn[:r, r:], turn[r:, r:] = np.eye(r), -old @ out, out
     return project(both, names, turn)

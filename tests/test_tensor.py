@@ -143,8 +143,11 @@ def test_orthonormal_factors(spark):
     f = fac.orthonormal(spark, 50, 4)
     got = np.array([r[1:] for r in f.orderBy("x").collect()])
     assert np.allclose(got.T @ got, np.eye(4), atol=1e-6)
-    more = np.array([r[1:] for r in fac.extended(f, 2).orderBy("x").collect()])
-    assert np.allclose(more.T @ more, np.eye(6), atol=1e-6)
+    for seed in (42, 43):  # 42 made the factor, too
+        more = np.array([r[1:] for r in fac.extended(f, 2, seed).orderBy("x").collect()])
+        assert np.allclose(more.T @ more, np.eye(6), atol=1e-6) and np.allclose(more[:, :4], got, atol=1e-9)
+    with pytest.raises(ValueError):
+        fac.extended(fac.orthonormal(spark, 5, 4), 2)
 
 
 def test_hooi(toy):
