@@ -287,15 +287,17 @@ def test_repeats(spark, none):
             kept = bytes(x for x, g in zip(b, gone) if not g)
             runs = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
             out.append((d, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
-        return sorted(out)
+        return out
 
     r = np.random.RandomState(6)
     data = [(i, "".join(r.choice(list("ab é"), r.randint(0, 60)))) for i in range(80)] + [(200, None), (201, ""), (202, "ab" * 50), (203, "a" * 100)]
     passage = "".join(r.choice(list("abcdefgh é"), 90))
     data += [(300 + i, "".join(r.choice(list("abcdefgh"), 40)) + passage + "".join(r.choice(list("abcdefgh"), 40))) for i in range(12)]
-    df = spark.createDataFrame([(d, t, 1, 2) for d, t in data], "doc_id long, text string, anchor long, count long")
-    for least, hot in ((8, 30_000), (8, 2), (50, 30_000), (50, 3)):
-        assert sorted(map(tuple, substring_dedup.remove_repeats(df, least, hot=hot).collect())) == plain(data, least)
+    data += [(None, "null id " + passage), (None, passage + " null id"), (7, "same row " * 9), (7, "same row " * 9), (8, "same id " * 7), (400, "\0" * 70), (401, "x" + "\0" * 60), (402, r.bytes(300).decode("latin-1"))]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in data], "doc_id long, text string, anchor long, count long").repartition(5)
+    known = lambda found: sorted(found, key=str)
+    for least, together in ((8, 1 << 19), (8, 30), (8, 100), (13, 0), (50, 1 << 19), (50, 300), (50, 1000), (71, 0)):
+        assert known(map(tuple, substring_dedup.remove_repeats(df, least, together=together).collect())) == known(plain(data, least)), (least, together)
     assert substring_dedup.remove_repeats(none).count() == 0
     kept = {x["doc_id"]: x["kept_text"] for x in substring_dedup.remove_repeats(df, 50, with_text=True).collect()}
     assert passage not in kept[300] and kept[200] == ""
@@ -303,12 +305,37 @@ def test_repeats(spark, none):
 
 def test_merged_transforms_order_suffixes():
     r = np.random.RandomState(1)
-    seqs = [r.randint(0, 3, r.randint(0, 12)).astype(np.uint64) for _ in range(30)]
-    for depth in (1, 3, 5):
-        got = substring_dedup.repeated_symbols(seqs, depth, shards=4)
-        seen = collections.Counter(tuple(s[i : i + depth]) for s in seqs for i in range(len(s) - depth + 1))
-        want = [[i for i in range(len(s) - depth + 1) if seen[tuple(s[i : i + depth])] > 1] for s in seqs]
-        assert [x.tolist() for x in got] == want
+    seqs = [r.randint(0, 3, r.randint(0, 12)) for _ in range(30)]
+    cuts, n = [0, 7, 8, 20, 30], len(seqs)
+    arrays, transforms, base = [], [], 0
+    flat = [(d, i) for d, s in enumerate(seqs) for i in range(len(s) + 1)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = np.concatenate([np.append(s + (b - a), k) for k, s in enumerate(seqs[a:b])])
+        order, bwt = substring_dedup.transform(own)
+        arrays.append(order + base)
+        transforms.append(np.where(bwt < b - a, bwt + a, bwt - (b - a) + n))
+        base += len(own)
+    full = [tuple(x + n for x in seqs[d][i:]) + (d,) for d, i in flat]
+    for depth in (1, 3, 5, 14):
+        order, common = substring_dedup.interleave(transforms, depth)
+        merged = [full[k][:depth] for k in np.concatenate(arrays)[order]]
+        assert merged == sorted(merged)
+        for k in range(1, len(merged)):
+            x, y = merged[k - 1], merged[k]
+            assert common[k] == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+
+
+def test_transforms_decide(spark, monkeypatch):
+    """Without what neighbours have in common, nothing repeats."""
+    r = np.random.RandomState(2)
+    bodies = [bytes(r.randint(97, 100, 60, dtype=np.uint8)) for _ in range(3)]
+    bodies = [b"x" * 20 + bodies[0], b"y" * 20 + bodies[0], bodies[1] + b"z" * 20]
+    size = substring_dedup.Lengths.of(40)
+    shards = [{"offset": [20], "count": [41], "copies": [1]} | substring_dedup.shard_transform([b], np.array([20]), np.array([41]), size) for b in bodies]
+    assert [x.tolist() for x in substring_dedup.repeated_windows(shards, size)] == [[0, 1], [20, 20], [41, 41]]
+    real = substring_dedup.interleave
+    monkeypatch.setattr(substring_dedup, "interleave", lambda t, depth: (real(t, depth)[0], real(t, depth)[1] * 0))
+    assert not len(substring_dedup.repeated_windows(shards, size)[0])
 
 
 def test_search(docs, none, monkeypatch):
