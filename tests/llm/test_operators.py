@@ -338,11 +338,14 @@ def test_transforms_decide(spark, monkeypatch):
     assert not len(substring_dedup.repeated_windows(shards, size)[0])
 
 
-def test_search(docs, none, monkeypatch):
+SETTINGS = {"plain": {}, "small": {"SHARD": 7, "BLOCK": 2, "PAGE": 3}, "pruned": {"SHARD": 9, "BLOCK": 2, "COMMON": 1, "DENSE": 1, "WORTH": 0, "QUERY_BYTES": 900, "GROUP": 4}, "rows": {"SHARD": 20, "BLOCK": 4, "COMMON": 2, "DENSE": 3, "WORTH": 0, "GROUP": 1}}
+
+
+@pytest.mark.parametrize("setting", SETTINGS)
+def test_search(docs, none, monkeypatch, setting):
     data = rows()
-    monkeypatch.setattr(search, "SHARD", 7)
-    monkeypatch.setattr(search, "BLOCK", 2)
-    monkeypatch.setattr(search, "QUERIES", 3)
+    for name, value in SETTINGS[setting].items():
+        monkeypatch.setattr(search, name, value)
     got = collections.defaultdict(list)
     for r in search.search(docs, docs.where("doc_id % 5 = 0"), 4).collect():
         got[r["query_id"]].append((r["rank"], r["doc_id"], r["score"]))
@@ -356,6 +359,40 @@ def test_search(docs, none, monkeypatch):
     assert search.search(docs, none).count() == 0 and search.search(none, docs).count() == 0
 
 
+def test_search_repeated_and_null_ids(spark):
+    df = table(spark, [(1, "alpha beta", None, None), (1, "gamma alpha", None, None), (2, "beta beta", None, None), (None, "alpha", None, None), (3, None, None, None)])
+    got = [tuple(r) for r in search.search(df, df, 5).orderBy("query_id", "rank").collect()]
+    assert [(q, d) for q, _, d, _ in got] == [(1, 1), (1, 1), (1, 2), (2, 2), (2, 1)] and [r[1] for r in got] == [1, 2, 3, 1, 2]
+    assert sorted(map(tuple, search.search(df.repartition(5), df.orderBy(F.desc("text")), 5).collect())) == sorted(got)
+
+
+def test_search_shard_prunes_exactly():
+    """Random shards, with thresholds of earlier ones: the same as scoring all documents."""
+    r = np.random.RandomState(4)
+    for size, dense in ((300, 10), (300, 10_000), (70, 2)):
+        texts = [np.minimum(r.zipf(1.3, r.randint(1, 80)), 400) for _ in range(size)]
+        found = [np.unique(t, return_counts=True) for t in texts]
+        term, doc, tf = np.concatenate([f[0] for f in found]), np.repeat(np.arange(size), [len(f[0]) for f in found]), np.concatenate([f[1] for f in found])
+        order = np.argsort(term, kind="stable")
+        names, df = np.unique(term, return_counts=True)
+        search.DENSE, kept = dense, search.DENSE
+        row = {"docs": np.arange(size).astype("<i8").tobytes(), "lengths": np.array([len(t) for t in texts], "<i4").tobytes(), "terms": names.astype(np.int64), "df": df, "postings": doc[order].astype("<u2").tobytes(), "tf": tf[order].astype("<i4").tobytes()}
+        shard, weights = search.Shard(row, 40.0), search.idf(size, df)
+        search.DENSE, search.WORTH, worth = kept, 0, search.WORTH
+        shard.places(names.astype(np.uint64), weights)
+        queries = [np.unique(r.randint(0, len(names), 30)) for _ in range(40)]
+        for threshold in (0.0, 0.8):
+            want, bests = [], []
+            for q in queries:
+                shard.asked[q] = True
+                every = sorted(zip((-shard.exact(np.arange(size))).tolist(), range(size), strict=True))
+                shard.asked[q] = False
+                bests.append([(threshold * every[0][0], -1 - i) for i in range(5)] if threshold else [])
+                want.append(sorted([*bests[-1], *(x for x in every if x[0] < 0)])[:5])
+            assert shard.search(queries, 5, bests) == want
+        search.WORTH = worth
+
+
 def labelled(spark):
     r = np.random.RandomState(8)
     english, french = ["the", "and", "of", "thing", "shore", "with"], ["le", "de", "été", "que", "leçon", "pour"]
