@@ -14,60 +14,50 @@ from tensorloom.functions.shipping import ship
 from .common import row_keys, written
 
 
-def grow_directory(entries: DataFrame, capacity: int, start_bits: int = 6, most_bits: int = 40) -> DataFrame:
-    """The directory of the index: (bits, prefix), one row per bucket, written to the shared folder.
+#: Bytes of the texts that a bucket of the index has at most, as long as it has more than one key.
+CAPACITY = 32 << 20
+#: Parts that the copies of one text are merged in before they go to their owner.
+SALTS = 64
+
+
+def grow_directory(entries: DataFrame, capacity: int, start_bits: int, most_bits: int = 62) -> DataFrame:
+    """The directory of the index over entries (key, bytes): (bits, prefix), one row per bucket, written to the shared folder.
 
     Starts with 2 ** start_bits buckets over the leading bits of key. While a bucket holds more
-    than capacity keys, the directory doubles: overfull buckets split by one more bit, and the
-    others keep their smaller depth. Keys are distinct hashes, so no bucket stays overfull.
+    than capacity bytes in several keys, the directory doubles: overfull buckets split by one more
+    bit, and the others keep their smaller depth.
     """
-    spark = entries.sparkSession
-    keys = entries.count()
-    bits = start_bits
-    while capacity * 2**bits < keys:
-        bits += 1
-    done = None
-    open_ = entries.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("prefix")).count().withColumn("bits", F.lit(bits))
+    bits, done = start_bits, None
+    buckets = lambda rows: rows.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("keys")).withColumn("bits", F.lit(bits))
+    full = (F.col("bytes") > capacity) & (F.col("keys") > 1)
+    open_ = written(buckets(entries), "dedup-directory")
     while True:
-        open_ = written(open_, "dedup-directory")
-        kept = open_.where(F.col("count") <= capacity) if bits < most_bits else open_
+        over = open_.where(full)
+        last = bits >= most_bits or over.isEmpty()
+        kept = open_ if last else open_.where(~full)
         done = kept if done is None else done.unionByName(kept)
-        over = open_.where(F.col("count") > capacity)
-        if bits >= most_bits or over.isEmpty():
+        if last:
             return written(done.select("bits", "prefix"), "dedup-directory")
         bits += 1
         split = entries.join(over.select(F.col("prefix").alias("parent")), F.shiftrightunsigned("key", 64 - bits + 1) == F.col("parent"), "left_semi")
-        open_ = split.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("prefix")).count().withColumn("bits", F.lit(bits))
-    return spark.range(0)
+        open_ = written(buckets(split), "dedup-directory")
 
 
 def in_buckets(df: DataFrame, directory: DataFrame) -> DataFrame:
     """df with the bucket of each key: the directory's entry for the key's leading bits."""
-    depths = [r[0] for r in directory.select("bits").distinct().collect()]  # at most a few
+    depths = sorted(r[0] for r in directory.select("bits").distinct().collect())  # one row per depth, 62 at most
     found = None
-    for bits in depths or [0]:
+    for bits in depths or [1]:
         own = directory.where(F.col("bits") == bits).select(F.col("prefix").alias("_p"))
-        part = df.join(own, F.shiftrightunsigned("key", 64 - bits) == F.col("_p") if bits else F.lit(True), "left_semi")
-        part = part.withColumn("bucket", F.concat(F.lit(f"{bits}:"), F.shiftrightunsigned("key", 64 - bits).cast("string") if bits else F.lit("0")))
+        part = df.join(own, F.shiftrightunsigned("key", 64 - bits) == F.col("_p"), "left_semi")
+        part = part.withColumn("bucket", F.concat(F.lit(f"{bits}:"), F.shiftrightunsigned("key", 64 - bits).cast("string")))
         found = part if found is None else found.unionByName(part)
     return found
 
 
-_LOCAL = pa.schema([("key", pa.int64()), ("body", pa.binary()), ("n", pa.int64()), ("keep", pa.int64())])
 _CHAINED = pa.schema([("key", pa.int64()), ("sha", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
-def _merge_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies within a batch become one row, so that a hot text is sent once for each batch."""
-    for b in batches:
-        found: dict[tuple[int, bytes], list] = {}
-        for key, body, n, keep in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            x = found.setdefault((key, body), [0, None])
-            x[0] += n
-            x[1] = keep if x[1] is None else x[1] if keep is None else max(x[1], keep)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.binary()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], schema=_LOCAL)
-
-
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An owner's rows, sorted by key: each key has a chain of the texts that differ by their bytes."""
 
@@ -92,7 +82,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist([dict(zip(_CHAINED.names, x, strict=True)) for x in closed(last, chain)], schema=_CHAINED)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 15, hash_bits: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when all their bytes are; null counts as empty. Of equal texts the largest id
@@ -100,21 +90,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     them, as nothing tells them apart). Rows that share text and id are all kept or all dropped.
 
     The index has one entry for each 64-bit hash of a text. A directory over the hash's leading
-    bits, doubled until no bucket is overfull, deals the entries to owner tasks. A key that more
-    than one row has goes to its owner with its texts, merged before the shuffle; the owner
-    compares bytes and chains texts that differ. hash_bits below 64 makes collisions common, for
-    tests. An empty table gives no rows; other columns are not read.
+    bits, doubled until no bucket has more than capacity bytes in several keys, deals the entries
+    to owner tasks. A key that more than one row has goes to its owner with its texts; copies are
+    merged before, in parts, so that a hot text comes as a few rows. The owner compares bytes and
+    chains texts that differ. The answers go back to the rows by a join on hash and digest, whose
+    large keys Spark splits (adaptive skew joins). hash_bits below 64 makes collisions common, for
+    tests. Very long texts are compared whole. An empty table gives no rows; other columns are not
+    read.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.shiftleft(F.xxhash64(text), 64 - hash_bits) if hash_bits < 64 else F.xxhash64(text)
-    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.sha2(text, 256).alias("text_sha256")), "dedup-rows")
-    entries = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")), "dedup-entries")
-    shared = entries.where("n > 1").select("key")
-    directory = grow_directory(shared, capacity)
-    bodies = docs.select(key.alias("key"), text.cast("binary").alias("body"), F.lit(1).cast("long").alias("n"), F.col(id_col).cast("long").alias("keep"))
-    members = bodies.join(shared, "key", "left_semi").select("key", "body", "n", "keep").mapInArrow(_merge_copies, "key long, body binary, n long, keep long")
-    owned = in_buckets(written(members, "dedup-members"), directory).repartition("bucket").sortWithinPartitions("key").select("key", "body", "n", "keep")
+    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.sha2(text, 256).alias("text_sha256"), (F.octet_length(text) + 64).cast("long").alias("bytes")), "dedup-rows")
+    entries = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")), "dedup-entries")
+    shared = entries.where("n > 1")
+    total, parts = shared.agg(F.sum("bytes")).first()[0] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    directory = grow_directory(shared, capacity, max(1, (max(parts, -(-total // capacity)) - 1).bit_length()))
+    bodies = docs.select(key.alias("key"), text.cast("binary").alias("body"), F.col(id_col).cast("long").alias("id"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    members = bodies.join(shared.select("key"), "key", "left_semi").groupBy("key", "body", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
+    owned = in_buckets(written(members.drop("salt"), "dedup-members"), directory).repartition("bucket").sortWithinPartitions("key").select("key", "body", "n", "keep")
     index = written(owned.mapInArrow(_chains, "key long, sha string, keep_id long, group_size long").where("key is not null"), "dedup-index")
     single = rows.join(entries.where("n = 1").select("key"), "key", "left_semi").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     copies = rows.join(index, (rows["key"] == index["key"]) & (rows["text_sha256"] == index["sha"]))

@@ -384,9 +384,9 @@ def test_search_shard_prunes_exactly():
         for threshold in (0.0, 0.8):
             want, bests = [], []
             for q in queries:
-                shard.asked[q] = True
+                shard.asked[q] = weights[q]
                 every = sorted(zip((-shard.exact(np.arange(size))).tolist(), range(size), strict=True))
-                shard.asked[q] = False
+                shard.asked[q] = 0
                 bests.append([(threshold * every[0][0], -1 - i) for i in range(5)] if threshold else [])
                 want.append(sorted([*bests[-1], *(x for x in every if x[0] < 0)])[:5])
             assert shard.search(queries, 5, bests) == want
