@@ -107,7 +107,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total, parts = shared.agg(F.sum("bytes")).first()[0] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     directory = grow_directory(shared, capacity, max(1, (max(parts, -(-total // capacity)) - 1).bit_length()))
     bodies = docs.select(key.alias("key"), text.cast("binary").alias("body"), F.col(id_col).cast("long").alias("id"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
-    members = bodies.join(shared.select("key"), "key", "left_semi").groupBy("key", "body", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
+    members = bodies.join(shared.select("key").hint("merge"), "key", "left_semi").groupBy("key", "body", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
     owned = in_buckets(written(members.drop("salt"), "dedup-members"), directory).repartition("bucket").sortWithinPartitions("key").select("key", "body", "n", "keep")
     index = written(owned.mapInArrow(_chains, "key long, sha string, keep_id long, group_size long").where("key is not null"), "dedup-index")
     single = rows.join(entries.where("n = 1").select("key"), "key", "left_semi").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
