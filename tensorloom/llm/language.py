@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
@@ -18,8 +19,12 @@ from .common import row_keys, slices, written
 
 #: Documents of each language that training reads, as expected by a hash of the id.
 TRAIN_PER_LANG = 1500
-#: Words and letter trigrams that the model keeps, the most frequent ones.
-MODEL_WORDS, MODEL_GRAMS = 40_000, 20_000
+#: Words and letter trigrams that the model keeps for each language, its most frequent ones.
+MODEL_WORDS, MODEL_GRAMS = 20_000, 8_000
+#: Languages that one model tells apart; more raise an error.
+MOST_LANGS = 1_000
+#: Words that Viterbi goes on before it packs the way back.
+STRIDE = 1_024
 #: What a change of language costs, and how far one word can speak against a language, in nats.
 SWITCH, FLOOR = 8.0, 6.0
 #: First code point of each range of letters (fixed values of the Unicode blocks).
@@ -97,7 +102,7 @@ def _sampled(rows: DataFrame, per_lang: int) -> DataFrame:
     """About per_lang rows of each language, chosen by a hash of the id."""
     counts = rows.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))
-    return rows.join(F.broadcast(counts.withColumn("share", share).drop("count")), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    return rows.join(counts.withColumn("share", share).drop("count"), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = TRAIN_PER_LANG) -> Model:
@@ -119,19 +124,24 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
 
     counts = rows.select("lang", "text").mapInArrow(count, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
     counts = written(counts, "lang-counts")
-    items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    totals = counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in totals})
-    size = {kind: np.array([sum(r["n"] for r in totals if (r["kind"], r["lang"]) == (kind, x)) for x in langs], float) for kind in "swg"}
+    sizes = counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"))
+    langs = [r[0] for r in sizes.select("lang").distinct().orderBy("lang").limit(MOST_LANGS + 1).collect()]
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    totals = {(r["kind"], r["lang"]): float(r["n"]) for r in sizes.collect()}  # three rows per language
+    size = {kind: np.array([totals.get((kind, x), 0.0) for x in langs]) for kind in "swg"}
 
     def rows_of(kind: str, most: int, prior: float) -> tuple[dict[str, int], np.ndarray]:
-        found = items.where(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(most).collect()
+        own = counts.where(F.col("kind") == kind)
+        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "item"))
+        kept = own.withColumn("rank", rank).where(F.col("rank") <= most).select("item").distinct()
+        found = own.join(kept, "item").groupBy("item").agg(F.collect_list(F.struct("lang", "n")).alias("by")).orderBy("item").collect()
         counts_ = np.zeros((len(found) + 1, len(langs)))
         place = {x: n for n, x in enumerate(langs)}
         for n, r in enumerate(found):
             for x in r["by"]:
                 counts_[n, place[x["lang"]]] = x["n"]
-        return {r["item"]: n for n, r in enumerate(found)}, np.log((counts_ + prior) / (size[kind] + prior * most))
+        return {r["item"]: n for n, r in enumerate(found)}, np.log((counts_ + prior) / (size[kind] + prior * (len(found) + 1)))
 
     names, rates = rows_of("s", 64, 0.0001)
     return Model(langs, *rows_of("w", MODEL_WORDS, 0.05), *rows_of("g", MODEL_GRAMS, 0.5), {k: np.exp(rates[n]) > 0.002 for k, n in names.items()})
@@ -157,28 +167,34 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np
     """The best label of each word, over many texts at a time.
 
     ids has the texts' words one after the other, as rows of scores; text d begins at starts[d].
-    A change of label from one word to the next costs `switch`.
+    A change of label from one word to the next costs `switch`. The way back is packed every STRIDE
+    words: four bytes, and a bit for each label, for a word.
     """
-    labels = np.zeros(len(ids), np.uint8)
+    labels = np.zeros(len(ids), np.int32)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
-    best_of, moved, v = [], [], np.zeros((len(lengths), scores.shape[1]))
-    for t, n in enumerate(active):
-        v = v[:n]
-        best = v.argmax(1).astype(np.uint8)
-        other = v[np.arange(n), best][:, None] - switch
-        moved.append(v < other)
-        best_of.append(best)
-        v = np.maximum(v, other) + scores[ids[starts[:n] + t]]
-        if t + 1 < len(active) and active[t + 1] < n:  # texts that end here
-            labels[starts[active[t + 1] : n] + t] = v[active[t + 1] :].argmax(1)
-        elif t + 1 == len(active):
-            labels[starts[:n] + t] = v.argmax(1)
+    ways, v = [], np.zeros((len(lengths), scores.shape[1]))
+    for first in range(0, len(active), STRIDE):
+        n = int(active[first])
+        steps = min(STRIDE, len(active) - first)
+        best_of, moved = np.empty((steps, n), np.int32), np.zeros((steps, n, scores.shape[1]), bool)
+        for t in range(first, first + steps):
+            n = int(active[t])
+            v = v[:n]
+            best_of[t - first, :n] = best = v.argmax(1)
+            other = v[np.arange(n), best][:, None] - switch
+            moved[t - first, :n] = v < other
+            v = np.maximum(v, other) + scores[ids[starts[:n] + t]]
+            further = int(active[t + 1]) if t + 1 < len(active) else 0
+            labels[starts[further:n] + t] = v[further:].argmax(1)  # texts that end here
+        ways.append((best_of, np.packbits(moved, axis=2)))
     for t in range(len(active) - 2, -1, -1):
-        n = active[t + 1]
+        best_of, moved = ways[(t + 1) // STRIDE]
+        at, n = (t + 1) % STRIDE, int(active[t + 1])
         after = labels[starts[:n] + t + 1]
-        labels[starts[:n] + t] = np.where(moved[t + 1][np.arange(n), after], best_of[t + 1][:n], after)
+        went = moved[at, np.arange(n), after >> 3] >> (7 - (after & 7)).astype(np.uint8) & 1
+        labels[starts[:n] + t] = np.where(went, best_of[at, :n], after)
     return labels
 
 
@@ -192,7 +208,7 @@ def _label_batch(model: Model, cache: _Ids, texts: list[str | None], switch: flo
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(ids) else lengths
     flat = np.fromiter((x for own in ids for x in own), np.int64, int(lengths.sum()))
-    labels = viterbi(cache.rows[0], flat, starts, lengths, switch) if len(flat) else np.zeros(0, np.uint8)
+    labels = viterbi(cache.rows[0], flat, starts, lengths, switch) if len(flat) else np.zeros(0, np.int32)
     doc = np.repeat(np.arange(len(ids)), lengths)
     k = len(model.langs)
     votes = np.bincount(doc[flat > 0] * k + labels[flat > 0], minlength=len(ids) * k).reshape(len(ids), k)
@@ -215,7 +231,8 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     language, labels the words. spans has the runs, as word numbers from start up to end. lang_pred
     is the language of most words with letters, score its share of them. Null, empty and letterless
     texts are `und` with score 0, and so is all if the model has no language. Ties go to the
-    language that comes first by name. Only the text is read.
+    language that comes first by name. Only the text is read. Rows that repeat get the same answer
+    each; null ids stay null. Very long texts are labelled whole. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))])

@@ -92,11 +92,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     (crc32 of the id mod 5 is not 0), gives doc_score. Its sums by path and by host give posteriors:
     a host's mean is shrunk toward the global mean, and a path's (a section of its host) toward its
     host's, each by as many rows as the spread within groups outweighs that between them. score
-    adds the path's log odds over the global ones to the document's; kept is score >= least.
+    adds the log odds of the row's path over the global ones to the document's, with the row itself
+    left out of its path and host, so that its evidence counts once; kept is score >= least.
 
-    Null hosts and paths are groups of their own. Null texts count as empty; several labels of one
-    id count as the highest, null ones not at all. Without labels of both classes doc_score is the
-    share of good labels. An empty table gives no rows.
+    Null hosts and paths are groups of their own. Null texts count as empty, very long ones are
+    measured whole; several labels of one id count as the highest, null ones not at all. Rows that
+    repeat count one by one. Without labels of both classes doc_score is the share of good labels.
+    An empty table gives no rows.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), 5, 0))
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("double").alias("quality"))
@@ -108,12 +110,16 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
     top = float(total if total is not None else 0.5)
     k = _strength(hosts, F.lit(top))
-    hosts = hosts.select(F.col("host").alias("of"), ((F.col("s") + k * top) / (F.col("n") + k)).alias("host_posterior"))
+    k_host, shrunk = k, lambda s_, n_, k_, prior: (s_ + k_ * prior) / (n_ + k_)
+    hosts = hosts.select(F.col("host").alias("of"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), shrunk(F.col("s"), F.col("n"), k_host, top).alias("host_posterior"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).drop("of")
     k = _strength(paths, F.col("host_posterior"))
-    paths = written(paths.select(F.col("host").alias("h"), F.col("path").alias("s"), "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), "quality-posteriors")
+    named = [F.col("host").alias("of_host"), F.col("path").alias("of_path"), "host_n", "host_s", F.col("n").alias("path_n"), F.col("s").alias("path_s"), "host_posterior"]
+    paths = written(paths.select(*named, shrunk(F.col("s"), F.col("n"), k, F.col("host_posterior")).alias("path_posterior")), "quality-posteriors")
     top_odds = math.log(max(top, 1e-6) / max(1 - top, 1e-6))
-    scored = seen.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("s")))
-    score = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("path_posterior")) - top_odds)))
+    scored = seen.join(paths, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")))
+    others = shrunk(F.col("host_s") - F.col("p"), F.col("host_n") - 1, k_host, top)
+    others = shrunk(F.col("path_s") - F.col("p"), F.col("path_n") - 1, k, others)
+    score = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(others) - top_odds)))
     scored = scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("p").alias("doc_score"), "host_posterior", "path_posterior", score.alias("score"))
     return scored.withColumn("kept", F.col("score") >= least)

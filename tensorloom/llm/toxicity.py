@@ -19,10 +19,10 @@ from .language import held_out
 
 #: Labelled documents of each class that training reads, as expected by a hash of the id.
 TRAIN_PER_CLASS = 5_000
-#: Terms and exception phrases that the lexicon keeps.
-TERMS, PHRASES = 2_000, 2_000
-#: A term's log odds, and the share of the toxic documents that have it, at least.
-LEAST_ODDS, LEAST_SHARE = 1.5, 0.004
+#: A term's log odds are at least so high, and by so many standard errors above the least that counts at all.
+LEAST_ODDS, ERRORS, SURE = 1.5, 2.0, 0.5
+#: Letters of the longest word starts; longer words are terms as wholes.
+LONGEST = 24
 #: Letters that pass for Latin ones, and digits and signs that stand for letters (fixed values).
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ɡ": "g", "в": "b", "н": "h", "к": "k", "м": "m", "т": "t", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -40,9 +40,11 @@ def folded(text: str | None) -> str:
     return f" {' '.join(' '.join(w.rstrip('$@!.,;:?').translate(_TABLE) for w in words).split())} "
 
 
-def _prefixes(word: str) -> Iterator[str]:
-    for n in range(3, min(len(word), 10) + 1):
+def _starts(word: str) -> Iterator[str]:
+    """The starts of a word from 3 letters on, and the word as a whole."""
+    for n in range(3, min(len(word), LONGEST) + 1):
         yield " " + word[:n]
+    yield f" {word} "
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -74,7 +76,7 @@ def _counted(sample: DataFrame, items) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Weights of the terms (word starts), phrases that are exceptions, and the final scale."""
+    """Weights of the terms (word starts, and words with a blank at their end), phrases that are exceptions, and the final scale."""
 
     terms: dict[str, float]
     exceptions: frozenset[str]
@@ -132,8 +134,10 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Lexicon:
     """A lexicon from labelled documents; docs (doc_id, text), labels (doc_id, toxic 0 or 1).
 
-    Terms are word starts of 3 to 10 letters whose log odds of standing in a toxic document are
-    high; exceptions are the two-word phrases around a term that only clean documents have.
+    Terms are whole words, and word starts of 3 letters and more, whose log odds of standing in a
+    toxic document are high, and surely so: a few standard errors must not take them below SURE.
+    A start that tells no more than the one before it is left out. Exceptions are the two-word
+    phrases around a term that only clean documents have. All that the sample supports is kept.
     """
     ship(docs.sparkSession)
     sample = _sampled(docs.select("doc_id", "text"), labels, per_class)
@@ -142,12 +146,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     if not toxic or not clean:
         p = (toxic + 0.5) / (toxic + clean + 1)
         return Lexicon({}, frozenset(), (math.log(p / (1 - p)), 0.0, 0.0))
-    starts = lambda text: {p for w in set(folded(text).split()) for p in _prefixes(w)}
-    least = max(3, int(LEAST_SHARE * toxic))
-    many = {r[0] for r in _counted(sample.where("toxic = 1"), starts).where(F.col("toxic") >= least).select("item").collect()}
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    rows = _counted(sample, lambda text: starts(text) & many).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS)
-    terms = {r["item"]: float(r["w"]) for r in rows.orderBy(F.desc(F.col("w") * F.col("toxic")), "item").limit(TERMS).collect()}
+    starts = lambda text: {p for w in set(folded(text).split()) for p in _starts(w)}
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    odds = F.log(t / (toxic + 1)) - F.log(c / (clean + 1))
+    error = F.sqrt(1 / t + 1 / c)
+    # Without clean documents the odds of an item are at their highest; what isn't sure then never is.
+    hopeful = (F.log(t / (toxic + 1)) - math.log(0.5 / (clean + 1)) - ERRORS * F.sqrt(1 / t + 2)) >= SURE
+    many = {r[0] for r in _counted(sample.where("toxic = 1"), starts).where(hopeful).select("item").collect()}
+    rows = _counted(sample, lambda text: starts(text) & many).where((odds >= LEAST_ODDS) & (odds - ERRORS * error >= SURE))
+    found = {r["item"]: (float(r["w"]), r["toxic"], r["clean"]) for r in rows.withColumn("w", odds).collect()}
+    terms = {x: w for x, (w, *n) in found.items() if x[:-1] not in found or [*found[x[:-1]][1:]] != n}
     rough = Lexicon(terms, frozenset())
 
     made: list = []  # the automaton of a task
@@ -160,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
         text = folded(text)
         return set().union(*(phrases(text, at) for at, _ in matches(made[0], rough, text)))
 
-    quiet = _counted(sample, around).where("clean >= 5 and toxic = 0").orderBy(F.desc("clean"), "item").limit(PHRASES)
+    quiet = _counted(sample, around).where("clean >= 5 and toxic = 0")
     lexicon = Lexicon(terms, frozenset(r["item"] for r in quiet.collect()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +190,8 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
     The whole text is folded and run through the automaton once; each matched word counts with its
     heaviest term, unless it stands in an exception phrase. The sum, by the number of words and in
-    all, gives the score. Null and empty texts have no match and get the score of such texts. Only
-    the text is read.
+    all, gives the score. Null and empty texts have no match and get the score of such texts. Very
+    long texts are scored whole. Only the text is read; rows that repeat get the same score each.
     """
     ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_matches", pa.int64()), ("words", pa.int64())])

@@ -461,3 +461,81 @@ def test_quality(spark, none):
     assert max(host) - min(host) < 0.5
     assert quality.quality(none, labels).count() == 0
     assert {r["doc_score"] for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_quality_posteriors_by_hand(spark):
+    """Shrunken means with the row left out, worked out one by one; a path of one row has its host's."""
+    docs, labels = labelled(spark)
+    site = F.when(F.col("doc_id") == 3, "alone").otherwise(F.concat(F.lit("h"), F.col("doc_id") % 3))
+    docs = docs.withColumn("source", site).withColumn("lang", F.when(F.col("doc_id") % 50 == 1, F.lit(None)).otherwise((F.col("doc_id") % 4).cast("string")))
+    sites = {r["doc_id"]: (r["source"], r["lang"]) for r in docs.select("doc_id", "source", "lang").collect()}
+    got = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
+    p = {i: r["doc_score"] for i, r in got.items()}
+    top = sum(p.values()) / len(p)
+
+    def groups(key):
+        by = collections.defaultdict(list)
+        for i in p:
+            by[key(i)].append(p[i])
+        return by
+
+    def strength(by, prior):
+        n, means = len(p), {g: sum(x) / len(x) for g, x in by.items()}
+        within = max(sum((v - means[g]) ** 2 for g, x in by.items() for v in x) / max(1, n - len(by)), 1e-9)
+        between = max(sum(len(x) * (means[g] - prior(g)) ** 2 for g, x in by.items()) / n - within * len(by) / n, 1e-6)
+        return min(max(within / between, 1.0), 1e5)
+
+    hosts, paths = groups(lambda i: sites[i][0]), groups(lambda i: sites[i])
+    k = strength(hosts, lambda g: top)
+    host = {g: (sum(x) + k * top) / (len(x) + k) for g, x in hosts.items()}
+    m = strength(paths, lambda g: host[g[0]])
+    logit = lambda x: math.log(x / (1 - x))
+    clip = lambda x: max(1e-6, min(x, 1 - 1e-6))
+    for i, r in got.items():
+        h, x = hosts[sites[i][0]], paths[sites[i]]
+        assert r["host_posterior"] == pytest.approx(host[sites[i][0]], abs=1e-9)
+        assert r["path_posterior"] == pytest.approx((sum(x) + m * host[sites[i][0]]) / (len(x) + m), abs=1e-9)
+        others = (sum(h) - p[i] + k * top) / (len(h) - 1 + k)
+        others = (sum(x) - p[i] + m * others) / (len(x) - 1 + m)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(logit(clip(p[i])) + logit(clip(others)) - logit(top)))), abs=1e-7)
+
+
+def test_toxicity_matches_are_all_found():
+    """The automaton against a search for every term at every place."""
+    r = np.random.RandomState(5)
+    letters = list("abc")
+    word = lambda n: "".join(r.choice(letters, n))
+    terms = {" " + word(r.randint(2, 4)): float(r.randint(1, 5)) for _ in range(8)} | {f" {word(2)} ": 2.5, f" {word(1)} ": 7.0}
+    lexicon = toxicity.Lexicon(terms, frozenset({"ab abc", "abc a"}))
+    for _ in range(50):
+        text = toxicity.folded(" ".join(word(r.randint(1, 6)) for _ in range(30)))
+        want = {}
+        for at in range(len(text)):
+            own = [w for t, w in terms.items() if text.startswith(t, at)]
+            if own and not toxicity.phrases(text, at) & lexicon.exceptions:
+                want[at] = max(own)
+        assert dict(toxicity.matches(lexicon.automaton(), lexicon, text)) == want
+
+
+def test_viterbi_over_strides_and_many_languages(monkeypatch):
+    r = np.random.RandomState(8)
+    scores = -r.random_sample((50, 300)) * 9
+    lengths, ids = np.array([70, 3, 41]), r.randint(0, 50, 114)
+    starts = np.array([0, 70, 73])
+    whole = language.viterbi(scores, ids, starts, lengths, 3.0)
+    monkeypatch.setattr(language, "STRIDE", 7)
+    assert (language.viterbi(scores, ids, starts, lengths, 3.0) == whole).all() and whole.max() > 255
+
+
+def test_differencing_by_hand():
+    """Two sets: the largest numbers are replaced by their difference until one is left."""
+    r = np.random.RandomState(9)
+    for _ in range(20):
+        numbers = r.randint(1, 1000, 25).tolist()
+        left = sorted(numbers)
+        while len(left) > 1:
+            a, b = left.pop(), left.pop()
+            left = sorted([*left, a - b])
+        slots = [x[0] for x in sharding.difference([[n, 0] for n in numbers], 2)]
+        sums = [sum(n for n, s in zip(numbers, slots, strict=True) if s == k) for k in (0, 1)]
+        assert abs(sums[0] - sums[1]) == left[0]
