@@ -99,10 +99,12 @@ class Model:
 
 
 def _sampled(rows: DataFrame, per_lang: int) -> DataFrame:
-    """About per_lang rows of each language, chosen by a hash of the id."""
-    counts = rows.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))
-    return rows.join(counts.withColumn("share", share).drop("count"), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    """About per_lang rows of each language, chosen by a hash of the id. Only the shares, one row per language, go to all tasks."""
+    counts = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in counts], "lang string, share double")
+    return rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = TRAIN_PER_LANG) -> Model:
@@ -125,10 +127,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     counts = rows.select("lang", "text").mapInArrow(count, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
     counts = written(counts, "lang-counts")
     sizes = counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"))
-    langs = [r[0] for r in sizes.select("lang").distinct().orderBy("lang").limit(MOST_LANGS + 1).collect()]
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
     totals = {(r["kind"], r["lang"]): float(r["n"]) for r in sizes.collect()}  # three rows per language
+    langs = sorted({lang for _, lang in totals})
     size = {kind: np.array([totals.get((kind, x), 0.0) for x in langs]) for kind in "swg"}
 
     def rows_of(kind: str, most: int, prior: float) -> tuple[dict[str, int], np.ndarray]:
