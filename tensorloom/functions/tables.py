@@ -53,13 +53,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def ordinals(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
     """df with the place of each row, from 0, in the order of unique columns.
 
-    Rows are range-partitioned and numbered within their part; the counts of the parts, one row
-    each, give where a part begins. No task sees all rows.
+    Rows are range-partitioned, sorted and numbered within their part, and written once; the
+    counts of the parts, one row each, give where a part begins. No task sees all rows.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ordinals")
+    # The id of a row is its part, and in the lower 33 bits its place there.
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(ranged, "ordinals").withColumn("_part", F.shiftright("_at", 33))
     begins = F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     firsts = ranged.groupBy("_part").count().select("_part", begins.alias("_first"))  # one row per part
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(firsts, "_part").withColumn(name, (F.col("_first") + F.col("_own")).cast("long")).drop("_part", "_own", "_first")
+    place = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(firsts, "_part").withColumn(name, place.cast("long")).drop("_part", "_at", "_first")

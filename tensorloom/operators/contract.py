@@ -74,9 +74,11 @@ def _columns(names: Sequence[str], ranks: Sequence[int]) -> list[tuple[tuple[int
     return [(c, "_".join([names[0], *map(str, c)])) for c in cells]
 
 
-def ttmc(x: DataFrame, factors: Mapping[int, DataFrame], keep: int, strategy: str = "fused", order: Sequence[int] | None = None, salt: int = 16) -> DataFrame:
+def ttmc(x: DataFrame, factors: Mapping[int, DataFrame], keep: int, strategy: str = "fused", order: Sequence[int] | None = None, salt: int = 16, wide: bool = False) -> DataFrame:
     """x times a factor along each mode but `keep`: (i{keep}, r0, r1, ..., v), ranks in mode order.
 
+    With wide, one row for each index: (i{keep}, y0_0, y0_1, ...), a column for each cell of the ranks.
+
     aao: one join after the other, one sum at the end. fused: after each join the sums over the
     joined mode, so that the next join meets one row per fiber, not per non-zero. salted: fused,
     with the last sums split by a hash of the fiber first, for slices that hold much of the tensor.
@@ -89,7 +91,7 @@ def ttmc(x: DataFrame, factors: Mapping[int, DataFrame], keep: int, strategy: st
             y = y.join(factors[m].select(F.col("x").alias(f"i{m}"), *(F.col(f"u{k}").alias(f"u{m}_{k}") for k in range(ranks[m]))), f"i{m}")
         cells = _columns(["s"], [ranks[m] for m in gone])
         y = y.groupBy(kept).agg(*(F.sum(reduce(lambda p, mk: p * F.col(f"u{mk[0]}_{mk[1]}"), zip(gone, c, strict=True), F.col("v"))).alias(n) for c, n in cells))
-        return _long(y, kept, gone, cells)
+        return (_wide if wide else _long)(y, kept, gone, cells)
     y, held, ranks_so_far = x, [((), "v")], []
     left = [c for c in modes(x) if c != kept]
     for n, m in enumerate(gone):
@@ -105,7 +107,14 @@ def ttmc(x: DataFrame, factors: Mapping[int, DataFrame], keep: int, strategy: st
         else:
             y = joined.groupBy(kept, *left).agg(*sums)
         held = cells
-    return _long(y, kept, gone, held)
+    return (_wide if wide else _long)(y, kept, gone, held)
+
+
+def _wide(y: DataFrame, kept: str, gone: Sequence[int], cells: list[tuple[tuple[int, ...], str]]) -> DataFrame:
+    """The columns of sums, named and ordered by their ranks in mode order."""
+    at = sorted(range(len(gone)), key=lambda n: gone[n])
+    named = sorted((tuple(c[n] for n in at), name) for c, name in cells)
+    return y.select(kept, *(F.col(name).alias("y" + "_".join(map(str, c))) for c, name in named))
 
 
 def _long(y: DataFrame, kept: str, gone: Sequence[int], cells: list[tuple[tuple[int, ...], str]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,19 +14,19 @@ from tensorloom.functions.tables import ordinals, written
 from .coo import canonical, linear, modes
 
 
-def csf(x: DataFrame) -> list[DataFrame]:
-    """The fiber tree of x in its mode order, one table per level.
+def csf(x: DataFrame, top: int = 0) -> list[DataFrame]:
+    """The fiber tree of x in its mode order, one table per level, from level top on.
 
     Level l has (pos, idx, ptr_begin, ptr_end): a node's place among the prefixes of l + 1 indices,
     its own index, and the places of its children; the last level has (pos, idx, v). Coordinates
     are summed first. Places are numbered over range partitions, so no task sees all nodes.
     """
     cols = modes(x)
-    leaves = written(ordinals(canonical(x), cols), "csf-leaves")
-    below, levels = leaves, [leaves.select("pos", F.col(cols[-1]).alias("idx"), "v")]
-    for n in range(len(cols) - 1, 0, -1):
+    below = ordinals(canonical(x), cols)
+    levels = [below.select("pos", F.col(cols[-1]).alias("idx"), "v")]
+    for n in range(len(cols) - 1, top, -1):
         nodes = below.groupBy(*cols[:n]).agg(F.min("pos").alias("ptr_begin"), (F.max("pos") + 1).alias("ptr_end"))
-        below = written(ordinals(nodes, cols[:n]), "csf-nodes")
+        below = ordinals(nodes, cols[:n])
         levels.insert(0, below.select("pos", F.col(cols[n - 1]).alias("idx"), "ptr_begin", "ptr_end"))
     return levels
 
@@ -54,8 +55,8 @@ def from_csf(levels: Sequence[DataFrame]) -> DataFrame:
 def csr(m: DataFrame, rows: int) -> DataFrame:
     """(row, ptr) of a matrix (row, col, v), for 0 to rows: empty rows repeat the pointer before them."""
     counts = m.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    grid = m.sparkSession.range(rows + 1).select(F.col("id").alias("row")).join(counts, "row", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("part", F.floor(F.col("row") / 4096))
-    parts = grid.groupBy("part").agg(F.sum("n").alias("t")).select("part", F.coalesce(F.sum("t").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    grid = m.sparkSession.range(rows + 1).select(F.col("id").alias("row")).join(counts, "row", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("part", F.floor(F.col("row") / max(4096, math.isqrt(rows))))
+    parts = grid.groupBy("part").agg(F.sum("n").alias("t")).select("part", F.coalesce(F.sum("t").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per part
     inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return grid.withColumn("inside", inside).join(parts, "part").select("row", (F.col("before") + F.col("inside")).cast("long").alias("ptr"))
 

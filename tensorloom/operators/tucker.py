@@ -19,6 +19,10 @@ from .coo import modes
 from .linalg import gram, left_singular, local, ridge_rows
 
 
+#: Cells of a core that the driver takes.
+MOST_CELLS = 1 << 22
+
+
 @dataclass
 class Tucker:
     """Factors (x, u0, ...), the core as an array, and the fit after each sweep."""
@@ -48,7 +52,9 @@ def core(x: DataFrame, factors: Sequence[DataFrame], strategy: str = "fused") ->
 
 
 def core_array(g: DataFrame, ranks: Sequence[int]) -> np.ndarray:
-    """A core table as an array; it has one cell per combination of ranks."""
+    """A core table as an array; it has one cell per combination of ranks, MOST_CELLS at most."""
+    if math.prod(ranks) > MOST_CELLS:
+        raise ValueError(f"a core of {math.prod(ranks)} cells doesn't fit the driver")
     out = np.zeros(ranks)
     for row in g.collect():
         out[tuple(row[f"r{k}"] for k in range(len(ranks)))] = row["v"]
@@ -60,13 +66,14 @@ def fit_of_core(norm_sq: float, core_sq: float) -> float:
     return 1 - math.sqrt(max(0.0, norm_sq - core_sq)) / math.sqrt(norm_sq) if norm_sq else 1.0
 
 
-def _projected(x: DataFrame, factors: Sequence[DataFrame], mode: int, strategy: str) -> DataFrame:
-    """x times all factors but that of mode, as ttmc() has it; `chain` takes one factor after the other."""
+def _projected(x: DataFrame, factors: Sequence[DataFrame], mode: int, strategy: str) -> tuple[DataFrame, list[str]]:
+    """x times all factors but that of mode, a row for each index: (x, y0_0, ...) and the names; `chain` takes one factor after the other."""
     if strategy != "chain":
-        return ttmc(x, dict(enumerate(factors)), mode, strategy)
+        y = ttmc(x, dict(enumerate(factors)), mode, strategy, wide=True).withColumnRenamed(f"i{mode}", "x")
+        return y, y.columns[1:]
     rest = [m for m in range(len(factors)) if m != mode]
     y = ttm_chain(x, {m: factors[m] for m in rest})
-    return y.select(f"i{mode}", *(F.col(f"i{m}").alias(f"r{k}") for k, m in enumerate(rest)), "v")
+    return _spread(y.select(f"i{mode}", *(F.col(f"i{m}").alias(f"r{k}") for k, m in enumerate(rest)), "v"), f"i{mode}", [rank(factors[m]) for m in rest])
 
 
 def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 25, tolerance: float = 1e-5, seed: int = 42, strategy: str = "fused", order: Sequence[int] | None = None) -> Tucker:
@@ -86,8 +93,7 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
     order = list(order or range(n - 1, -1, -1))
     for _ in range(sweeps):
         for mode in order:
-            rest = [m for m in range(n) if m != mode]
-            y, names = _spread(_projected(x, factors, mode, strategy), f"i{mode}", [rank(factors[m]) for m in rest])
+            y, names = _projected(x, factors, mode, strategy)
             y = written(y, "tucker-y")
             u, sigma = left_singular(y, names, ranks[mode])
             factors[mode] = written(u, "tucker-factor")
