@@ -59,9 +59,9 @@ def ordinals(df: DataFrame, order: Sequence[Column | str], name: str = "pos") ->
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The id of a row is its part, and in the lower 33 bits its place there.
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = written(ranged, "ordinals").withColumn("_part", F.shiftright("_at", 33))
-    begins = F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    firsts = ranged.groupBy("_part").count().select("_part", begins.alias("_first"))  # one row per part
-    place = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(firsts, "_part").withColumn(name, place.cast("long")).drop("_part", "_at", "_first")
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_ordinal_id", F.monotonically_increasing_id())
+    ranged = written(ranged, "ordinals").withColumn("_ordinal_part", F.shiftright("_ordinal_id", 33))
+    begins = F.coalesce(F.sum("count").over(W.orderBy("_ordinal_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = ranged.groupBy("_ordinal_part").count().select("_ordinal_part", begins.alias("_ordinal_first"))  # one row per part
+    place = F.col("_ordinal_first") + F.col("_ordinal_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(firsts, "_ordinal_part").withColumn(name, place.cast("long")).drop("_ordinal_part", "_ordinal_id", "_ordinal_first")

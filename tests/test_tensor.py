@@ -136,7 +136,7 @@ def test_blocks_are_numbered_in_parts(spark):
     order = sorted(got, key=lambda b: (-got[b][0], b))
     assert len(got) == 40 and [got[b][1] for b in order] == [k % 4 for k in range(40)]
     plan = dealt._jdf.queryExecution().optimizedPlan().toString()
-    assert all("_part" in line for line in plan.splitlines() if "row_number" in line)
+    assert all("_ordinal_part" in line for line in plan.splitlines() if "row_number" in line)
 
 
 def test_orthonormal_factors(spark):
