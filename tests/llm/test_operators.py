@@ -185,7 +185,6 @@ def test_packing(docs, none):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = packing.pack(docs, 64).collect()
     by, fill = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
