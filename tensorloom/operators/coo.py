@@ -105,6 +105,16 @@ def norm(x: DataFrame) -> DataFrame:
     return x.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("norm_sq")).withColumn("norm", F.sqrt("norm_sq"))
 
 
+def checksum(x: DataFrame) -> DataFrame:
+    """One row: the sum of the values."""
+    return x.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("checksum"))
+
+
+def largest_axis(sizes: Sequence[int]) -> int:
+    """The mode of the greatest size; ties go to the first."""
+    return max(range(len(sizes)), key=lambda m: (sizes[m], -m))
+
+
 def linear(cols: Sequence[str | Column], sizes: Sequence[int]) -> Column:
     """The row-major number of a coordinate; the last mode runs fastest."""
     out: Column = F.lit(0).cast("long")

@@ -8,7 +8,6 @@ event, hour) of the events, and M, the embeddings as a matrix. Factors have whol
 
 from __future__ import annotations
 
-import struct
 import uuid
 from collections.abc import Callable
 
@@ -136,6 +135,8 @@ query("coo_put", "SELECT i0, i1, i2, CASE WHEN i2 = 1 THEN 1.0::DOUBLE ELSE v EN
 query("coo_drop_zero", "SELECT i0, i1, i2, v % 5 AS v FROM x3 WHERE v % 5 <> 0")(lambda s, d: coo.drop_zero(x3(s, d).withColumn("v", F.col("v") % 5)))
 query("coo_inside", "SELECT * FROM x3 WHERE i0 < 50 AND i1 < 100 AND i2 < 5")(lambda s, d: coo.inside(x3(s, d), [50, 100, 5]))
 query("coo_cast", "SELECT i0, i1, i2, CAST(CAST(v / 3 AS FLOAT) AS DOUBLE) AS v FROM x3")(lambda s, d: coo.cast_values(x3(s, d).withColumn("v", F.col("v") / 3), "float"))
+query("checksum", "SELECT sum(v) AS checksum FROM x3")(lambda s, d: coo.checksum(x3(s, d)))
+query("largest_axis", "SELECT CAST(CASE WHEN d0 >= d1 AND d0 >= d2 THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS INTEGER) AS mode FROM dims")(lambda s, d: s.createDataFrame([(coo.largest_axis(sizes(x3(s, d))),)], "mode int"))
 query("frob_norm", "SELECT sum(v * v) AS norm_sq, sqrt(sum(v * v)) AS norm FROM x3")(lambda s, d: coo.norm(x3(s, d)))
 for _m, _col in ((0, "i1 * d2 + i2"), (1, "i0 * d2 + i2"), (2, "i0 * d1 + i1")):
     query(f"unfold_mode{_m}", f'SELECT i{_m} AS "row", CAST({_col} AS BIGINT) AS col, v FROM x3, dims')(lambda s, d, m=_m: coo.unfold(x := x3(s, d), m, sizes(x)))
@@ -371,12 +372,11 @@ def _place(spark: SparkSession, name: str) -> str:
 
 @query("tns_parse_header", "SELECT * FROM x3")
 def _tns_header(spark, sf_dir):
+    """X3 written with its header, and read within the sizes that the header names."""
     x, at = x3(spark, sf_dir), _place(spark, "tns")
-    text.write_tns(x, at)
-    row = text.with_header(x)
-    lines = spark.read.text(at)
-    head = spark.createDataFrame([(str(row["order"]),), (" ".join(map(str, row["dims"])),), ("# a comment",), ("",), ("1 two 3 4",)], "value string")
-    return text.parse_coo(head.unionByName(lines), 3)
+    text.write_tns(x, at, text.with_header(x)["dims"])
+    found, dims = text.read_tns(spark, at, strict=True)
+    return coo.inside(found, dims)
 
 
 @query("tns_parse_headerless", "SELECT * FROM x4")
@@ -391,25 +391,29 @@ query("header_infer", "SELECT 3 AS ord, d0, d1, d2 FROM dims")(lambda s, d: (lam
 
 @query("tns_directory", "SELECT i0 % 3 AS part, count(*) AS nnz, sum(v) AS total FROM x3 GROUP BY 1")
 def _tns_directory(spark, sf_dir):
-    at, x = _place(spark, "dir"), x3(spark, sf_dir)
+    """X3 in three folders, told apart by their names."""
+    at, x = _place(spark, "dir"), written(x3(spark, sf_dir), "dir-x")
     for k in range(3):
         text.write_tns(x.where(F.col("i0") % 3 == k), f"{at}/part{k}")
-    found = spark.read.option("recursiveFileLookup", "true").text(at)
-    rows = text.parse_coo(found, 3)
-    return rows.groupBy((F.col("i0") % 3).alias("part")).agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").alias("total"))
+    rows = text.read_directory(spark, f"{at}/part*", 3, "part-*", named_by=-2)
+    return rows.groupBy(F.substring("file", 5, 1).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").alias("total"))
 
 
 @query("mtx_parse", "SELECT * FROM s2")
 def _mtx(spark, sf_dir):
-    lines = s2(spark, sf_dir).select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "v").alias("value"))
-    return text.parse_mtx(lines)
+    m, at = s2(spark, sf_dir), _place(spark, "mtx")
+    rows, cols = m.agg(F.max("row") + 1, F.max("col") + 1).first()
+    text.write_mtx(m, at, rows, cols)
+    return text.read_mtx(spark, at)[0]
 
 
 @query("mtx_symmetric_all", 'SELECT "row", col, v FROM s2 WHERE "row" >= col UNION ALL SELECT col, "row", v FROM s2 WHERE "row" > col')
 def _mtx_symmetric_all(spark, sf_dir):
     """All entries of S2 on and below the diagonal, as symmetric storage."""
-    lines = s2(spark, sf_dir).where("row >= col").select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "v").alias("value"))
-    return text.parse_mtx(lines, symmetric=True)
+    m, at = s2(spark, sf_dir).where("row >= col"), _place(spark, "mtx")
+    size = m.agg(F.max("row") + 1).first()[0]
+    text.write_mtx(m, at, size, size, symmetric=True)
+    return text.read_mtx(spark, at)[0]
 
 
 @query("csf_text_roundtrip_all", "SELECT * FROM x3")
@@ -420,7 +424,7 @@ def _csf_text_all(spark, sf_dir):
 
 @query("dense_text_roundtrip", 'SELECT x AS "row", r AS col, u AS v FROM fa WHERE x < (SELECT d1 FROM dims)')
 def _dense_text(spark, sf_dir):
-    return text.parse_dense(text.dense_lines(contract.narrow(_a(spark, sizes(x3(spark, sf_dir))[1])), RANKS[0]))
+    return text.parse_dense(text.dense_lines(contract.narrow(_a(spark, sizes(x3(spark, sf_dir))[1])), RANKS[0]), RANKS[0])
 
 
 @query("result_lines")
@@ -432,24 +436,9 @@ def _result_lines(spark, sf_dir):
 
 @query("factor_bin_roundtrip", "SELECT x AS idx, list(u ORDER BY r) AS \"row\" FROM fa WHERE x < (SELECT d1 FROM dims) GROUP BY x")
 def _factor_bin(spark, sf_dir):
-    at = _place(spark, "factor")
-    body = binary.factor_bytes(_a(spark, sizes(x3(spark, sf_dir))[1]))
-    spark.createDataFrame([(body,)], "body binary").select(F.hex("body").alias("value")).write.text(at)
-    hexed = spark.read.text(at).select(F.unhex("value").alias("content"), F.lit("mode1.bin").alias("path"))
-    return _decoded(hexed)
-
-
-def _decoded(df: DataFrame) -> DataFrame:
-    def decode(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            for body in pdf["content"]:
-                n, r = struct.unpack_from("<QQ", body)
-                m = np.frombuffer(body, "<f4", offset=16).reshape(n, r)
-                yield pd.DataFrame({"idx": np.arange(n), "row": list(m.astype(float))})
-
-    return df.select("content").mapInPandas(decode, "idx long, row array<double>")
+    """The factor A of the parts as binary files, written and read again."""
+    files = written(binary.factor_files(_a(spark, sizes(x3(spark, sf_dir))[1]), "mode1"), "factor-files")
+    return binary.parse_factors(files).select("idx", "row")
 
 
 # ---- generators

@@ -24,11 +24,16 @@ def read_factors(spark: SparkSession, path: str, cols: int | None = None) -> Dat
     Files are read by the executors, each file whole in one task. Without a header, cols is needed
     and cells are float32. Sizes that don't fit the file raise.
     """
-    ship(spark)
+    return parse_factors(spark.read.format("binaryFile").load(path).select("path", F.lit(0).alias("first"), "content"), cols)
+
+
+def parse_factors(files: DataFrame, cols: int | None = None) -> DataFrame:
+    """read_factors() of files (path, first, content), whose rows are numbered from first on."""
+    ship(files.sparkSession)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for path_, body in zip(pdf["path"], pdf["content"], strict=True):
+            for path_, first, body in zip(pdf["path"], pdf["first"], pdf["content"], strict=True):
                 if cols is None:
                     n, r = struct.unpack_from("<QQ", body)
                     width = (len(body) - 16) // max(1, n * r)
@@ -37,9 +42,26 @@ def read_factors(spark: SparkSession, path: str, cols: int | None = None) -> Dat
                     m = np.frombuffer(body, "<f4" if width == 4 else "<f8", offset=16).reshape(n, r)
                 else:
                     m = np.frombuffer(body, "<f4").reshape(-1, cols)
-                yield pd.DataFrame({"file": path_.rsplit("/", 1)[-1], "idx": np.arange(len(m)), "row": list(m.astype(float))})
+                yield pd.DataFrame({"file": path_.rsplit("/", 1)[-1], "idx": first + np.arange(len(m)), "row": list(m.astype(float))})
+
+    return files.select("path", "first", "content").mapInPandas(decode, "file string, idx long, row array<double>")
+
+
+def factor_files(factor: DataFrame, name: str, rows: int = 1 << 16, width: int = 4) -> DataFrame:
+    """(path, first, content): a factor of any length as files of `rows` rows each, made on the executors.
+
+    Absent rows are 0; files of absent rows alone are left out.
+    """
+    ship(factor.sparkSession)
+    names, most = factor.columns[1:], factor.agg(F.max("x")).first()[0]
+
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * rows
+        m = np.zeros((min(rows, most + 1 - first), len(names)), "<f4" if width == 4 else "<f8")
+        m[pdf["x"].to_numpy(int) - first] = pdf[names].to_numpy(float)
+        return pd.DataFrame({"path": [f"{name}-{key[0]}.bin"], "first": [first], "content": [struct.pack("<QQ", *m.shape) + m.tobytes()]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, idx long, row array<double>")
+    return factor.withColumn("part", F.floor(F.col("x") / rows)).groupBy("part").applyInPandas(encode, "path string, first long, content binary")
 
 
 def factor_bytes(factor: DataFrame, width: int = 4) -> bytes:

@@ -4,12 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.tables import ordinals
 from tensorloom.operators.coo import modes
 from tensorloom.operators.formats import csf, csf_pointers
 
+#: The folder beside the parts of a text that has its header; Spark's readers pass over it.
+HEADER = "_header"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """The lines of a file or folder; None if there is none."""
+    try:
+        return spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _put_header(spark: SparkSession, path: str, lines: Sequence[str]) -> None:
+    header = spark.createDataFrame(list(enumerate(lines)), "n int, value string").coalesce(1).sortWithinPartitions("n")
+    header.select("value").write.mode("overwrite").text(f"{path}/{HEADER}")
+
 
 def _tokens(lines: DataFrame) -> DataFrame:
     """Lines with their white-space-separated tokens; blank lines and comments (# or %) go."""
@@ -17,18 +37,18 @@ def _tokens(lines: DataFrame) -> DataFrame:
     return lines.withColumn("t", F.split(body, " ")).where((body != "") & ~body.rlike("^[#%]"))
 
 
-def parse_coo(lines: DataFrame, order: int, base: int = 1, strict: bool = False, missing: float | None = None) -> DataFrame:
+def parse_coo(lines: DataFrame, order: int, base: int = 1, strict: bool = False, missing: float | Column | None = None) -> DataFrame:
     """Lines (value) of `i1 ... iN v` as a tensor.
 
     Lines of other lengths, or with words that aren't numbers, go; with strict they raise. With
-    `missing`, lines without a value get that value. Indices below base raise with strict, too.
+    `missing`, lines without a value get that value, or that of a column such as F.rand(). Indices below base raise with strict, too.
     """
     rows = _tokens(lines)
     n = F.size("t")
     cols = [F.try_element_at("t", F.lit(k + 1)).try_cast("long") - base for k in range(order)]
     value = F.try_element_at("t", F.lit(order + 1)).try_cast("double")
     if missing is not None:
-        value = F.when(n == order, F.lit(float(missing))).otherwise(value)
+        value = F.when(n == order, missing if isinstance(missing, Column) else F.lit(float(missing))).otherwise(value)
     parsed = rows.select(*(c.alias(f"i{k}") for k, c in enumerate(cols)), value.alias("v"), n.alias("n"), "value")
     good = (F.col("n") == order + 1) if missing is None else F.col("n").between(order, order + 1)
     for k in range(order):
@@ -42,14 +62,15 @@ def parse_coo(lines: DataFrame, order: int, base: int = 1, strict: bool = False,
 
 def peek(spark: SparkSession, path: str) -> tuple[int, list[int] | None]:
     """(order, dims) of a file: from its header, or from the length of its first line alone."""
-    lines = [r["t"] for r in _tokens(spark.read.text(path)).limit(2).collect()]
+    header = _lines(spark, f"{path}/{HEADER}")
+    lines = [r["t"] for r in _tokens(spark.read.text(path) if header is None else header).limit(2).collect()]
     if len(lines) > 1 and len(lines[0]) == 1 and len(lines[1]) == int(lines[0][0]):
         return int(lines[0][0]), [int(x) for x in lines[1]]
     return len(lines[0]) - 1, None
 
 
-def read_tns(spark: SparkSession, path: str, base: int = 1, strict: bool = False, missing: float | None = None) -> tuple[DataFrame, list[int] | None]:
-    """(tensor, dims or None) of a `.tns` file, with or without the two header lines.
+def read_tns(spark: SparkSession, path: str, base: int = 1, strict: bool = False, missing: float | Column | None = None) -> tuple[DataFrame, list[int] | None]:
+    """(tensor, dims or None) of a `.tns` file or of what write_tns() wrote, with or without the two header lines.
 
     The header's lines have other numbers of tokens than entries, but for a tensor of order 0.
     """
@@ -61,20 +82,22 @@ def read_tns(spark: SparkSession, path: str, base: int = 1, strict: bool = False
     return parse_coo(lines, order, base, strict, missing), sizes
 
 
-def read_directory(spark: SparkSession, path: str, order: int, pattern: str = "*.tns", base: int = 1) -> DataFrame:
-    """All headerless files of a folder, with the name of each entry's file."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+def read_directory(spark: SparkSession, path: str, order: int, pattern: str = "*.tns", base: int = 1, named_by: int = -1) -> DataFrame:
+    """All headerless files of a folder, with the name of each entry's file; with named_by -2, that of the file's folder.
+
+    Tensors of other orders go.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), named_by))
     rows = _tokens(lines).where(F.size("t") == order + 1)
     return rows.select("file", *((F.col("t")[k].try_cast("long") - base).alias(f"i{k}") for k in range(order)), F.col("t")[order].try_cast("double").alias("v"))
 
 
 def write_tns(x: DataFrame, path: str, dims: Sequence[int] | None = None, base: int = 1) -> None:
-    """x as text, one entry a line, values in full; with dims, a header file `_header` beside the parts."""
+    """x as text, one entry a line, values in full; with dims, a header in a folder `_header` beside the parts."""
     line = F.concat_ws(" ", *((F.col(c) + base).cast("string") for c in modes(x)), F.col("v").cast("string"))
     x.select(line.alias("value")).write.mode("overwrite").text(path)
     if dims is not None:
-        header = x.sparkSession.createDataFrame([(str(len(dims)), 0), (" ".join(map(str, dims)), 1)], "value string, n int")
-        header.coalesce(1).sortWithinPartitions("n").select("value").write.mode("append").text(path)
+        _put_header(x.sparkSession, path, [str(len(dims)), " ".join(map(str, dims))])
 
 
 def parse_mtx(lines: DataFrame, symmetric: bool = False) -> DataFrame:
@@ -88,12 +111,24 @@ def parse_mtx(lines: DataFrame, symmetric: bool = False) -> DataFrame:
 
 
 def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int, int]]:
-    """(matrix, (rows, cols, nnz)) of a MatrixMarket coordinate file."""
-    lines = spark.read.text(path)
-    top = lines.limit(1).first()["value"].lower()
-    sizes = _tokens(lines).limit(1).first()
+    """(matrix, (rows, cols, nnz)) of a MatrixMarket coordinate file, or of what write_mtx() wrote."""
+    lines, header = spark.read.text(path), _lines(spark, f"{path}/{HEADER}")
+    head = lines if header is None else header
+    top = head.limit(1).first()["value"].lower()
+    sizes = _tokens(head).limit(1).first()
     rows, cols, n = (int(v) for v in sizes["t"])
-    return parse_mtx(lines.where(F.col("value") != sizes["value"]), "symmetric" in top), (rows, cols, n)
+    body = lines.where(F.col("value") != sizes["value"]) if header is None else lines
+    return parse_mtx(body, "symmetric" in top), (rows, cols, n)
+
+
+def write_mtx(m: DataFrame, path: str, rows: int, cols: int, symmetric: bool = False) -> None:
+    """A matrix (row, col, v) as MatrixMarket coordinates, its header in a folder `_header` beside the parts.
+
+    With symmetric, m has the entries on and below the diagonal alone.
+    """
+    m.select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "v").alias("value")).write.mode("overwrite").text(path)
+    kind = "symmetric" if symmetric else "general"
+    _put_header(m.sparkSession, path, [f"%%MatrixMarket matrix coordinate real {kind}", f"{rows} {cols} {m.count()}"])
 
 
 def csf_lines(x: DataFrame, dims: Sequence[int], order: Sequence[int] | None = None) -> DataFrame:
@@ -142,12 +177,27 @@ def parse_positional_csf(lines: Sequence[str]) -> list[list[float]]:
     return [[float(x) for x in line.split()] for line in lines if line.strip()]
 
 
-def parse_dense(lines: DataFrame) -> DataFrame:
-    """(row, col, v) of dense rows; lines (row, value) are numbered by their reader."""
-    cells = lines.select(F.col("row").cast("long").alias("row"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "s"))
+def parse_dense(lines: DataFrame, cols: int | None = None) -> DataFrame:
+    """(row, col, v) of dense rows; lines (row, value) are numbered by their reader. With cols, rows of other lengths raise."""
+    cells = F.split(F.trim("value"), r"\s+")
+    if cols is not None:
+        cells = F.when(F.size(cells) == cols, cells).otherwise(F.raise_error(F.concat(F.lit("ragged row: "), "value")).cast("array<string>"))
+    cells = lines.select(F.col("row").cast("long").alias("row"), F.posexplode(cells).alias("col", "s"))
     return cells.select("row", F.col("col").cast("long").alias("col"), F.col("s").cast("double").alias("v"))
 
 
+def read_dense(spark: SparkSession, path: str, cols: int, ones: int | None = None) -> DataFrame:
+    """(row, col, v) of a dense text file with cols numbers a line; others raise. Without a file, `ones` rows of ones."""
+    lines = _lines(spark, path)
+    if lines is None:
+        if ones is None:
+            raise FileNotFoundError(path)
+        return spark.range(ones).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("col"), F.lit(1.0).alias("v"))
+    # Splits of a file begin at different places; within one, rows come as they stand.
+    rows = lines.select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return parse_dense(ordinals(rows.where(F.trim("value") != ""), ["split", "at"], "row"), cols)
+
+
 def dense_lines(m: DataFrame, cols: int, decimals: int | None = None) -> DataFrame:
     """(row, value): a dense matrix as text, a line for each row; absent cells are 0."""
     cells = m.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("c"))

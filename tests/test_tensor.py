@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tensorloom.functions import factors as fac
 from tensorloom.operators import compare, contract, coo, formats, linalg, stats, tucker
@@ -195,6 +196,19 @@ def test_text_formats(spark, toy, tmp_path):
     assert text.parse_dense_tensor("2 2 2 1 2 3 4") == ([2, 2], [1, 2, 3, 4])
     with pytest.raises(ValueError):
         text.parse_dense_tensor("2 2 2 1")
+    text.write_tns(toy, str(tmp_path / "y"), [3, 3, 4])
+    got, sizes = text.read_tns(spark, str(tmp_path / "y"), strict=True)
+    assert sizes == [3, 3, 4] and sorted(map(tuple, got.collect())) == TOY
+    drawn = [r["v"] for r in text.parse_coo(lines, 3, missing=F.rand(3)).where("i1 = 1 and i2 = 2").collect()]
+    assert len(drawn) == 1 and 0 < drawn[0] < 1
+    text.write_mtx(m.where("row >= col"), str(tmp_path / "out.mtx"), 2, 2, symmetric=True)
+    again, sizes = text.read_mtx(spark, str(tmp_path / "out.mtx"))
+    assert sizes == (2, 2, 2) and sorted(map(tuple, again.collect())) == sorted(map(tuple, m.collect()))
+    (tmp_path / "dense").write_text("1 2\n\n3 4\n")
+    assert sorted(map(tuple, text.read_dense(spark, str(tmp_path / "dense"), 2).collect())) == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)]
+    assert sorted(map(tuple, text.read_dense(spark, str(tmp_path / "absent"), 2, ones=1).collect())) == [(0, 0, 1.0), (0, 1, 1.0)]
+    with pytest.raises(Exception, match="ragged row"):
+        text.read_dense(spark, str(tmp_path / "dense"), 3).collect()
     rows = {r["value"] for r in text.csf_lines(toy, [3, 3, 3]).collect()}
     assert "mode_2_ptr: 0 1 2 3 4 6 7 8" in rows and "# Dimensions: 3 3 3" in rows
 
@@ -204,6 +218,11 @@ def test_binary_formats(spark, toy, tmp_path):
     (tmp_path / "mode0.bin").write_bytes(binary.factor_bytes(f, 8))
     got = binary.read_factors(spark, str(tmp_path / "mode0.bin")).orderBy("idx").collect()
     assert np.allclose([r["row"] for r in got], [r[1:] for r in f.orderBy("x").collect()])
+    some = f.where("x <> 4")
+    files = binary.factor_files(some, "a", rows=3)
+    assert sorted(r["first"] for r in files.collect()) == [0, 3, 6]
+    back = {r["idx"]: r["row"] for r in binary.parse_factors(files).collect()}
+    assert back[4] == [0, 0, 0] and np.allclose([back[x] for x in (0, 3, 6)], [r[1:] for r in f.where("x in (0, 3, 6)").orderBy("x").collect()])
     model = tucker.hooi(toy, [3, 3, 3], [2, 2, 2], sweeps=1)
     binary.write_model(model, str(tmp_path / "model"))
     back = binary.read_model(spark, str(tmp_path / "model"))
