@@ -18,6 +18,8 @@ from .common import row_keys, written
 CAPACITY = 32 << 20
 #: Parts that the copies of one text are merged in before they go to their owner.
 SALTS = 64
+#: A group is hot with more than 1 / (HOT_SHARE * parts) of all rows, so HOT_SHARE * parts groups are hot at most.
+HOT_SHARE = 4
 
 
 def grow_directory(entries: DataFrame, capacity: int, start_bits: int, most_bits: int = 62) -> DataFrame:
@@ -93,8 +95,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits, doubled until no bucket has more than capacity bytes in several keys, deals the entries
     to owner tasks. A key that more than one row has goes to its owner with its texts; copies are
     merged before, in parts, so that a hot text comes as a few rows. The owner compares bytes and
-    chains texts that differ. The answers go back to the rows by a join on hash and digest, whose
-    large keys Spark splits (adaptive skew joins). hash_bits below 64 makes collisions common, for
+    chains texts that differ. The answers go back to the rows by a join on hash and digest. Hot
+    groups, HOT_SHARE for each shuffle partition at most by their definition, are looked up where
+    the rows are, before and after, so that no join gathers their rows. hash_bits below 64 makes collisions common, for
     tests. Very long texts are compared whole. An empty table gives no rows; other columns are not
     read.
     """
@@ -104,14 +107,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.sha2(text, 256).alias("text_sha256"), (F.octet_length(text) + 64).cast("long").alias("bytes")), "dedup-rows")
     entries = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")), "dedup-entries")
     shared = entries.where("n > 1")
-    total, parts = shared.agg(F.sum("bytes")).first()[0] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = entries.agg(F.sum("n"), F.sum(F.when(F.col("n") > 1, F.col("bytes")))).first()
+    count, total, parts = sizes[0] or 0, sizes[1] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = lambda n: F.col(n) > max(1, count // (HOT_SHARE * parts))
     directory = grow_directory(shared, capacity, max(1, (max(parts, -(-total // capacity)) - 1).bit_length()))
     bodies = docs.select(key.alias("key"), text.cast("binary").alias("body"), F.col(id_col).cast("long").alias("id"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
-    members = bodies.join(shared.select("key").hint("merge"), "key", "left_semi").groupBy("key", "body", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
+    hot_keys = F.broadcast(shared.where(hot("n")).select("key"))
+    often = bodies.join(hot_keys, "key", "left_semi")
+    seldom = bodies.join(hot_keys, "key", "left_anti").join(shared.where(~hot("n")).select("key").hint("merge"), "key", "left_semi")
+    members = often.unionByName(seldom).groupBy("key", "body", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
     owned = in_buckets(written(members.drop("salt"), "dedup-members"), directory).repartition("bucket").sortWithinPartitions("key").select("key", "body", "n", "keep")
     index = written(owned.mapInArrow(_chains, "key long, sha string, keep_id long, group_size long").where("key is not null"), "dedup-index")
     single = rows.join(entries.where("n = 1").select("key"), "key", "left_semi").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    copies = rows.join(index, (rows["key"] == index["key"]) & (rows["text_sha256"] == index["sha"]))
+    near_by = F.broadcast(index.where(hot("group_size")).select("key", F.col("sha").alias("text_sha256"), "keep_id", "group_size"))
+    far = index.where(~hot("group_size")).select("key", F.col("sha").alias("text_sha256"), "keep_id", "group_size")
+    on = ["key", "text_sha256"]
+    copies = rows.join(near_by, on).unionByName(rows.join(near_by.select(*on), on, "left_anti").join(far, on))
     several = copies.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return single.unionByName(several)
 

@@ -70,6 +70,19 @@ def test_exact_dedup_null_and_repeated_ids(spark):
     assert len(got) == 4 and all(r["kept"] and r["group_size"] == 2 for r in got)
 
 
+def test_exact_dedup_of_hot_groups(spark):
+    """Groups that are looked up where the rows are, beside small ones and single rows."""
+    data = [(i, "hot" if i % 2 else None if i % 4 else f"t{i % 12}" if i % 8 else f"own{i}", None, None) for i in range(400)]
+    by = collections.defaultdict(list)
+    for i, text, *_ in data:
+        by[text or ""].append(i)
+    assert len(by["hot"]) > 400 // (exact_dedup.HOT_SHARE * 4) and len(by["own8"]) == 1
+    for bits in (64, 2):
+        got = exact_dedup.exact_groups(table(spark, data).repartition(3), hash_bits=bits).collect()
+        want = {(i, max(ids), len(ids), i == max(ids), hashlib.sha256(text.encode()).hexdigest()) for text, ids in by.items() for i in ids}
+        assert len(got) == 400 and {tuple(r) for r in got} == want
+
+
 def brute_components(data, width, percent):
     sets = {}
     for i, text, *_ in data:
