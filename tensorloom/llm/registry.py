@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
 
+from .clustering import cluster, op11_sql
+from .codes import encode, op12_sql
 from .exact_dedup import OP6_SQL, exact_groups
 from .language import held_out, identify
 from .mixing import OP10_SQL, mix
 from .near_dedup import OP5_SQL, near_duplicates
+from .neighbours import neighbours
 from .packing import pack
 from .quality import quality
 from .search import search
@@ -78,5 +81,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_language": op3_language, "op4_search": op4_search, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
-SQL: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in 16 clusters, after three rounds."""
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of 16 bytes."""
+    return encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each embedding whose id is divisible by 20."""
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_language": op3_language, "op4_search": op4_search, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_mixing": op10_mixing, "op11_clustering": op11_clustering, "op12_codes": op12_codes, "op13_neighbours": op13_neighbours}
+SQL: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL, "op11_clustering": op11_sql(), "op12_codes": op12_sql()}
