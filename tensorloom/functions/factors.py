@@ -37,9 +37,14 @@ def uniform(spark: SparkSession, n: int, r: int, seed: int = 42) -> DataFrame:
     return closed_form(spark, n, r, lambda x, k: _uniform(x, k, seed))
 
 
+def normal(x: Column, k: int, seed: int) -> Column:
+    """A standard normal number that hangs on row, column and seed alone, by the Box-Muller transform."""
+    return F.sqrt(-2 * F.ln(_uniform(x, 2 * k, seed))) * F.cos(2 * np.pi * _uniform(x, 2 * k + 1, seed))
+
+
 def gaussian(spark: SparkSession, n: int, r: int, seed: int = 42) -> DataFrame:
-    """Standard normal cells by the Box-Muller transform."""
-    return closed_form(spark, n, r, lambda x, k: F.sqrt(-2 * F.ln(_uniform(x, 2 * k, seed))) * F.cos(2 * np.pi * _uniform(x, 2 * k + 1, seed)))
+    """Standard normal cells."""
+    return closed_form(spark, n, r, lambda x, k: normal(x, k, seed))
 
 
 def orthonormal(spark: SparkSession, n: int, r: int, seed: int = 42) -> DataFrame:
@@ -62,8 +67,7 @@ def extended(factor: DataFrame, extra: int, seed: int = 42) -> DataFrame:
     spark, r = factor.sparkSession, len(factor.columns) - 1
     names, rows = [f"u{k}" for k in range(r + extra)], int(factor.agg(F.max("x")).first()[0]) + 1
     for draw in range(seed, seed + 4):
-        cell = lambda x, k: F.sqrt(-2 * F.ln(_uniform(x, 2 * (r + k), draw))) * F.cos(2 * np.pi * _uniform(x, 2 * (r + k) + 1, draw))  # noqa: B023, E731
-        new = closed_form(spark, rows, extra, cell)
+        new = closed_form(spark, rows, extra, lambda x, k: normal(x, r + k, draw))  # noqa: B023
         both = factor.join(new.toDF("x", *names[r:]), "x")
         g = local(gram(both, names), r + extra)
         old = np.linalg.pinv(g[:r, :r]) @ g[:r, r:]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tensorloom.functions.runs import runs
 from tensorloom.functions.tables import ordinals, written
 
 from .coo import canonical, linear, modes
@@ -19,15 +20,16 @@ def csf(x: DataFrame, top: int = 0) -> list[DataFrame]:
 
     Level l has (pos, idx, ptr_begin, ptr_end): a node's place among the prefixes of l + 1 indices,
     its own index, and the places of its children; the last level has (pos, idx, v). Coordinates
-    are summed first. Places are numbered over range partitions, so no task sees all nodes.
+    are summed first. All levels' places come from one sort and one written table (see runs()); a
+    level sums up its nodes, whose rows stand together, so little of it is shuffled.
     """
     cols = modes(x)
-    below = ordinals(canonical(x), cols)
-    levels = [below.select("pos", F.col(cols[-1]).alias("idx"), "v")]
-    for n in range(len(cols) - 1, top, -1):
-        nodes = below.groupBy(*cols[:n]).agg(F.min("pos").alias("ptr_begin"), (F.max("pos") + 1).alias("ptr_end"))
-        below = ordinals(nodes, cols[:n])
-        levels.insert(0, below.select("pos", F.col(cols[n - 1]).alias("idx"), "ptr_begin", "ptr_end"))
+    n = len(cols)
+    placed = runs(canonical(x), cols, range(top + 1, n + 1))
+    levels = [placed.select(F.col(f"run{n}").alias("pos"), F.col(cols[-1]).alias("idx"), "v")]
+    for k in range(n - 1, top, -1):
+        nodes = placed.groupBy(F.col(f"run{k}").alias("pos"), F.col(cols[k - 1]).alias("idx"))
+        levels.insert(0, nodes.agg(F.min(f"run{k + 1}").alias("ptr_begin"), (F.max(f"run{k + 1}") + 1).alias("ptr_end")))
     return levels
 
 
@@ -62,24 +64,28 @@ def csr(m: DataFrame, rows: int) -> DataFrame:
 
 
 def split_fibers(x: DataFrame, threshold: int) -> DataFrame:
-    """x with part: fibers (all modes but the last) cut after every threshold non-zeros."""
+    """x with part: fibers (all modes but the last) cut after every threshold non-zeros.
+
+    Places within fibers come from range parts, so a fiber may be longer than a task's share.
+    """
     cols = modes(x)
-    place = F.row_number().over(W.partitionBy(*cols[:-1]).orderBy(cols[-1])) - 1
-    return x.withColumn("part", F.floor(place / threshold).cast("long"))
+    at = len(cols) - 1
+    placed = runs(x.select(*cols, "v"), cols, (), [at])
+    return placed.select(*cols, "v", F.floor(F.col(f"place{at}") / threshold).cast("long").alias("part"))
 
 
 def balanced(x: DataFrame, fiber: int = 128, slice_: int = 512) -> DataFrame:
     """(i0, slice_part, fibers, nnz): slices cut into runs of fiber parts of near equal number.
 
-    Fibers are cut at `fiber` non-zeros; a slice of n non-zeros gets ceil(n / slice_) parts.
+    Fibers are cut at `fiber` non-zeros; a slice of n non-zeros gets ceil(n / slice_) parts. Places
+    of fiber parts within their slice come from range parts, too: no task holds a slice.
     """
     cols = modes(x)
     keys = [*cols[:-1], "part"]
-    fibers = split_fibers(x, fiber).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    fibers = written(split_fibers(x, fiber).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "fiber-parts")
     slices = fibers.groupBy("i0").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("of"))
-    place = F.row_number().over(W.partitionBy("i0").orderBy(*keys[1:])) - 1
     wide = F.ceil(F.col("of") / F.ceil(F.col("total") / slice_))
-    parted = fibers.withColumn("place", place).join(slices, "i0").withColumn("slice_part", F.floor(F.col("place") / wide).cast("long"))
+    parted = runs(fibers, keys, (), [1]).join(slices, "i0").withColumn("slice_part", F.floor(F.col("place1") / wide).cast("long"))
     return parted.groupBy("i0", "slice_part").agg(F.count(F.lit(1)).alias("fibers"), F.sum("n").alias("nnz"))
 
 
@@ -112,10 +118,13 @@ def semisparse_fibers(x: DataFrame, mode: int) -> DataFrame:
     return x.groupBy(*rest).agg(F.count(F.lit(1)).alias("n"), F.min(f"i{mode}").alias("first"), F.max(f"i{mode}").alias("last"))
 
 
-def inverted_index(x: DataFrame, mode: int) -> DataFrame:
-    """(idx, n, positions): where each index of a mode stands, in lexicographic order of x.
+def inverted_index(x: DataFrame, mode: int, size: int = 1 << 16) -> DataFrame:
+    """(idx, chunk, n, positions): where each index of a mode stands, in lexicographic order of x.
 
-    For modes whose slices fit in a row; joins and groupings need no such index.
+    Positions rise over the chunks of an index, and a chunk has `size` of them at most, so a hot
+    index is many rows. n is the chunk's number of positions.
     """
-    placed = ordinals(x, modes(x))
-    return placed.groupBy(F.col(f"i{mode}").alias("idx")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    cols = modes(x)
+    first = ordinals(x, cols).select(F.col(f"i{mode}").alias("idx"), "pos")
+    placed = runs(first, ["idx", "pos"], (), [1]).withColumn("chunk", F.floor(F.col("place1") / size).cast("long"))
+    return placed.groupBy("idx", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,23 +11,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
+from tensorloom.functions.tables import written
 
 #: Cells of a Gram matrix that the driver solves, at most.
 GRAM_CELLS = 4_000_000
 
 
-def gram(y: DataFrame, columns: list[str]) -> DataFrame:
+def block(columns: Sequence[pa.Array]) -> np.ndarray:
+    """The rows of a batch as a matrix; nulls count as 0. columns are numbers, or one array of numbers."""
+    if len(columns) == 1 and pa.types.is_list(columns[0].type):
+        flat = columns[0].flatten().to_numpy(zero_copy_only=False).astype(float)
+        return np.nan_to_num(flat.reshape(len(columns[0]), -1) if len(flat) else np.zeros((len(columns[0]), 0)))
+    return np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in columns])
+
+
+def gram(y: DataFrame, columns: Sequence[str], width: int | None = None) -> DataFrame:
     """(row, col, v) of Y'Y for a table with one row per row of Y: partial sums in each task, then one sum.
 
-    Only the upper half is summed up; the other half mirrors it.
+    columns are numbers, or one array of `width` of them. Only the upper half is summed up; the
+    other half mirrors it.
     """
-    n = len(columns)
+    n = width or len(columns)
     ship(y.sparkSession)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, n))
         for b in batches:
-            m = np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in b.columns]) if b.num_rows else np.zeros((0, n))
+            m = block(b.columns) if b.num_rows else np.zeros((0, n))
             total += m.T @ m
         at = np.triu_indices(n)
         yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int64()), pa.array(at[1], pa.int64()), pa.array(total[at])], names=["row", "col", "v"])
@@ -36,10 +46,64 @@ def gram(y: DataFrame, columns: list[str]) -> DataFrame:
     return upper.unionByName(upper.where("row < col").select(F.col("col").alias("row"), F.col("row").alias("col"), "v"))
 
 
-def gram_self_join(m: DataFrame) -> DataFrame:
-    """Y'Y of a sparse matrix (row, col, v), by joining it with itself on its rows."""
-    other = m.select("row", F.col("col").alias("c2"), F.col("v").alias("w"))
-    return m.join(other, "row").groupBy(F.col("col").alias("row"), F.col("c2").alias("col")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+#: Entries of a chunk of a sparse row, and products that a task holds before it sums them up.
+CHUNK, PRODUCTS = 512, 1 << 20
+
+
+def gram_self_join(m: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Y'Y of a sparse matrix (row, col, v) with one entry a cell, by the outer products of its rows.
+
+    Rows are cut into chunks of about `chunk` entries, by a hash of the column; pairs of chunks are
+    dealt to tasks, so a long row is the work of many. A task sums its products up by cell, in
+    bounded pieces, before they are shuffled. Only the upper half is summed; the other mirrors it.
+    """
+    ship(m.sparkSession)
+    m = written(m.select("row", "col", "v"), "gram-entries")
+    long = m.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks")).where("chunks > 1")
+    sized = m.join(long, "row", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    parted = sized.withColumn("chunk", F.pmod(F.xxhash64("col"), "chunks"))
+    chunks = parted.groupBy("row", "chunks", "chunk").agg(F.collect_list(F.struct("col", "v")).alias("e"))
+    # A chunk goes where it is the first and where it is the second of a pair.
+    first = chunks.select("row", F.col("chunk").alias("p"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("q"), F.col("e").alias("a"))
+    second = chunks.where("chunk > 0").select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk") - 1)).alias("p"), F.col("chunk").alias("q"), F.col("e").alias("b"))
+    # A chunk meets itself without the join.
+    pairs = first.where("p = q").select("a", F.lit(None).cast(second.schema["b"].dataType).alias("b")).unionByName(first.where("p < q").join(second, ["row", "p", "q"]).select("a", "b"))
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        e = column.flatten()
+        return ends, e.field("col").to_numpy(zero_copy_only=False).astype(np.int64), e.field("v").to_numpy(zero_copy_only=False).astype(float)
+
+    def summed(held: list) -> pa.RecordBatch:
+        one, two, v = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((two, one))
+        one, two, v = one[order], two[order], v[order]
+        new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        return pa.RecordBatch.from_arrays([pa.array(one[new]), pa.array(two[new]), pa.array(np.add.reduceat(v, new))], names=["row", "col", "v"])
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            (a_end, a_col, a), (b_end, b_col, b) = flat(batch.column(0)), flat(batch.column(1))
+            a_from, b_from, alone = 0, 0, batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            for k in range(batch.num_rows):
+                i, j = slice(a_from, a_end[k]), slice(b_from, b_end[k])
+                a_from, b_from = a_end[k], b_end[k]
+                other, w = (a_col[i], a[i]) if alone[k] else (b_col[j], b[j])
+                one, two, v = np.repeat(a_col[i], len(w)), np.tile(other, i.stop - i.start), np.outer(a[i], w).ravel()
+                if alone[k]:
+                    upper = one <= two
+                    one, two, v = one[upper], two[upper], v[upper]
+                held.append((np.minimum(one, two), np.maximum(one, two), v))
+                n += len(v)
+                if n > PRODUCTS:
+                    yield summed(held)
+                    held, n = [], 0
+        if held:
+            yield summed(held)
+
+    upper = pairs.mapInArrow(outer, "row long, col long, v double").groupBy("row", "col").agg(F.sum("v").alias("v"))
+    return upper.unionByName(upper.where("row < col").select(F.col("col").alias("row"), F.col("row").alias("col"), "v"))
 
 
 def trace(g: DataFrame) -> DataFrame:
@@ -72,14 +136,13 @@ def resolved(values: np.ndarray, rows: int, cols: int, trace_: float, eps: float
 def left_singular(y: DataFrame, columns: list[str], r: int, row: str = "x") -> tuple[DataFrame, np.ndarray]:
     """The top r left singular vectors of Y as a factor (x, u0, ...), and the singular values.
 
-    The Gram matrix of the columns is summed up on the executors and solved on the driver; the
-    rows are then projected where they are. Directions without weight get zero columns.
+    By the Gram matrix of the columns where it tells the eigenvalues apart, else by TSQR (see
+    svd.singular()). Rows are projected where they are. Directions without weight get zero columns.
     """
-    g = local(gram(y, columns), len(columns))
-    values, vectors = top_eigen(g, min(r, len(columns)))
-    sigma = np.sqrt(np.maximum(values, 0))
-    scale = np.where(values > 1e-12 * max(values.max(initial=0), 1e-300), 1 / np.maximum(sigma, 1e-300), 0.0)
-    return project(y, columns, vectors * scale, row), sigma
+    from .svd import singular
+
+    found = singular(y, columns, min(r, len(columns)), row)
+    return found.u, found.sigma
 
 
 def project(y: DataFrame, columns: list[str], matrix: np.ndarray, row: str = "x") -> DataFrame:
@@ -89,31 +152,13 @@ def project(y: DataFrame, columns: list[str], matrix: np.ndarray, row: str = "x"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in b.columns[1:]]) if b.num_rows else np.zeros((0, len(columns)))
+            m = block(b.columns[1:]) if b.num_rows else np.zeros((0, len(matrix)))
             out = m @ matrix
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, k]) for k in range(out.shape[1]))], names=["x", *names])
 
     return y.select(F.col(row).alias("x"), *columns).mapInArrow(run, "x long, " + ", ".join(f"{n} double" for n in names))
 
 
-def svd(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """U, singular values and V of a small matrix, thin, signs fixed as in top_eigen."""
-    u, s, vt = np.linalg.svd(a, full_matrices=False)
-    sign = np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])])
-    sign = np.where(sign == 0, 1, sign)
-    return u * sign, s, vt.T * sign
-
-
-def subspace(g: np.ndarray, r: int, extra: int = 8, steps: int = 8, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The top r eigenpairs by subspace iteration with a Rayleigh-Ritz step."""
-    k = min(len(g), r + extra)
-    q = np.linalg.qr(np.random.RandomState(seed).standard_normal((len(g), k)))[0]
-    for _ in range(steps):
-        q = np.linalg.qr(g @ q)[0]
-    values, small = top_eigen(q.T @ g @ q, min(r, k))
-    return values, q @ small
-
-
 def ridge_rows(pairs: DataFrame, r: int, penalty: float, key: str = "x") -> DataFrame:
     """Least squares with a ridge for each key: pairs (key, d0..d{r-1}, v) to (x, u0, ...).
 

@@ -15,8 +15,9 @@ from tensorloom.functions.factors import orthonormal
 from tensorloom.functions.tables import written
 
 from .contract import rank, ttm_chain, ttmc
-from .coo import modes
-from .linalg import gram, left_singular, local, ridge_rows
+from .coo import linear, modes
+from .linalg import GRAM_CELLS, gram, left_singular, local, ridge_rows
+from .svd import left_vectors
 
 
 #: Cells of a core that the driver takes.
@@ -76,13 +77,26 @@ def _projected(x: DataFrame, factors: Sequence[DataFrame], mode: int, strategy:
     return _spread(y.select(f"i{mode}", *(F.col(f"i{m}").alias(f"r{k}") for k, m in enumerate(rest)), "v"), f"i{mode}", [rank(factors[m]) for m in rest])
 
 
-def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 25, tolerance: float = 1e-5, seed: int = 42, strategy: str = "fused", order: Sequence[int] | None = None) -> Tucker:
+def _update(x: DataFrame, factors: Sequence[DataFrame], dims: Sequence[int], ranks: Sequence[int], mode: int, strategy: str, cells: int) -> tuple[DataFrame, np.ndarray]:
+    """A mode's new factor and singular values; where the other ranks are many, from entries, without a column for each."""
+    others = [rank(factors[m]) for m in range(len(factors)) if m != mode]
+    if math.prod(others) ** 2 > cells:
+        y = ttmc(x, dict(enumerate(factors)), mode, "fused" if strategy == "chain" else strategy)
+        entries = y.select(F.col(f"i{mode}").alias("row"), linear([F.col(f"r{k}") for k in range(len(others))], others).alias("col"), "v")
+        found = left_vectors(entries, dims[mode], math.prod(others), ranks[mode], complete=False, cells=cells)
+        return found.u, found.sigma
+    y, names = _projected(x, factors, mode, strategy)
+    return left_singular(written(y, "tucker-y"), names, ranks[mode])
+
+
+def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 25, tolerance: float = 1e-5, seed: int = 42, strategy: str = "fused", order: Sequence[int] | None = None, cells: int = GRAM_CELLS) -> Tucker:
     """Higher-order orthogonal iteration; modes are updated from the last to the first, or in `order`.
 
     Each update takes the top left singular vectors of the tensor times all other factors. The
     sweeps end when the fit changes by less than tolerance. Rows without non-zeros are absent from
     the factors, as they would be zero. Ranks are cut to the sizes of the modes and to what the
-    other ranks allow.
+    other ranks allow. Where the squared product of the other ranks is over `cells`, the update
+    takes the shorter side's Gram matrix, or none at all (svd.left_vectors).
     """
     spark, n = x.sparkSession, len(dims)
     ranks = [min(r, d) for r, d in zip(ranks, dims, strict=True)]
@@ -93,9 +107,7 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
     order = list(order or range(n - 1, -1, -1))
     for _ in range(sweeps):
         for mode in order:
-            y, names = _projected(x, factors, mode, strategy)
-            y = written(y, "tucker-y")
-            u, sigma = left_singular(y, names, ranks[mode])
+            u, sigma = _update(x, factors, dims, ranks, mode, strategy, cells)
             factors[mode] = written(u, "tucker-factor")
         core_sq = float((sigma**2).sum())
         out.fits.append(fit_of_core(norm_sq, core_sq))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import factors as fac
 from tensorloom.functions.shipping import ship
 from tensorloom.functions.tables import shared_dir, written
-from tensorloom.operators import compare, contract, coo, formats, linalg, stats, tucker
+from tensorloom.operators import compare, contract, coo, formats, linalg, stats, svd, tucker
 from tensorloom.plans import planner
 from tensorloom.sources import binary, generate, logs, text
 
@@ -197,7 +197,7 @@ _GRID = "((d0 + 15) // 16) * ((d1 + 127) // 128) * ((d2 + 3) // 4)"
 query("block_summary", f"SELECT CAST(any_value({_GRID}) AS BIGINT) AS blocks, CAST(any_value({_GRID}) - count(*) AS BIGINT) AS empty, max(n) AS max_nnz FROM dims, (SELECT {_BLOCK} AS b, count(*) AS n FROM x3, dims GROUP BY 1)")(lambda s, d: stats.block_summary(x := x3(s, d), sizes(x), [16, 128, 4]))
 query("blocks_by_size", f"SELECT block, nnz, CAST((row_number() OVER (ORDER BY nnz DESC, block) - 1) % 4 AS BIGINT) AS worker FROM (SELECT {_BLOCK} AS block, count(*) AS nnz FROM x3, dims GROUP BY 1)")(lambda s, d: stats.blocks_by_size(x := x3(s, d), sizes(x), [16, 128, 4], 4))
 query("semisparse_fibers", "SELECT i0, i2, count(*) AS n, min(i1) AS first, max(i1) AS last FROM x3 GROUP BY i0, i2")(lambda s, d: formats.semisparse_fibers(x3(s, d), 1))
-query("inverted_index", f"SELECT i1 AS idx, count(*) AS n, list(pos ORDER BY pos) AS positions FROM ({_LEAF}) GROUP BY i1")(lambda s, d: formats.inverted_index(x3(s, d), 1))
+query("inverted_index", f"SELECT i1 AS idx, place // 16 AS chunk, count(*) AS n, list(pos ORDER BY pos) AS positions FROM (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY pos) - 1 AS place FROM ({_LEAF})) GROUP BY 1, 2")(lambda s, d: formats.inverted_index(x3(s, d), 1, 16))
 
 # ---- statistics
 
@@ -285,12 +285,66 @@ def _svd_topr(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(np.sqrt(max(v, 0))), 6)) for k, v in enumerate(values)], "k int, sigma double")
 
 
-@query("orthonormal_check", "SELECT CAST(a AS BIGINT) AS \"row\", CAST(b AS BIGINT) AS col, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest(range(0, 4)) AS a), (SELECT unnest(range(0, 4)) AS b)")
+@query("orthonormal_check", "SELECT round(sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), 4) AS energy, 0.0::DOUBLE AS off FROM (SELECT unnest(embedding) AS v FROM embeddings)")
 def _orthonormal_check(spark, sf_dir):
-    """The Gram matrix of the top left singular vectors of the embeddings is the identity."""
+    """The left singular vectors of the embeddings: squared lengths times eigenvalues add up to the squared norm, and no two overlap."""
     f = _embeddings(spark, sf_dir)
-    u, _ = linalg.left_singular(f, f.columns[1:], 4)
-    return linalg.gram(u, u.columns[1:]).select("row", "col", (F.round(F.abs("v"), 6)).alias("v"))
+    u, sigma = linalg.left_singular(written(f, "embeddings"), f.columns[1:], len(f.columns) - 1)
+    g = linalg.local(linalg.gram(u, u.columns[1:]), len(sigma))
+    off = np.abs(g - np.diag(np.diag(g))).max(initial=0)
+    return spark.createDataFrame([(round(float((np.diag(g) * sigma**2).sum()), 4), round(float(off), 6))], "energy double, off double")
+
+
+_EMB = "SELECT vec_id AS x, generate_subscripts(embedding, 1) - 1 AS p, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
+_EMB_G = f"SELECT a.p AS p, b.p AS q, sum(a.v * b.v) AS g FROM ({_EMB}) a JOIN ({_EMB}) b USING (x) GROUP BY 1, 2"
+
+
+@query("tsqr_moments", f"WITH g AS ({_EMB_G}) SELECT 1 AS power, round(sum(g) FILTER (p = q), 4) AS total FROM g UNION ALL SELECT 2, round(sum(g * g), 3) FROM g UNION ALL SELECT 3, round(sum(a.g * b.g * c.g), 2) FROM g a JOIN g b ON a.q = b.p JOIN g c ON b.q = c.p AND c.q = a.p")
+def _tsqr_moments(spark, sf_dir):
+    """Sums of the second, fourth and sixth powers of all singular values of the embeddings, by TSQR: traces of the Gram matrix's powers."""
+    f = _embeddings(spark, sf_dir)
+    sigma = np.linalg.svd(svd.triangle(f, f.columns[1:]), compute_uv=False)
+    return spark.createDataFrame([(p, round(float((sigma ** (2 * p)).sum()), 5 - p)) for p in (1, 2, 3)], "power int, total double")
+
+
+_MOMENTS = 16
+
+
+@query("tsqr_fallback", f"SELECT i0 AS \"row\", k AS col, round(sum(pow(v / 50, k)), 6) AS v, 'tsqr' AS way FROM x3 CROSS JOIN (SELECT unnest(range(0, {_MOMENTS})) AS k) GROUP BY 1, 2")
+def _tsqr_fallback(spark, sf_dir):
+    """U S V' of the moments of suppliers' quantities, so nearly dependent that the Gram matrix can't tell its eigenvalues apart."""
+    x = x3(spark, sf_dir)
+    y = written(x.groupBy(F.col("i0").alias("x")).agg(*(F.sum(F.pow(F.col("v") / 50, F.lit(k))).alias(f"u{k}") for k in range(_MOMENTS))), "moments")
+    found = svd.singular(y, y.columns[1:], _MOMENTS)
+    again = linalg.project(found.u, found.u.columns[1:], (found.v * found.sigma).T)
+    return contract.narrow(again).select("row", "col", F.round("v", 6).alias("v"), F.lit(found.way).alias("way"))
+
+
+_SIDES = {0: ("i0", "i1, i2"), 2: ("i2", "i0, i1")}
+_NVECS = " UNION ALL ".join(f"SELECT {m} AS mode, (SELECT sum(v * v) FROM x3) AS second, sum(g * g) AS fourth FROM (SELECT sum(a.v * b.v) AS g FROM x3 a JOIN x3 b USING ({rest}) GROUP BY a.{row}, b.{row})" for m, (row, rest) in _SIDES.items())
+
+
+@query("nvecs_moments", f"SELECT mode, round(second / 1e6, 4) AS second, round(fourth / 1e12, 4) AS fourth FROM ({_NVECS})")
+def _nvecs_moments(spark, sf_dir):
+    """All singular values of two unfoldings of X3 with few rows and many columns: their second and fourth powers."""
+    x = written(x3(spark, sf_dir), "nvecs-x")
+    dims = sizes(x)
+    values = {m: svd.nvecs(x, dims, m, dims[m]).sigma for m in _SIDES}
+    return spark.createDataFrame([(m, round(float((s**2).sum()) / 1e6, 4), round(float((s**4).sum()) / 1e12, 4)) for m, s in values.items()], "mode int, second double, fourth double")
+
+
+_POWER_STEPS = 12
+_POWER = ", ".join(["p0 AS (SELECT DISTINCT col AS x, 1.0::DOUBLE AS u FROM s2)"] + [f"q{k} AS (SELECT \"row\" AS x, sum(v * u) AS u FROM s2 JOIN p{k} ON x = col GROUP BY 1), r{k} AS (SELECT col AS x, sum(v * u) AS u FROM s2 JOIN q{k} ON x = \"row\" GROUP BY 1), p{k + 1} AS (SELECT x, u / (SELECT sqrt(sum(u * u)) FROM r{k}) AS u FROM r{k})" for k in range(_POWER_STEPS)])
+
+
+@query("svd_power")
+def _svd_power(spark, sf_dir):
+    """The greatest singular value of S2 by block power iteration: customers and suppliers may both be many."""
+    found = svd.iterated(s2(spark, sf_dir), 1, tolerance=1e-10)
+    return spark.createDataFrame([(round(float(found.sigma[0]), 4),)], "sigma double")
+
+
+SQL["svd_power"] = f"WITH s2 AS ({VIEWS['s2']}), {_POWER} SELECT round(sqrt(sum(u * u)), 4) AS sigma FROM (SELECT \"row\", sum(v * u) AS u FROM s2 JOIN p{_POWER_STEPS} ON x = col GROUP BY 1)"
 
 
 @query("resolution_test")
