@@ -16,11 +16,21 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it differ from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset: a temporary folder for a local master (tests), else a folder in the
-    warehouse, which a cluster shares too.
+    Only where that is unset, and the master is local (tests), a temporary folder is taken; a cluster
+    without the setting raises, as no folder of the driver's machine would do.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -30,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", own)
         return own
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
