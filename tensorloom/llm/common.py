@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tensorloom.functions.tables import ordinals, written
+from tensorloom.functions.tables import fresh, ordinals, written
 
 #: A word: a run of anything but ASCII white space (fixed by the contract).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,12 +49,20 @@ def row_keys(docs: DataFrame, id_col: str, nulls_last: bool = False) -> tuple[Da
     """docs, and the column that tells its rows apart: the ids, where they differ and none is null.
 
     Else the rows are written with a number each, which rises with the id; rows of one id are
-    numbered by a hash of their columns, and equal rows one by one. Nulls come first or last.
+    numbered by a hash of their columns, and equal rows one by one. Nulls come first or last. The
+    columns that are added have names that docs lacks.
     """
-    if docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 or _id is null").isEmpty():
+    if docs.groupBy(F.col(id_col).alias("of")).agg(F.count(F.lit(1)).alias("times")).where("times > 1 or of is null").isEmpty():
         return docs, id_col
+    key, at, hash_ = fresh(docs, "row_key", "row_at", "row_hash")
     hashed = F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map<" not in t])
-    rows = written(docs.withColumn("_hash", hashed).withColumn("_at", F.monotonically_increasing_id()), "row-hashes")
+    rows = written(docs.withColumns({hash_: hashed, at: F.monotonically_increasing_id()}), "row-hashes")
     by_id = F.col(id_col).asc_nulls_last() if nulls_last else F.col(id_col).asc_nulls_first()
-    places = ordinals(rows.select(id_col, "_hash", "_at"), [by_id, "_hash", "_at"], "_row_key")
-    return written(rows.join(places.select("_at", "_row_key"), "_at").select(*docs.columns, "_row_key"), "row-keys"), "_row_key"
+    places = ordinals(rows.select(id_col, hash_, at), [by_id, hash_, at], key)
+    return written(rows.join(places.select(at, key), at).select(*docs.columns, key), "row-keys"), key
+
+
+def chosen(rows: DataFrame, key: str, keys: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of those rows whose key is among keys, a table of one column."""
+    (name,) = fresh(rows, "chosen")
+    return rows.join(keys.toDF(name), F.col(key) == F.col(name), "left_semi").select(*columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
 
-from .common import row_keys, written
+from .common import chosen, row_keys, written
 
 
 #: Bytes of the texts that a bucket of the index has at most, as long as it has more than one key.
@@ -128,10 +128,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies: of equal texts one row with the largest id stays, also where ids are null or repeat."""
+    """docs without the copies: of equal texts one row with the largest id stays, also where ids are null or repeat.
+
+    Null texts count as empty; long ones are compared whole. Of equal rows of one id any stays. An
+    empty table gives no rows. All columns keep their names and values, whatever they are called.
+    """
     rows, key = row_keys(docs, id_col)
-    groups = exact_groups(rows, key, text_col).where("kept").select(F.col("doc_id").alias("_keep"))
-    return rows.join(groups, rows[key] == F.col("_keep"), "left_semi").select(*docs.columns)
+    return chosen(rows, key, exact_groups(rows, key, text_col).where("kept").select("doc_id"), docs.columns)
 
 
 OP6_SQL = """

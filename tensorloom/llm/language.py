@@ -9,20 +9,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
 
-from .common import row_keys, slices, written
+from .common import chosen, row_keys, slices, written
 
 #: Documents of each language that training reads, as expected by a hash of the id.
 TRAIN_PER_LANG = 1500
-#: Words and letter trigrams that the model keeps for each language, its most frequent ones.
-MODEL_WORDS, MODEL_GRAMS = 20_000, 8_000
-#: Languages that one model tells apart; more raise an error.
-MOST_LANGS = 1_000
+#: Languages that one model tells apart, more than there are living ones; beyond it an error is raised.
+MOST_LANGS = 10_000
+#: Cells of words times languages that a task scores at once, and those that it remembers.
+AT_ONCE, REMEMBERED = 2_400_000, 1_200_000
+#: What words, trigrams and scripts of a language that have not been seen in it count.
+PRIOR = {"w": 0.05, "g": 0.5, "s": 0.0001}
 #: Words that Viterbi goes on before it packs the way back.
 STRIDE = 1_024
 #: What a change of language costs, and how far one word can speak against a language, in nats.
@@ -57,49 +59,80 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+def hashed(item: str) -> int:
+    return xxhash.xxh64_intdigest(item)
+
+
 @dataclass
-class Model:
-    """Log likelihoods by language, a row for each word and trigram; scripts: those in which a language writes.
+class Table:
+    """Log likelihoods of items by language: `unseen` for each language, and `more` for the languages that have an item.
 
-    The last row of gram_rows is that of trigrams the model has not seen.
+    Items are sorted hashes; item n has the entries from begin[n] to begin[n + 1]. So the table is as
+    large as what the sample holds, however many languages there are.
     """
 
+    items: np.ndarray
+    begin: np.ndarray
+    langs: np.ndarray
+    more: np.ndarray
+    unseen: np.ndarray
+
+    @staticmethod
+    def of(items: np.ndarray, langs: np.ndarray, n: np.ndarray, size: np.ndarray, prior: float) -> Table:
+        order = np.argsort(items, kind="stable")
+        names, begin = np.unique(items[order], return_index=True)
+        unseen = np.log(prior / (size + prior * (len(names) + 1)))
+        return Table(names, np.append(begin, len(items)), langs[order], np.log(n[order] / prior + 1), unseen)
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        """Where the items are, -1 where they haven't been seen."""
+        if not len(self.items):
+            return np.full(len(asked), -1)
+        at = np.minimum(np.searchsorted(self.items, asked), len(self.items) - 1)
+        return np.where(self.items[at] == asked, at, -1)
+
+    def added(self, rows: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+        """For each of n rows and each language the sum over the row's items."""
+        k = len(self.unseen)
+        out = np.bincount(rows, minlength=n)[:, None] * self.unseen
+        rows, places = rows[places >= 0], places[places >= 0]
+        count = self.begin[places + 1] - self.begin[places]
+        if total := int(count.sum()):
+            at = np.repeat(self.begin[places] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
+            out += np.bincount(np.repeat(rows, count) * k + self.langs[at], self.more[at], n * k).reshape(n, k)
+        return out
+
+
+@dataclass
+class Model:
+    """What words and trigrams speak for which language; scripts: those in which a language writes."""
+
     langs: list[str]
-    words: dict[str, int]
-    word_rows: np.ndarray
-    grams: dict[str, int]
-    gram_rows: np.ndarray
-    scripts: dict[str, np.ndarray]
+    words: Table
+    grams: Table
+    scripts: dict[int, np.ndarray]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """How much each word, which has letters, speaks for each language; 0 for the best."""
+        """How much each word, which has letters, speaks for each language; 0 for the best. Words not seen go by their trigrams."""
+        low = [plain(w) for w in words]
+        at = self.words.places(np.array([hashed(w) for w in low], np.uint64))
+        known, unknown = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
         out = np.empty((len(words), len(self.langs)))
-        known, known_at, flat, starts, unknown = [], [], [], [], []
-        other = len(self.grams)
-        for n, word in enumerate(words):
-            low = plain(word)
-            at = self.words.get(low)
-            if at is not None:
-                known.append(n)
-                known_at.append(at)
-            else:
-                unknown.append(n)
-                starts.append(len(flat))
-                flat += [self.grams.get(g, other) for g in grams(low)]
-        out[known] = self.word_rows[known_at]
-        if unknown:
-            out[unknown] = np.add.reduceat(self.gram_rows[flat], starts)
-        out = np.maximum(out - out.max(1, keepdims=True), -FLOOR)
+        out[known] = self.words.added(np.arange(len(known)), at[known], len(known))
+        parts = [grams(low[n]) for n in unknown.tolist()]
+        rows = np.repeat(np.arange(len(unknown)), [len(g) for g in parts])
+        out[unknown] = self.grams.added(rows, self.grams.places(np.array([hashed(g) for own in parts for g in own], np.uint64)), len(unknown))
+        out = np.maximum(out - out.max(1, keepdims=True), -FLOOR) if len(out) else out
         kinds = np.array([script(w) for w in words])
         for kind in set(kinds.tolist()):
-            allowed = self.scripts.get(kind)
+            allowed = self.scripts.get(hashed(kind))
             if allowed is not None and allowed.any():
                 out[np.ix_(kinds == kind, ~allowed)] = -2 * FLOOR
         return out
 
 
 def _sampled(rows: DataFrame, per_lang: int) -> DataFrame:
-    """About per_lang rows of each language, chosen by a hash of the id. Only the shares, one row per language, go to all tasks."""
+    """About per_lang rows of each language, chosen by a hash of the id; null ids share one. Only the shares, one row per language, go to all tasks."""
     counts = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
     if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
@@ -108,7 +141,11 @@ def _sampled(rows: DataFrame, per_lang: int) -> DataFrame:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = TRAIN_PER_LANG) -> Model:
-    """A model of the languages of docs, from about per_lang texts of each, counted on the executors."""
+    """A model of the languages of docs, from about per_lang texts of each, counted on the executors.
+
+    All words and trigrams of these texts enter. The driver takes a row for each language and each
+    word that it has in the sample, which does not grow with docs.
+    """
     ship(docs.sparkSession)
     rows = _sampled(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), per_lang)
 
@@ -122,29 +159,23 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
                         found[lang, "w", low := plain(word)] += n
                         for g in grams(low):
                             found[lang, "g", g] += n
-        yield pa.RecordBatch.from_pylist([{"lang": k[0], "kind": k[1], "item": k[2], "n": n} for k, n in found.items()], schema=pa.schema([("lang", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("n", pa.int64())]))
-
-    counts = rows.select("lang", "text").mapInArrow(count, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    counts = written(counts, "lang-counts")
-    sizes = counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"))
-    totals = {(r["kind"], r["lang"]): float(r["n"]) for r in sizes.collect()}  # three rows per language
-    langs = sorted({lang for _, lang in totals})
-    size = {kind: np.array([totals.get((kind, x), 0.0) for x in langs]) for kind in "swg"}
-
-    def rows_of(kind: str, most: int, prior: float) -> tuple[dict[str, int], np.ndarray]:
-        own = counts.where(F.col("kind") == kind)
-        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "item"))
-        kept = own.withColumn("rank", rank).where(F.col("rank") <= most).select("item").distinct()
-        found = own.join(kept, "item").groupBy("item").agg(F.collect_list(F.struct("lang", "n")).alias("by")).orderBy("item").collect()
-        counts_ = np.zeros((len(found) + 1, len(langs)))
-        place = {x: n for n, x in enumerate(langs)}
-        for n, r in enumerate(found):
-            for x in r["by"]:
-                counts_[n, place[x["lang"]]] = x["n"]
-        return {r["item"]: n for n, r in enumerate(found)}, np.log((counts_ + prior) / (size[kind] + prior * (len(found) + 1)))
-
-    names, rates = rows_of("s", 64, 0.0001)
-    return Model(langs, *rows_of("w", MODEL_WORDS, 0.05), *rows_of("g", MODEL_GRAMS, 0.5), {k: np.exp(rates[n]) > 0.002 for k, n in names.items()})
+        keys = list(found)
+        items = np.array([hashed(x) for _, _, x in keys], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in keys], pa.string()), pa.array([x for _, x, _ in keys], pa.string()), pa.array(items), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "item", "n"])
+
+    counts = rows.select("lang", "text").mapInArrow(count, "lang string, kind string, item long, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(counts.column("lang").to_pylist()))
+    place = {x: n for n, x in enumerate(langs)}
+    kinds, lang = counts.column("kind").to_numpy(), np.array([place[x] for x in counts.column("lang").to_pylist()], np.int32)
+    items, n = counts.column("item").to_numpy().view(np.uint64), counts.column("n").to_numpy().astype(float)
+
+    def table(kind: str) -> Table:
+        own = kinds == kind
+        return Table.of(items[own], lang[own], n[own], np.bincount(lang[own], n[own], len(langs)), PRIOR[kind])
+
+    letters = table("s")
+    rates = np.exp(letters.added(np.arange(len(letters.items)), np.arange(len(letters.items)), len(letters.items)))
+    return Model(langs, table("w"), table("g"), {int(x): r > 0.002 for x, r in zip(letters.items, rates, strict=True)})
 
 
 class _Ids(dict):
@@ -160,7 +191,8 @@ class _Ids(dict):
         self.update(dict.fromkeys(new, 0))
         self.update(zip(lettered, range(self.n, self.n + len(lettered)), strict=True))
         self.n += len(lettered)
-        self.rows = [np.concatenate([*self.rows, self.model.scores(lettered)])] if lettered else self.rows
+        step = 1 + AT_ONCE // max(1, len(self.model.langs))
+        self.rows = [np.concatenate([*self.rows, *(self.model.scores(lettered[at : at + step]) for at in range(0, len(lettered), step))])]
 
 
 def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -237,16 +269,19 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))])
 
+    shared, k = docs.sparkSession.sparkContext.broadcast(model), max(8, len(model.langs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         cache = _Ids(model)
-        for b in slices(batches, 2_000):
+        for b in slices(batches, 1 + 16_000 // k):
             doc, texts, at = b.column(0), b.column(1).to_pylist(), 0
             while at < len(texts):
                 end, words = at, 0
                 while end < len(texts) and (end == at or words < words_at_once):
                     words += len(texts[end] or "") // 5 + 1
                     end += 1
-                if len(cache) > 150_000:
+                if len(cache) * k > REMEMBERED:
                     cache = _Ids(model)
                 names, share, spans = _label_batch(model, cache, texts[at:end], switch)
                 yield pa.RecordBatch.from_arrays([doc.slice(at, end - at).cast(pa.int64()), pa.array(names, pa.string()), pa.array(share, pa.float64()), spans.cast(schema.types[3])], schema=schema)
@@ -267,7 +302,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def accepted(docs: DataFrame, least_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose text has letters and one language for at least least_share of its words. Ids may be null or repeat."""
+    """The rows of docs whose text has letters and one language for at least least_share of its words.
+
+    Ids may be null or repeat; rows go by their own texts. Null, empty and letterless texts go; long
+    ones are labelled whole. An empty table gives no rows. All columns keep their names and values,
+    whatever they are called.
+    """
     rows, key = row_keys(docs, id_col)
-    good = identify(rows, key, text_col, lang_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least_share)).select(F.col("doc_id").alias("_good"))
-    return rows.join(good, rows[key] == F.col("_good"), "left_semi").select(*docs.columns)
+    good = identify(rows, key, text_col, lang_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least_share))
+    return chosen(rows, key, good.select("doc_id"), docs.columns)

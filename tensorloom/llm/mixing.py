@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tensorloom.functions.tables import fresh
+
 from .common import WORD, digits_for, row_keys, written
 
 
@@ -77,14 +79,17 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
 
     A document that the cut meets is taken whole in that epoch, so that no text is torn. Documents
     that are not taken go. Documents without words weigh nothing, and stay once if their source has
-    a target above 0 or no words at all. Rows whose ids are null or repeat are taken one by one.
+    a target above 0 or no words at all. Rows whose ids are null or repeat are taken one by one; null texts
+    have no words, null sources are a source, long texts count whole. An empty table gives no rows.
+    All columns keep their names and values, whatever they are called.
     """
     rows, key = row_keys(docs, id_col)
     plan = mix(rows, weights, share, max_epochs, key, text_col, source_col)
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.when((F.col("target") > 0) | (F.col("source_size") == 0), 1).otherwise(0))
-    chosen = plan.select(F.col("doc_id").alias("_id"), copies.cast("int").alias("_copies")).where("_copies > 0")
-    joined = rows.join(chosen, rows[key] == F.col("_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[rows[c] for c in docs.columns])
+    of, times, copy = fresh(rows, "mixed_id", "mixed_times", "mixed_copy")
+    wanted = plan.select(F.col("doc_id").alias(of), copies.cast("int").alias(times)).where(F.col(times) > 0)
+    joined = rows.join(wanted, F.col(key) == F.col(of))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 OP10_SQL = r"""

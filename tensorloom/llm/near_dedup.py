@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.shipping import ship
 
-from .common import row_keys, slices, written
+from .common import chosen, row_keys, slices, written
 from .components import components
 
 #: Most bands, but for the least similarities, and the share of pairs on the threshold that may share none of them.
@@ -325,10 +325,14 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates: one with the least id, nulls last. Ids may be null or repeat."""
+    """docs with one row of each group of near duplicates: one with the least id, nulls last. Ids may be null or repeat.
+
+    Null, empty and blank texts are linked with nothing and stay; long ones are read whole. Of equal
+    rows of one id any stays. An empty table gives no rows. All columns keep their names and values,
+    whatever they are called.
+    """
     rows, key = row_keys(docs, id_col, nulls_last=True)
-    kept = _linked(rows, width, percent, key, text_col).where("kept").select(F.col("doc_id").alias("_keep"))
-    return rows.join(kept, rows[key] == F.col("_keep"), "left_semi").select(*docs.columns)
+    return chosen(rows, key, _linked(rows, width, percent, key, text_col).where("kept").select("doc_id"), docs.columns)
 
 
 OP5_SQL = r"""

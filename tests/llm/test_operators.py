@@ -434,6 +434,28 @@ def test_language(spark, none):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_scores_by_hand(spark):
+    """Scores of seen and unseen words against the formula, with more languages than words have entries."""
+    texts = {"aa": "one two two", "bb": "two three", "cc": "vier"}
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    model = language.train(docs, "doc_id", "text", "lang")
+    words_of = {lang: collections.Counter(t.split()) for lang, t in texts.items()}
+    grams_of = {lang: sum((collections.Counter({g: n for g in language.grams(w)}) for w, n in own.items()), collections.Counter()) for lang, own in words_of.items()}
+
+    def log_rate(of, item, lang, prior):
+        kinds = len(set().union(*of.values()))
+        return math.log((of[lang][item] + prior) / (sum(of[lang].values()) + prior * (kinds + 1)))
+
+    langs = sorted(texts)
+    for word in ("two", "one", "vier", "twin"):
+        if any(own[word] for own in words_of.values()):
+            want = np.array([log_rate(words_of, word, x, 0.05) for x in langs])
+        else:
+            want = np.array([sum(log_rate(grams_of, g, x, 0.5) for g in language.grams(word)) for x in langs])
+        assert np.allclose(model.scores([word])[0], np.maximum(want - want.max(), -language.FLOOR))
+    assert len(model.words.items) == 4 and len(model.words.langs) == 5  # no word is left out, and no cell is held for none
+
+
 def test_viterbi_is_exact():
     r = np.random.RandomState(3)
     scores = -r.random_sample((20, 3)) * 4

@@ -51,6 +51,27 @@ def test_run_and_registry(spark, folder):
     assert set(entry.oracle_sql()) <= set(names)
 
 
+def test_columns_keep_their_values_whatever_their_names(spark):
+    """Names that the stages use inside, and that they used once, in each stage, with ids that repeat."""
+    names = ["_hash", "_at", "_row_key", "_keep", "_good", "_id", "_copies", "_copy", "ROW_KEY", "row_at", "row_hash", "Chosen", "mixed_id", "mixed_times", "mixed_copy", "key", "component_id", "kept", "n_shingles", "size", "target", "taken"]
+    texts = ["some words of one text", "some words of one text", "another text with other words", "a third of them"]
+    for ids in ([1, 1, 2, None], [1, 2, 3, 4]):
+        data = [(i, t, "en", "s", len(t), *(77 + k for k in range(len(names)))) for i, t in zip(ids, texts, strict=True)]
+        docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns
+            got = [tuple(r) for r in out.collect()]
+            assert got and all(r in data for r in got), name
+        assert corpus_pipeline.packed(spark, docs, "").count() >= 4
+
+
+def test_stages_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() == 0
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     """Stages decide on rows, also where ids are null or repeat."""
     base = " ".join(f"word{k}" for k in range(60))
