@@ -19,10 +19,6 @@ def modular(spark: SparkSession, n: int, r: int, a: int, b: int, m: int) -> Data
     return closed_form(spark, n, r, lambda x, k: (x * a + b * k) % m)
 
 
-def constant(spark: SparkSession, n: int, r: int, value: float) -> DataFrame:
-    return closed_form(spark, n, r, lambda x, k: F.lit(float(value)))
-
-
 def identity(spark: SparkSession, n: int) -> DataFrame:
     """The identity as (row, col, v)."""
     return spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(1.0).alias("v"))
@@ -80,8 +76,3 @@ def extended(factor: DataFrame, extra: int, seed: int = 42) -> DataFrame:
     turn = np.zeros((r + extra, r + extra))
     turn[:r, :r], turn[:r, r:], turn[r:, r:] = np.eye(r), -old @ out, out
     return project(both, names, turn)
-
-
-def sparse_rows(spark: SparkSession, n: int, r: int, every: int, seed: int = 42) -> DataFrame:
-    """A tall factor in which only each every-th row isn't zero."""
-    return closed_form(spark, n, r, lambda x, k: F.when(x % every == 0, _uniform(x, k, seed)).otherwise(0.0))

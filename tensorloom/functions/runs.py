@@ -88,5 +88,31 @@ def runs(df: DataFrame, order: Sequence[str], prefixes: Sequence[int], places: S
     return local.select(*kept, *(out[c].alias(c) for c in made if c in wanted))
 
 
+def running(df: DataFrame, order: Sequence[str], amount: str, name: str) -> tuple[DataFrame, int]:
+    """df with the sum of a whole-number column over all rows before, in the order of columns; and the sum of all.
+
+    Sums are taken within range parts, and one row for each part gives what came before it.
+    """
+    ship(df.sparkSession)
+    kept = df.columns
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            own = b.column(kept.index(amount)).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = before + np.cumsum(own)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums - own), pa.array(np.full(len(own), part))], names=[*kept, name, "run_part"])
+            before = int(sums[-1]) if len(sums) else before
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{name}` long, run_part long"])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(add, schema), "running")
+    before, total = {}, 0
+    for r in sorted(local.groupBy("run_part").agg(F.sum(amount).alias("n")).collect(), key=lambda r: r["run_part"]):
+        before[r["run_part"]], total = total, total + r["n"]
+    table = [before.get(p, 0) for p in range(max(before, default=0) + 1)]
+    return local.withColumn(name, F.col(name) + F.element_at(F.lit(table), (F.col("run_part") + 1).cast("int"))).drop("run_part"), total
+
+
 def _wanted(prefixes: Sequence[int], places: Sequence[int]) -> set[str]:
     return {*(f"run{k}" for k in prefixes), *(f"place{k}" for k in places)}

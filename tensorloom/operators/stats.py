@@ -1,20 +1,21 @@
-"""Statistics of fibers, slices and blocks, and how work is dealt by them."""
+"""Statistics of fibers, slices and blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tensorloom.functions.tables import ordinals
+from tensorloom.functions.runs import runs
+from tensorloom.functions.tables import ordinals, written
 
 from .coo import modes
 from .formats import block_id
 
-#: Upper bounds of the bins of slices by non-zeros and fibers (fixed values; the last is open).
-SLICE_BINS = (1025, 2049, 4097, 8193, 16385, 32769, 65537, 131073, 262145)
+#: Numbers of the bins of slices by non-zeros and fibers, with their upper bounds (fixed values); bins 1 to 4 are part of bin 0, and the last is open.
+SLICE_BINS = {0: 1025, 5: 2049, 6: 4097, 7: 8193, 8: 16385, 9: None}
 
 
 def fiber_stats(x: DataFrame) -> DataFrame:
@@ -30,12 +31,11 @@ def slice_nnz(x: DataFrame) -> DataFrame:
     return fibers.groupBy("i0").agg(F.sum("n").alias("nnz"), F.count(F.lit(1)).alias("fibers"))
 
 
-def slice_bins(x: DataFrame, bounds: Sequence[int] = SLICE_BINS) -> DataFrame:
+def slice_bins(x: DataFrame, bins: Mapping[int, int | None] = SLICE_BINS) -> DataFrame:
     """(bin, slices, nnz): slices by nnz + fibers; a bin has what lies below its bound and not below the one before."""
     n = F.col("nnz") + F.col("fibers")
-    number = F.lit(len(bounds))
-    for k in range(len(bounds) - 1, -1, -1):
-        number = F.when(n < bounds[k], k).otherwise(number)
+    *closed, last = bins
+    number = reduce(lambda other, k: F.when(n < bins[k], k).otherwise(other), reversed(closed), F.lit(last))
     return slice_nnz(x).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("slices"), F.sum("nnz").alias("nnz"))
 
 
@@ -71,18 +71,18 @@ def block_summary(x: DataFrame, dims: Sequence[int], size: Sequence[int]) -> Dat
     return block_histogram(x, dims, size).agg(F.lit(total).cast("long").alias("blocks"), (F.lit(total) - F.count(F.lit(1))).cast("long").alias("empty"), F.max("nnz").alias("max_nnz"))
 
 
-def task_ranges(x: DataFrame, fibers: int, long_fiber: int) -> DataFrame:
-    """(i0, task, fibers, nnz): slices dealt in tasks of `fibers` fibers; fibers of more than long_fiber non-zeros are tasks of their own."""
+def fiber_runs(x: DataFrame, fibers: int, long_fiber: int) -> DataFrame:
+    """(i0, run, fibers, nnz): the short fibers of a slice in runs of `fibers`, and each of more than long_fiber non-zeros by itself, numbered down from -1.
+
+    Places come from range parts, so a slice may have any number of fibers.
+    """
     cols = modes(x)
-    per = x.groupBy(*cols[:-1]).agg(F.count(F.lit(1)).alias("n"))
-    big = F.col("n") > long_fiber
-    place = F.row_number().over(W.partitionBy("i0", big).orderBy(*cols[1:-1])) - 1
-    task = F.when(big, -1 - place).otherwise(F.floor(place / fibers)).cast("long")
-    return per.withColumn("task", task).groupBy("i0", "task").agg(F.count(F.lit(1)).alias("fibers"), F.sum("n").alias("nnz"))
-
-
-def blocks_by_size(x: DataFrame, dims: Sequence[int], size: Sequence[int], workers: int) -> DataFrame:
-    """(block, nnz, worker): blocks, largest first, dealt in turn."""
-    hist = block_histogram(x, dims, size)
-    placed = ordinals(hist, [F.desc("nnz"), F.col("block")], "place")
-    return placed.withColumn("worker", F.col("place") % workers).drop("place")
+    per = written(x.groupBy(*cols[:-1]).agg(F.count(F.lit(1)).alias("n")).withColumn("long", (F.col("n") > long_fiber).cast("long")), "fiber-counts")
+    placed = runs(per, ["i0", "long", *cols[1:-1]], (), [2])
+    run = F.when(F.col("long") == 1, -1 - F.col("place2")).otherwise(F.floor(F.col("place2") / fibers)).cast("long")
+    return placed.groupBy("i0", run.alias("run")).agg(F.count(F.lit(1)).alias("fibers"), F.sum("n").alias("nnz"))
+
+
+def blocks_by_size(x: DataFrame, dims: Sequence[int], size: Sequence[int]) -> DataFrame:
+    """(block, nnz, place): the blocks that have any, largest first; equal ones by number."""
+    return ordinals(block_histogram(x, dims, size), [F.desc("nnz"), F.col("block")], "place")

@@ -19,8 +19,8 @@ from tensorloom.functions import factors as fac
 from tensorloom.functions.shipping import ship
 from tensorloom.functions.tables import shared_dir, written
 from tensorloom.operators import compare, contract, coo, formats, linalg, stats, svd, tucker
-from tensorloom.plans import planner
-from tensorloom.sources import binary, generate, logs, text
+from tensorloom.plans import planner, table_functions
+from tensorloom.sources import binary, factor_source, generate, logs, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,7 +53,7 @@ def _used(name: str, sql: str, seen: frozenset[str] = frozenset()) -> bool:
 
 
 def _factor_sql(name: str, r: int, a: int, b: int, m: int) -> str:
-    return f"SELECT x, r, CAST(({a}*x + {b}*r) % {m} AS DOUBLE) AS u FROM (SELECT unnest(range(0, 60000)) AS x) CROSS JOIN (SELECT unnest(range(0, {r})) AS r)"
+    return f"SELECT x, r, CAST(({a}*x + {b}*r) % {m} AS DOUBLE) AS u FROM (SELECT unnest(range(0, (SELECT 1 + greatest((SELECT max(l_partkey) FROM lineitem), (SELECT max(l_suppkey) FROM lineitem), (SELECT max(o_custkey) FROM orders), 12)))) AS x) CROSS JOIN (SELECT unnest(range(0, {r})) AS r)"
 
 
 VIEWS = {
@@ -152,6 +152,16 @@ def _densify_months(spark, sf_dir):
     return coo.densify(x, sizes(x))
 
 
+_KINDS = "SELECT i1 AS a, i2 AS b, sum(v) AS v FROM xe GROUP BY 1, 2"
+
+
+@query("densify_small", f"SELECT a AS i0, b AS i1, coalesce(v, 0) AS v FROM (SELECT unnest(range(0, (SELECT max(a) + 1 FROM ({_KINDS})))) AS a) CROSS JOIN (SELECT unnest(range(0, (SELECT max(b) + 1 FROM ({_KINDS})))) AS b) LEFT JOIN ({_KINDS}) USING (a, b)")
+def _densify_small(spark, sf_dir):
+    """All events by kind and hour."""
+    x = coo.squash(_events(spark, sf_dir), [0])
+    return coo.densify(x, sizes(x))
+
+
 query("chunks_roundtrip", "SELECT i0, i1, c AS i2, coalesce(v, 0) AS v FROM (SELECT DISTINCT i0, i1 FROM x3) CROSS JOIN (SELECT unnest(range(0, 8)) AS c) LEFT JOIN (SELECT i0, i1, i2 AS c, v FROM x3) USING (i0, i1, c)")(lambda s, d: coo.unchunk(coo.chunks(x3(s, d), 2, 8), 2))
 query("topk_values", "SELECT * FROM x3 ORDER BY v DESC, i0, i1, i2 LIMIT 100")(lambda s, d: coo.top(x3(s, d), 100))
 query("limit_sorted", "SELECT * FROM x3 ORDER BY i0, i1, i2 LIMIT 50")(lambda s, d: coo.first(x3(s, d), 50))
@@ -195,7 +205,7 @@ query("block_id", f"SELECT i0, i1, i2, v, {_BLOCK} AS block, i0 % 16 AS local0,
 query("block_hist", f"SELECT {_BLOCK} AS block, count(*) AS nnz FROM x3, dims WHERE v <> 0 GROUP BY 1")(lambda s, d: stats.block_histogram(x := x3(s, d), sizes(x), [16, 128, 4]))
 _GRID = "((d0 + 15) // 16) * ((d1 + 127) // 128) * ((d2 + 3) // 4)"
 query("block_summary", f"SELECT CAST(any_value({_GRID}) AS BIGINT) AS blocks, CAST(any_value({_GRID}) - count(*) AS BIGINT) AS empty, max(n) AS max_nnz FROM dims, (SELECT {_BLOCK} AS b, count(*) AS n FROM x3, dims GROUP BY 1)")(lambda s, d: stats.block_summary(x := x3(s, d), sizes(x), [16, 128, 4]))
-query("blocks_by_size", f"SELECT block, nnz, CAST((row_number() OVER (ORDER BY nnz DESC, block) - 1) % 4 AS BIGINT) AS worker FROM (SELECT {_BLOCK} AS block, count(*) AS nnz FROM x3, dims GROUP BY 1)")(lambda s, d: stats.blocks_by_size(x := x3(s, d), sizes(x), [16, 128, 4], 4))
+query("blocks_by_size", f"SELECT block, nnz, row_number() OVER (ORDER BY nnz DESC, block) - 1 AS place FROM (SELECT {_BLOCK} AS block, count(*) AS nnz FROM x3, dims WHERE v <> 0 GROUP BY 1)")(lambda s, d: stats.blocks_by_size(x := x3(s, d), sizes(x), [16, 128, 4]))
 query("semisparse_fibers", "SELECT i0, i2, count(*) AS n, min(i1) AS first, max(i1) AS last FROM x3 GROUP BY i0, i2")(lambda s, d: formats.semisparse_fibers(x3(s, d), 1))
 query("inverted_index", f"SELECT i1 AS idx, place // 16 AS chunk, count(*) AS n, list(pos ORDER BY pos) AS positions FROM (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY pos) - 1 AS place FROM ({_LEAF})) GROUP BY 1, 2")(lambda s, d: formats.inverted_index(x3(s, d), 1, 16))
 
@@ -205,14 +215,30 @@ _FIB = "SELECT i0, i1, count(*) AS n FROM x3 GROUP BY i0, i1"
 _SLC = f"SELECT i0, CAST(sum(n) AS BIGINT) AS nnz, count(*) AS fibers FROM ({_FIB}) GROUP BY i0"
 query("fiber_stats", f"SELECT count(DISTINCT i0) AS slices, count(*) AS fibers, min(n) AS min_nnz, max(n) AS max_nnz, sum(n) / count(*) AS avg_nnz FROM ({_FIB})")(lambda s, d: stats.fiber_stats(x3(s, d)))
 query("slice_nnz", _SLC)(lambda s, d: stats.slice_nnz(x3(s, d)))
-query("slice_bins", f"SELECT CASE WHEN nnz + fibers < 1025 THEN 0 WHEN nnz + fibers < 2049 THEN 1 WHEN nnz + fibers < 4097 THEN 2 WHEN nnz + fibers < 8193 THEN 3 WHEN nnz + fibers < 16385 THEN 4 WHEN nnz + fibers < 32769 THEN 5 WHEN nnz + fibers < 65537 THEN 6 WHEN nnz + fibers < 131073 THEN 7 WHEN nnz + fibers < 262145 THEN 8 ELSE 9 END AS bin, count(*) AS slices, CAST(sum(nnz) AS BIGINT) AS nnz FROM ({_SLC}) GROUP BY 1")(lambda s, d: stats.slice_bins(x3(s, d)))
+query("slice_bins", f"SELECT CASE WHEN nnz + fibers < 1025 THEN 0 WHEN nnz + fibers < 2049 THEN 5 WHEN nnz + fibers < 4097 THEN 6 WHEN nnz + fibers < 8193 THEN 7 WHEN nnz + fibers < 16385 THEN 8 ELSE 9 END AS bin, count(*) AS slices, CAST(sum(nnz) AS BIGINT) AS nnz FROM ({_SLC}) GROUP BY 1")(lambda s, d: stats.slice_bins(x3(s, d)))
 _IMB = "SELECT '{0}' AS what, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS sd, round(stddev_pop(n) / avg(n), 6) AS cv, round(max(n) / avg(n) - 1, 6) AS imbalance FROM ({1})"
 query("imbalance_cv", _IMB.format("fibers_per_slice", f"SELECT fibers AS n FROM ({_SLC})") + " UNION ALL " + _IMB.format("nnz_per_fiber", _FIB))(lambda s, d: stats.imbalance(x3(s, d)).select("what", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "cv", "imbalance"))))
 query("density", "SELECT round(count(*) / CAST(any_value(d0 * d1 * d2) AS DOUBLE), 12) AS density FROM x3, dims")(lambda s, d: stats.density(x := x3(s, d), sizes(x)).select(F.round("density", 12).alias("density")))
-query("task_ranges", f"SELECT i0, CAST(CASE WHEN big THEN -1 - place ELSE place // 32 END AS BIGINT) AS task, count(*) AS fibers, CAST(sum(n) AS BIGINT) AS nnz FROM (SELECT i0, n, n > 2 AS big, row_number() OVER (PARTITION BY i0, n > 2 ORDER BY i1) - 1 AS place FROM ({_FIB})) GROUP BY 1, 2")(lambda s, d: stats.task_ranges(x3(s, d), 32, 2))
+query("fiber_runs", f"SELECT i0, CAST(CASE WHEN big THEN -1 - place ELSE place // 32 END AS BIGINT) AS run, count(*) AS fibers, CAST(sum(n) AS BIGINT) AS nnz FROM (SELECT i0, n, n > 2 AS big, row_number() OVER (PARTITION BY i0, n > 2 ORDER BY i1) - 1 AS place FROM ({_FIB})) GROUP BY 1, 2")(lambda s, d: stats.fiber_runs(x3(s, d), 32, 2))
 
 # ---- contractions
 
+_LINES = "SELECT CAST(l_suppkey AS BIGINT) AS k, CAST(l_linenumber AS BIGINT) AS col, CAST(sum(l_quantity) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2"
+
+
+@query("gemm", f'SELECT s2."row", l.col, sum(v * w) AS v FROM s2 JOIN ({_LINES}) l ON s2.col = k GROUP BY 1, 2')
+def _gemm(spark, sf_dir):
+    """S2 times the quantities by supplier and line number: an entry meets several of the other side."""
+    lines = coo.from_columns(_table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_linenumber"], "l_quantity")
+    return contract.gemm(s2(spark, sf_dir), lines.toDF("row", "col", "v"))
+
+
+@query("gemv_affine", 'SELECT x AS "row", r AS col, sum(v) AS v FROM (SELECT col AS x, r, v * ((5 * "row" + 2 * r) % 7) AS v FROM s2 CROSS JOIN (SELECT unnest(range(0, 2)) AS r) UNION ALL SELECT x, r, CAST((5 * x + 2 * r) % 7 AS DOUBLE) FROM (SELECT unnest(range(0, (SELECT max(col) + 1 FROM s2))) AS x) CROSS JOIN (SELECT unnest(range(0, 2)) AS r)) GROUP BY 1, 2')
+def _gemv_affine(spark, sf_dir):
+    """S2 transposed times B, and an offset for each supplier."""
+    rows, cols = sizes((m := coo.transpose(s2(spark, sf_dir))).select(F.col("row").alias("i0"), F.col("col").alias("i1"), "v"))
+    return contract.affine(m, contract.narrow(_b(spark, cols)), contract.narrow(_b(spark, rows)))
+
 
 
 @query("gemm_nations", 'SELECT s2.col AS "row", CAST(c_nationkey AS BIGINT) AS col, sum(v) AS v FROM s2 JOIN customer ON c_custkey = s2."row" GROUP BY 1, 2')
@@ -470,6 +496,65 @@ def _mtx_symmetric_all(spark, sf_dir):
     return text.read_mtx(spark, at)[0]
 
 
+@query("mtx_symmetric", _SUP)
+def _mtx_symmetric(spark, sf_dir):
+    """The Gram matrix of S2, written as its lower half and read whole."""
+    m, at = written(linalg.gram_self_join(s2(spark, sf_dir)), "gram"), _place(spark, "mtx")
+    size = m.agg(F.max("row") + 1).first()[0]
+    text.write_mtx(m.where("row >= col"), at, size, size, symmetric=True)
+    return text.read_mtx(spark, at)[0]
+
+
+@query("csf_text_roundtrip", "SELECT * FROM x4")
+def _csf_text(spark, sf_dir):
+    """X4 as a labelled text whose arrays take many lines, and read again."""
+    x, at = x4(spark, sf_dir), _place(spark, "csf")
+    text.csf_lines(x, sizes(x), size=1024).select("value").write.text(at)
+    return text.csf_to_coo(written(text.parse_csf(spark.read.text(at)), "csf-text"), 4)
+
+
+_FLAGS = "SELECT CAST(month(l_shipdate) - 1 AS BIGINT) AS i0, CAST(l_linenumber AS BIGINT) AS i1, CAST(l_discount * 100 AS BIGINT) AS i2, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3"
+
+
+@query("csf_positional_roundtrip", _FLAGS.replace("CAST(l_discount * 100 AS BIGINT)", "CAST(round(l_discount * 100) AS BIGINT)"))
+def _csf_positional(spark, sf_dir):
+    """All order lines by month, line number and discount, as the seven lines of a small tree."""
+    x = coo.from_columns(_table(spark, sf_dir, "lineitem"), [F.month("l_shipdate") - 1, "l_linenumber", F.round(F.col("l_discount") * 100)], "l_quantity")
+    numbers = text.csf_lines(x, sizes(x)).where("n >= 10").select("n", F.substring_index("value", ": ", -1).alias("value"))
+    lines = numbers.select(F.when(F.col("n") == 1000, 6).otherwise(F.col("n") - 10).alias("n"), "value")
+    return text.csf_to_coo(written(text.parse_positional_csf(lines), "csf-positional"), 3)
+
+
+@query("dense_tensor_roundtrip", f"WITH m AS ({_MONTHS}) SELECT a AS i0, b AS i1, coalesce(v, 0) AS v FROM (SELECT unnest(range(0, (SELECT max(i0) + 1 FROM m))) AS a) CROSS JOIN (SELECT unnest(range(0, (SELECT max(i1) + 1 FROM m))) AS b) LEFT JOIN m ON a = i0 AND b = i1")
+def _dense_tensor(spark, sf_dir):
+    """All order lines by month and line number as row-major text of few numbers a line."""
+    x, at = coo.from_columns(_table(spark, sf_dir, "lineitem"), [F.month("l_shipdate") - 1, "l_linenumber"], "l_quantity"), _place(spark, "dense")
+    text.write_dense_tensor(x, sizes(x), at, per_line=5)
+    return text.read_dense_tensor(spark, at)[0]
+
+
+@query("dense_file_or_ones", 'SELECT x AS "row", r AS col, CASE WHEN r = 2 THEN 1.0::DOUBLE ELSE u END AS v FROM fb WHERE x < (SELECT d0 FROM dims) UNION ALL SELECT x, 2, 1.0 FROM (SELECT DISTINCT x FROM fb) WHERE x < (SELECT d0 FROM dims)')
+def _dense_or_ones(spark, sf_dir):
+    """The factor B of the suppliers from a dense text file, and beside it ones, as the other file is absent."""
+    n, at = sizes(x3(spark, sf_dir))[0], _place(spark, "dense")
+    text.dense_lines(contract.narrow(_b(spark, n)), 2).orderBy("row").select("value").write.text(at)
+    ones = text.read_dense(spark, f"{at}-absent", 1, ones=n)
+    return text.read_dense(spark, at, 2).unionByName(ones.withColumn("col", F.lit(2).cast("long")))
+
+
+@query("tns_observed", "SELECT d0, d1, d2, (SELECT count(*) FROM x3) AS entries, (SELECT count(*) FROM x3 WHERE i2 % 2 = 0) AS drawn, 1 AS malformed, (SELECT sum(v) FROM x3 WHERE i2 % 2 = 1) AS total, 0 AS outside FROM dims")
+def _tns_observed(spark, sf_dir):
+    """X3 as text, every other line number without values, and what one pass over it sees."""
+    x, at = x3(spark, sf_dir), _place(spark, "tns")
+    value = F.when(F.col("i2") % 2 == 1, F.col("v").cast("string"))
+    lines = x.select(F.concat_ws(" ", *((F.col(f"i{k}") + 1).cast("string") for k in range(3)), value).alias("value"))
+    lines.unionByName(spark.createDataFrame([("1 one 1 1",)], "value string")).write.text(at)
+    found, seen = text.read_observed(spark, at, 3)
+    kept = found.agg(F.sum(F.when(F.col("i2") % 2 == 1, F.col("v"))).alias("total"), F.count_if((F.col("i2") % 2 == 0) & ~((F.col("v") > 0) & (F.col("v") < 1))).alias("outside"))
+    of = {**{f"d{k}": d for k, d in enumerate(seen["dims"])}, **{k: seen[k] for k in ("entries", "drawn", "malformed")}}
+    return kept.select(*(F.lit(v).cast("long").alias(k) for k, v in of.items()), "total", "outside")
+
+
 @query("csf_text_roundtrip_all", "SELECT * FROM x3")
 def _csf_text_all(spark, sf_dir):
     x = x3(spark, sf_dir)
@@ -490,9 +575,50 @@ def _result_lines(spark, sf_dir):
 
 @query("factor_bin_roundtrip", "SELECT x AS idx, list(u ORDER BY r) AS \"row\" FROM fa WHERE x < (SELECT d1 FROM dims) GROUP BY x")
 def _factor_bin(spark, sf_dir):
-    """The factor A of the parts as binary files, written and read again."""
-    files = written(binary.factor_files(_a(spark, sizes(x3(spark, sf_dir))[1]), "mode1"), "factor-files")
-    return binary.parse_factors(files).select("idx", "row")
+    """The factor A of the parts as a folder of binary files, written and read in ranges."""
+    at = _place(spark, "factor")
+    factor_source.write_factor(_a(spark, sizes(x3(spark, sf_dir))[1]), at, rows=500)
+    return factor_source.read_factor(spark, at)
+
+
+@query("model_files_roundtrip", "SELECT 0 AS mode, x AS idx, list(u ORDER BY r) AS \"row\" FROM fa WHERE x < (SELECT d0 FROM dims) GROUP BY x UNION ALL SELECT 1, x, list(u ORDER BY r) FROM fb WHERE x < (SELECT d1 FROM dims) GROUP BY x UNION ALL SELECT 2, x, list(u ORDER BY r) FROM fc WHERE x < (SELECT d2 FROM dims) GROUP BY x UNION ALL SELECT -1, p, list(CAST((p + 2 * q + 3 * t) % 4 AS DOUBLE) ORDER BY q, t) FROM (SELECT unnest(range(0, 3)) AS p) CROSS JOIN (SELECT unnest(range(0, 2)) AS q) CROSS JOIN (SELECT unnest(range(0, 2)) AS t) GROUP BY p")
+def _model_files(spark, sf_dir):
+    """A model of X3 as mode0.bin, mode1.bin, mode2.bin and core.bin, written and read: all rows of the factors, and the core's (-1)."""
+    _, f, core = _fixed(spark, sf_dir)
+    at = _place(spark, "model")
+    factor_source.write_model_files(tucker.Tucker(f, core), at)
+    model = factor_source.read_model_files(spark, at)
+    out = spark.createDataFrame([(-1, p, [float(v) for v in model.core[p].ravel()]) for p in range(len(model.core))], "mode int, idx long, row array<double>")
+    for m, g in enumerate(model.factors):
+        out = out.unionByName(g.select(F.lit(m).alias("mode"), F.col("x").alias("idx"), F.array(*g.columns[1:]).alias("row")))
+    return out
+
+
+@query("flat_vector", "SELECT list(n ORDER BY i0) AS flat FROM (SELECT i0, count(*) AS n FROM x3 GROUP BY i0)")
+def _flat_vector(spark, sf_dir):
+    """The non-zeros of each slice as one line of numbers."""
+    lines = text.flat_lines(stats.slice_nnz(x3(spark, sf_dir)), "i0", "nnz")
+    return lines.groupBy().agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("begin", "value"))), lambda c: F.transform(F.split(c["value"], " "), lambda n: n.cast("long")))).alias("flat"))
+
+
+# ---- table functions
+
+
+@query("udtf_fibers", "SELECT i0, i1, row_number() OVER (PARTITION BY i0 ORDER BY i1) - 1 AS fiber, CAST(sum(n) OVER w AS BIGINT) - n AS ptr_begin, CAST(sum(n) OVER w AS BIGINT) AS ptr_end FROM (SELECT i0, i1, count(*) AS n FROM x3 GROUP BY i0, i1) WINDOW w AS (PARTITION BY i0 ORDER BY i1)")
+def _udtf_fibers(spark, sf_dir):
+    """The fibers of X3 by a table function, a partition for each slice."""
+    table_functions.register(spark)
+    return spark.sql("SELECT * FROM csf_fibers(TABLE(SELECT i0, i1, i2 FROM {x}) PARTITION BY i0 ORDER BY (i1, i2))", x=x3(spark, sf_dir))
+
+
+@query("udtf_ttmc", _TTMC[0])
+def _udtf_ttmc(spark, sf_dir):
+    """X3 times A and B by a table function, as ttmc_fnf_m0."""
+    table_functions.register(spark)
+    x = x3(spark, sf_dir)
+    f = _factors(spark, x, 0)
+    wide = lambda m: f[m].select("x", F.array(*f[m].columns[1:]).alias("u"))
+    return spark.sql("SELECT * FROM ttmc_slices(TABLE(SELECT i0, a.u AS a, b.u AS b, v FROM {x} JOIN {a} a ON i1 = a.x JOIN {b} b ON i2 = b.x) PARTITION BY i0)", x=x, a=wide(1), b=wide(2))
 
 
 # ---- generators
@@ -557,12 +683,12 @@ def _baseline(spark, sf_dir):
     return compare.with_baseline(mean, mean.where("method = 'click'"))
 
 
-@query("log_regex_extract", "SELECT event_type AS dataset, CAST(user_id % 9 AS INTEGER) AS method_id, CAST(event_id % 5 AS INTEGER) AS run, 'm' || (user_id % 9) AS method, round(abs(value), 3) AS time_ms FROM events")
+@query("log_regex_extract", "SELECT event_type || ' set' AS dataset, CAST(user_id % 9 AS INTEGER) AS method_id, CAST(event_id % 5 AS INTEGER) AS run, 'm' || (user_id % 9) AS method, CASE WHEN event_id % 3 = 0 THEN round(abs(value), 3) * 1e4 ELSE round(abs(value), 3) END AS time_ms FROM events")
 def _run_log(spark, sf_dir):
-    """Events written as the lines of a log, one log for each event, and parsed again."""
+    """Events written as the lines of a log, one log for each event, and parsed again; data sets have folders, blanks and extensions, and some times exponents."""
     e = _table(spark, sf_dir, "events")
-    t = F.format_string("%.3f", F.round(F.abs("value"), 3))
-    lines = F.array(F.concat(F.lit("Running contraction on "), "event_type", F.lit("...")), F.concat(F.lit("Run "), F.col("event_id") % 5, F.lit("/5 of method v"), F.col("user_id") % 9, F.lit("...")), F.concat(F.lit("Method: m"), F.col("user_id") % 9, F.lit(", Time: "), t, F.lit(" ms")))
+    t = F.concat(F.format_string("%.3f", F.round(F.abs("value"), 3)), F.when(F.col("event_id") % 3 == 0, "e+04").otherwise(""))
+    lines = F.array(F.concat(F.lit("Running contraction on /data/v1.5/"), "event_type", F.lit(" set.tns...")), F.concat(F.lit("Run "), F.col("event_id") % 5, F.lit("/5 of method v"), F.col("user_id") % 9, F.lit("...")), F.concat(F.lit("Method: m"), F.col("user_id") % 9, F.lit(", Time: "), t, F.lit(" ms")))
     return logs.run_log(e.select(F.col("event_id").alias("log"), F.posexplode(lines).alias("n", "value")))
 
 
@@ -591,7 +717,3 @@ def _scalars(spark, sf_dir):
 
 
 query("human_sizes", "SELECT i0, CASE WHEN b >= 1073741824 THEN printf('%.2f GB', round(b / 1073741824.0, 2)) WHEN b >= 1048576 THEN printf('%.2f MB', round(b / 1048576.0, 2)) WHEN b >= 1024 THEN printf('%.2f KB', round(b / 1024.0, 2)) ELSE b || ' B' END AS size FROM (SELECT i0, count(*) * 32 AS b FROM x3 GROUP BY 1)")(lambda s, d: x3(s, d).groupBy("i0").agg((F.count(F.lit(1)) * 32).alias("b")).select("i0", logs.human_bytes("b").alias("size")))
-
-# The same work under the names that it had when it took a part of a table.
-for _name, _whole in {"gemm": "gemm_nations", "densify_small": "densify_months", "gemv_affine": "gemv_affine_all", "mtx_symmetric": "mtx_symmetric_all", "csf_text_roundtrip": "csf_text_roundtrip_all"}.items():
-    QUERIES[_name], SQL[_name] = QUERIES[_whole], SQL[_whole]

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from tensorloom.functions.shipping import ship
 
 
-#: Cells of a factor that the driver takes for a file.
-MOST_CELLS = 1 << 24
-
-
 def read_factors(spark: SparkSession, path: str, cols: int | None = None) -> DataFrame:
     """(file, idx, row) of binary factors: two unsigned 64-bit sizes and then float32 or float64 cells.
 
@@ -64,19 +60,6 @@ def factor_files(factor: DataFrame, name: str, rows: int = 1 << 16, width: int =
     return factor.withColumn("part", F.floor(F.col("x") / rows)).groupBy("part").applyInPandas(encode, "path string, first long, content binary")
 
 
-def factor_bytes(factor: DataFrame, width: int = 4) -> bytes:
-    """A factor of a mode, in index order, as its file's bytes; absent rows are 0. Factors of more than MOST_CELLS raise."""
-    most = factor.agg(F.max("x")).first()[0]
-    n = 0 if most is None else int(most) + 1
-    if n * (len(factor.columns) - 1) > MOST_CELLS:
-        raise ValueError(f"a factor of {n} rows doesn't fit the driver")
-    rows = factor.orderBy("x").toPandas()
-    m = np.zeros((n, len(rows.columns) - 1), "<f4" if width == 4 else "<f8")
-    if len(rows):
-        m[rows["x"].to_numpy(int)] = rows.drop(columns="x").to_numpy(float)
-    return struct.pack("<QQ", *m.shape) + m.tobytes()
-
-
 def write_model(model, path: str) -> None:
     """A Tucker model's tables: factors/mode=n (Parquet), the core (Parquet) and a summary (JSON)."""
     spark = model.factors[0].sparkSession

@@ -18,16 +18,18 @@ def block_log(text: DataFrame) -> DataFrame:
 def run_log(lines: DataFrame) -> DataFrame:
     """(dataset, method_id, run, method, time_ms) of numbered lines (log, n, value).
 
-    Lines `Running contraction on F...` name the dataset and `Run r/R of method vN...` the run for
-    the lines `Method: M, Time: T ms` that follow, up to the next.
+    Lines `Running contraction on F...` name the dataset, F's last part without its extension, and
+    `Run r/R of method vN...` the run for the lines `Method: M, Time: T` that follow, up to the next.
+    T may have an exponent.
     """
     value = F.col("value")
     pick = lambda pattern, k: F.nullif(F.regexp_extract(value, pattern, k), F.lit(""))
-    marked = lines.select("log", "n", "value", pick(r"Running contraction on (\S+?)\.\.\.", 1).alias("dataset"), pick(r"Run (\d+)/\d+ of method", 1).alias("run"), pick(r"of method v(\d+)", 1).alias("method_id"))
+    marked = lines.select("log", "n", "value", F.regexp_replace(F.regexp_extract(F.trim(pick(r"Running contraction on (.*?)\.\.\.?$", 1)), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "").alias("dataset"), pick(r"Run (\d+)/\d+ of method", 1).alias("run"), pick(r"of method v(\d+)", 1).alias("method_id"))
     w = W.partitionBy("log").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     filled = marked.select("log", "n", "value", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in ("dataset", "run", "method_id")))
-    found = filled.where(F.col("value").rlike(r"Method: .*Time: [0-9.]+ ms"))
-    return found.select("dataset", F.col("method_id").cast("int").alias("method_id"), F.col("run").cast("int").alias("run"), F.trim(F.regexp_extract("value", r"Method: ([^,]+),", 1)).alias("method"), F.regexp_extract("value", r"Time: ([0-9.]+) ms", 1).cast("double").alias("time_ms"))
+    time = r"Time: (\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
+    found = filled.where(F.col("value").rlike(r"Method: .*" + time))
+    return found.select("dataset", F.col("method_id").cast("int").alias("method_id"), F.col("run").cast("int").alias("run"), F.trim(F.regexp_extract("value", r"Method: ([^,]+),", 1)).alias("method"), F.regexp_extract("value", time, 1).cast("double").alias("time_ms"))
 
 
 def kernel_time(text: DataFrame, runs: int = 1) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.functions.tables import ordinals
-from tensorloom.operators.coo import modes
+from tensorloom.functions.runs import running
+from tensorloom.functions.tables import ordinals, written
+from tensorloom.operators.coo import delinearise, linearise, modes
 from tensorloom.operators.formats import csf, csf_pointers
 
 #: The folder beside the parts of a text that has its header; Spark's readers pass over it.
@@ -131,28 +133,44 @@ def write_mtx(m: DataFrame, path: str, rows: int, cols: int, symmetric: bool = F
     _put_header(m.sparkSession, path, [f"%%MatrixMarket matrix coordinate real {kind}", f"{rows} {cols} {m.count()}"])
 
 
-def csf_lines(x: DataFrame, dims: Sequence[int], order: Sequence[int] | None = None) -> DataFrame:
-    """(n, value): the labelled text of a fiber tree, a line for each array. For trees whose arrays fit a line."""
+def csf_lines(x: DataFrame, dims: Sequence[int], order: Sequence[int] | None = None, size: int = 1 << 16) -> DataFrame:
+    """(n, begin, value): the labelled text of a fiber tree, in the order of n and begin.
+
+    An array is a line `label: numbers`; what passes `size` numbers goes on in lines `label[begin]:`,
+    so that no cell holds a level.
+    """
     levels, spark = csf(x), x.sparkSession
     head = [f"# Tensor order: {len(dims)}", "# Mode ordering: " + " ".join(map(str, order or range(len(dims)))), "# Dimensions: " + " ".join(map(str, dims))]
 
-    def line(df: DataFrame, col: str, n: int, label: str) -> DataFrame:
+    def lines(df: DataFrame, col: str, n: int, label: str) -> DataFrame:
+        begin = F.floor(F.col("pos") / size) * size
         numbers = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(col).alias("x")))), lambda s: s["x"].cast("string")), " ")
-        return df.agg(F.concat(F.lit(label + ": "), numbers).alias("value")).select(F.lit(n).alias("n"), "value")
+        name = F.when(F.col("begin") == 0, label + ": ").otherwise(F.concat(F.lit(f"{label}["), F.col("begin"), F.lit("]: ")))
+        return df.groupBy(begin.alias("begin")).agg(numbers.alias("numbers")).select(F.lit(n).alias("n"), "begin", F.concat(name, "numbers").alias("value"))
 
-    out = spark.createDataFrame(list(enumerate(head)), "n int, value string")
+    out = spark.createDataFrame([(n, 0, line) for n, line in enumerate(head)], "n int, begin long, value string")
     for k, level in enumerate(levels):
-        out = out.unionByName(line(csf_pointers(levels, k), "ptr", 10 + 2 * k, f"mode_{k}_ptr")).unionByName(line(level, "idx", 11 + 2 * k, f"mode_{k}_idx"))
-    return out.unionByName(line(levels[-1], "v", 1000, "values"))
+        out = out.unionByName(lines(csf_pointers(levels, k), "ptr", 10 + 2 * k, f"mode_{k}_ptr")).unionByName(lines(level, "idx", 11 + 2 * k, f"mode_{k}_idx"))
+    return out.unionByName(lines(levels[-1], "v", 1000, "values"))
 
 
 def parse_csf(lines: DataFrame) -> DataFrame:
-    """(level, kind, pos, val) of labelled lines: the arrays ptr, idx and (level -1) values."""
+    """(level, kind, pos, val) of labelled lines: the arrays ptr, idx and (level -1) values, whole or in ranges `label[begin]:`."""
     label = F.trim(F.substring_index("value", ":", 1))
-    rows = lines.where("value NOT LIKE '#%' AND value LIKE '%:%'").select(label.alias("label"), F.posexplode(F.split(F.trim(F.substring_index("value", ":", -1)), r"\s+")).alias("pos", "s"))
+    rows = lines.where("value NOT LIKE '#%' AND value LIKE '%:%'").select(label.alias("label"), F.posexplode(F.split(F.trim(F.substring_index("value", ":", -1)), r"\s+")).alias("at", "s"))
     level = F.coalesce(F.regexp_extract("label", r"mode_(\d+)_", 1).try_cast("int"), F.lit(-1))
-    kind = F.when(F.col("label") == "values", "values").otherwise(F.regexp_extract("label", r"_(ptr|idx)$", 1))
-    return rows.select(level.alias("level"), kind.alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("s").try_cast("double").alias("val")).where("val IS NOT NULL")
+    kind = F.when(F.col("label").startswith("values"), "values").otherwise(F.regexp_extract("label", r"_(ptr|idx)(?:\[|$)", 1))
+    begin = F.coalesce(F.regexp_extract("label", r"\[(\d+)\]$", 1).try_cast("long"), F.lit(0))
+    return rows.select(level.alias("level"), kind.alias("kind"), (begin + F.col("at")).alias("pos"), F.col("s").try_cast("double").alias("val")).where("val IS NOT NULL")
+
+
+def parse_positional_csf(lines: DataFrame, order: int = 3) -> DataFrame:
+    """parse_csf()'s table of numbered lines (n, value): a pointer and an index line for each level, then the values."""
+    rows = lines.where(F.trim("value") != "").select("n", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("pos", "s"))
+    last = F.col("n") == 2 * order
+    level = F.when(last, -1).otherwise(F.floor(F.col("n") / 2)).cast("int")
+    kind = F.when(last, "values").when(F.col("n") % 2 == 0, "ptr").otherwise("idx")
+    return rows.where(F.col("n") <= 2 * order).select(level.alias("level"), kind.alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("s").cast("double").alias("val"))
 
 
 def csf_to_coo(arrays: DataFrame, order: int) -> DataFrame:
@@ -172,11 +190,6 @@ def csf_to_coo(arrays: DataFrame, order: int) -> DataFrame:
     return from_csf(levels)
 
 
-def parse_positional_csf(lines: Sequence[str]) -> list[list[float]]:
-    """The seven lines ptr0, idx0, ptr1, idx1, ptr2, idx2, values of a small order-3 tree."""
-    return [[float(x) for x in line.split()] for line in lines if line.strip()]
-
-
 def parse_dense(lines: DataFrame, cols: int | None = None) -> DataFrame:
     """(row, col, v) of dense rows; lines (row, value) are numbered by their reader. With cols, rows of other lengths raise."""
     cells = F.split(F.trim("value"), r"\s+")
@@ -193,9 +206,9 @@ def read_dense(spark: SparkSession, path: str, cols: int, ones: int | None = Non
         if ones is None:
             raise FileNotFoundError(path)
         return spark.range(ones).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("col"), F.lit(1.0).alias("v"))
-    # Splits of a file begin at different places; within one, rows come as they stand.
-    rows = lines.select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
-    return parse_dense(ordinals(rows.where(F.trim("value") != ""), ["split", "at"], "row"), cols)
+    # Files follow one another by name, and their splits by where they begin; within one, rows come as they stand.
+    rows = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return parse_dense(ordinals(rows.where(F.trim("value") != ""), ["file", "split", "at"], "row"), cols)
 
 
 def dense_lines(m: DataFrame, cols: int, decimals: int | None = None) -> DataFrame:
@@ -206,17 +219,66 @@ def dense_lines(m: DataFrame, cols: int, decimals: int | None = None) -> DataFra
     return cells.select("row", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda k: show(at(k))), " ").alias("value"))
 
 
-def parse_dense_tensor(text: str) -> tuple[list[int], list[float]]:
-    """(sizes, values) of a small dense tensor: its order, its sizes, and the row-major values."""
-    t = text.split()
-    n = int(t[0])
-    sizes, values = [int(v) for v in t[1 : n + 1]], [float(v) for v in t[n + 1 :]]
-    total = 1
-    for s in sizes:
-        total *= s
-    if len(values) != total:
-        raise ValueError(f"{total} values are due, {len(values)} given")
-    return sizes, values
+def read_dense_tensor(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
+    """(tensor, sizes) of a text file or folder of parts: the order, the sizes, and the row-major values, over any lines.
+
+    Numbers find their places by prefix sums over lines, so neither a line nor the file has to be
+    short. Another number of values than the sizes ask for raises.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    tokens = lines.select(F.split(F.trim("value"), r"\s+").alias("t"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    placed, total = running(tokens.withColumn("n", F.size("t")), ["file", "split", "at"], "n", "before")
+    cells = placed.select("before", F.posexplode("t").alias("k", "s")).select((F.col("before") + F.col("k")).alias("pos"), "s")
+    first = cells.where("pos = 0").first()
+    if first is None:
+        raise ValueError(f"{path} is empty")
+    order = int(first["s"])
+    sizes = [int(r["s"]) for r in sorted(cells.where(F.col("pos").between(1, order)).collect(), key=lambda r: r["pos"])]
+    if len(sizes) < order or total - 1 - order != math.prod(sizes):
+        raise ValueError(f"{path} has {total - 1 - order} values for the sizes {sizes}")
+    return delinearise(cells.where(F.col("pos") > order).select((F.col("pos") - 1 - order).alias("pos"), F.col("s").cast("double").alias("v")), sizes), sizes
+
+
+def write_dense_tensor(x: DataFrame, sizes: Sequence[int], path: str, per_line: int = 1024) -> None:
+    """x with all its cells as text that read_dense_tensor() reads; parts follow one another by name."""
+    spark, total = x.sparkSession, math.prod(sizes)
+    grid = spark.range(total).select(F.col("id").alias("pos")).join(linearise(x, sizes), "pos", "left").select("pos", F.coalesce("v", F.lit(0.0)).alias("v"))
+    lines = grid.groupBy(F.floor(F.col("pos") / per_line).alias("line")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"].cast("string")), " ").alias("value"))
+    head = spark.createDataFrame([(-1, f"{len(sizes)} " + " ".join(map(str, sizes)))], "line long, value string")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    head.unionByName(lines).repartitionByRange(parts, "line").sortWithinPartitions("line").select("value").write.mode("overwrite").text(path)
+
+
+def read_observed(spark: SparkSession, path: str, order: int, base: int = 1, seed: int = 0) -> tuple[DataFrame, dict[str, int | list[int]]]:
+    """(tensor, what was seen) of a headerless file, in one pass: sizes, entries, entries without value, malformed lines.
+
+    Entries without a value get a number in (0, 1) that hangs on the place of their line. An index
+    below base raises. Lines that are no entries are counted and go. The tensor is a written table.
+    """
+    seen = Observation()
+    rows = _tokens(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")))
+    drawn = (F.pmod(F.xxhash64(F.regexp_extract("file", "[^/]*$", 0), "split", "at", F.lit(seed)), F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
+    cols = [F.try_element_at("t", F.lit(k + 1)).try_cast("long").alias(f"i{k}") for k in range(order)]
+    parsed = rows.select(*cols, F.when(F.size("t") == order, drawn).otherwise(F.try_element_at("t", F.lit(order + 1)).try_cast("double")).alias("v"), F.size("t").alias("n"))
+    good = F.col("n").between(order, order + 1) & F.col("v").isNotNull()
+    for k in range(order):
+        good = good & F.col(f"i{k}").isNotNull()
+    good = F.coalesce(good, F.lit(False))
+    told = [F.count_if(good).alias("entries"), F.count_if(~good).alias("malformed"), F.count_if(good & (F.col("n") == order)).alias("drawn")]
+    told += [f(F.when(good, F.col(f"i{k}"))).alias(f"{name}{k}") for k in range(order) for name, f in (("low", F.min), ("high", F.max))]
+    x = written(parsed.observe(seen, *told).where(good).select(*((F.col(f"i{k}") - base).alias(f"i{k}") for k in range(order)), "v"), "observed")
+    found = seen.get
+    if found["entries"] and min(found[f"low{k}"] for k in range(order)) < base:
+        raise ValueError(f"indices begin at {base}, but {path} has lower ones")
+    dims = [(found[f"high{k}"] or base - 1) - base + 1 for k in range(order)]
+    return x, {"dims": dims, "entries": found["entries"], "malformed": found["malformed"], "drawn": found["drawn"]}
+
+
+def flat_lines(df: DataFrame, key: str, value: str, size: int = 1 << 16) -> DataFrame:
+    """(begin, value): a vector in the order of its keys as lines of `size` numbers, and their places."""
+    placed = ordinals(df.select(key, value), [key])
+    number = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", value))), lambda s: s[value].cast("string")), " ")
+    return placed.groupBy((F.floor(F.col("pos") / size) * size).alias("begin")).agg(number.alias("value"))
 
 
 def with_header(x: DataFrame) -> dict[str, list[int] | int]:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions import factors as fac
 from tensorloom.operators import compare, contract, coo, formats, linalg, stats, svd, tucker
-from tensorloom.plans import planner
-from tensorloom.sources import binary, generate, logs, text
+from tensorloom.plans import planner, table_functions
+from tensorloom.sources import binary, factor_source, generate, logs, text
 
 TOY = [(0, 0, 0, 1.0), (0, 1, 1, 2.0), (0, 2, 0, 10.0), (1, 0, 2, 7.0), (1, 2, 0, 6.0), (1, 2, 1, 5.0), (2, 0, 2, 3.0), (2, 1, 1, 11.0)]
 
@@ -128,14 +128,26 @@ def test_singular_vectors(spark):
 
 def test_blocks_are_numbered_in_parts(spark):
     x = spark.createDataFrame([(i, j, 1.0) for i in range(40) for j in range(1 + i % 3)], "i0 long, i1 long, v double")
-    dealt = stats.blocks_by_size(x, [40, 3], [1, 3], 4)
-    got = {r["block"]: (r["nnz"], r["worker"]) for r in dealt.collect()}
+    placed = stats.blocks_by_size(x, [40, 3], [1, 3])
+    got = {r["block"]: (r["nnz"], r["place"]) for r in placed.collect()}
     order = sorted(got, key=lambda b: (-got[b][0], b))
-    assert len(got) == 40 and [got[b][1] for b in order] == [k % 4 for k in range(40)]
-    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) == 40 and [got[b][1] for b in order] == list(range(40))
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
     assert all("_ordinal_part" in line for line in plan.splitlines() if "row_number" in line)
 
 
+def test_slice_bins(spark):
+    """Bins 1 to 4 are part of bin 0; bounds are on non-zeros and fibers together."""
+    n = {0: 512, 1: 513, 2: 1024, 3: 1025}  # each non-zero is a fiber of its own
+    x = spark.createDataFrame([(i, j, 0, 1.0) for i, k in n.items() for j in range(k)], "i0 long, i1 long, i2 long, v double")
+    assert {r["bin"]: (r["slices"], r["nnz"]) for r in stats.slice_bins(x).collect()} == {0: (1, 512), 5: (2, 1537), 6: (1, 1025)}
+
+
+def test_fiber_runs(toy):
+    got = sorted(map(tuple, stats.fiber_runs(toy, 2, 1).collect()))
+    assert got == [(0, 0, 2, 2), (0, 1, 1, 1), (1, -1, 1, 2), (1, 0, 1, 1), (2, 0, 2, 2)]
+
+
 def test_orthonormal_factors(spark):
     f = fac.orthonormal(spark, 50, 4)
     got = np.array([r[1:] for r in f.orderBy("x").collect()])
@@ -189,9 +201,15 @@ def test_text_formats(spark, toy, tmp_path):
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n% c\n2 2 2\n1 1 4\n2 1 3\n")
     m, sizes = text.read_mtx(spark, str(tmp_path / "m.mtx"))
     assert sizes == (2, 2, 2) and sorted(map(tuple, m.collect())) == [(0, 0, 4.0), (0, 1, 3.0), (1, 0, 3.0)]
-    assert text.parse_dense_tensor("2 2 2 1 2 3 4") == ([2, 2], [1, 2, 3, 4])
-    with pytest.raises(ValueError):
-        text.parse_dense_tensor("2 2 2 1")
+    (tmp_path / "t.txt").write_text("2\n2 2 1\n\n2 3\n4")
+    got, sizes = text.read_dense_tensor(spark, str(tmp_path / "t.txt"))
+    assert sizes == [2, 2] and sorted(map(tuple, got.collect())) == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)]
+    (tmp_path / "short.txt").write_text("2 2 2 1")
+    with pytest.raises(ValueError, match="1 values"):
+        text.read_dense_tensor(spark, str(tmp_path / "short.txt"))
+    text.write_dense_tensor(toy, [3, 3, 3], str(tmp_path / "cells"), per_line=4)
+    got, sizes = text.read_dense_tensor(spark, str(tmp_path / "cells"))
+    assert sizes == [3, 3, 3] and got.count() == 27 and sorted(map(tuple, got.where("v <> 0").collect())) == TOY
     text.write_tns(toy, str(tmp_path / "y"), [3, 3, 4])
     got, sizes = text.read_tns(spark, str(tmp_path / "y"), strict=True)
     assert sizes == [3, 3, 4] and sorted(map(tuple, got.collect())) == TOY
@@ -207,13 +225,45 @@ def test_text_formats(spark, toy, tmp_path):
         text.read_dense(spark, str(tmp_path / "dense"), 3).collect()
     rows = {r["value"] for r in text.csf_lines(toy, [3, 3, 3]).collect()}
     assert "mode_2_ptr: 0 1 2 3 4 6 7 8" in rows and "# Dimensions: 3 3 3" in rows
+    parts = text.csf_lines(toy, [3, 3, 3], size=3)
+    assert {"mode_2_ptr: 0 1 2", "mode_2_ptr[3]: 3 4 6", "values[6]: 3 11".replace("3 11", "3.0 11.0")} <= {r["value"] for r in parts.collect()}
+    assert sorted(map(tuple, text.csf_to_coo(text.parse_csf(parts), 3).select("i0", "i1", "i2", "v").collect())) == TOY
+    seven = ["0 3", "0 1 2", "0 3 5 7", "0 1 2 0 2 0 1", "0 1 2 3 4 6 7 8", "0 1 0 2 0 1 2 1", "1 2 10 7 6 5 3 11"]
+    numbered = spark.createDataFrame(list(enumerate(seven)), "n int, value string")
+    assert sorted(map(tuple, text.csf_to_coo(text.parse_positional_csf(numbered), 3).select("i0", "i1", "i2", "v").collect())) == TOY
+    assert [r["value"] for r in text.flat_lines(toy, "v", "i0", 5).orderBy("begin").collect()] == ["0 0 2 1 1", "1 0 2"]
+
+
+def test_observed_in_one_pass(spark, tmp_path):
+    (tmp_path / "x.tns").write_text("# c\n1 2 0.5\n3 1\n2 2\none 1 1\n1 2 3 4\n")
+    got, seen = text.read_observed(spark, str(tmp_path / "x.tns"), 2)
+    rows = {(r["i0"], r["i1"]): r["v"] for r in got.collect()}
+    assert seen == {"dims": [3, 2], "entries": 3, "malformed": 2, "drawn": 2}
+    assert rows[0, 1] == 0.5 and 0 < rows[2, 0] < 1 and 0 < rows[1, 1] < 1 and rows[2, 0] != rows[1, 1]
+    assert {(r["i0"], r["i1"]): r["v"] for r in text.read_observed(spark, str(tmp_path / "x.tns"), 2)[0].collect()} == rows
+    (tmp_path / "zero.tns").write_text("0 1 1\n")
+    with pytest.raises(ValueError, match="begin at 1"):
+        text.read_observed(spark, str(tmp_path / "zero.tns"), 2)
 
 
 def test_binary_formats(spark, toy, tmp_path):
     f = fac.uniform(spark, 7, 3)
-    (tmp_path / "mode0.bin").write_bytes(binary.factor_bytes(f, 8))
-    got = binary.read_factors(spark, str(tmp_path / "mode0.bin")).orderBy("idx").collect()
-    assert np.allclose([r["row"] for r in got], [r[1:] for r in f.orderBy("x").collect()])
+    cells = np.array([r[1:] for r in f.orderBy("x").collect()])
+    (tmp_path / "mode0.bin").write_bytes(np.array(cells.shape, "<u8").tobytes() + cells.tobytes())
+    (tmp_path / "raw.bin").write_bytes(cells.astype("<f4").tobytes())
+    for read in (binary.read_factors, factor_source.read_factor):
+        assert np.allclose([r["row"] for r in read(spark, str(tmp_path / "mode0.bin")).orderBy("idx").collect()], cells)
+        assert np.allclose([r["row"] for r in read(spark, str(tmp_path / "raw.bin"), 3).orderBy("idx").collect()], cells, atol=1e-6)
+    ranged = spark.read.format("factor").option("range", 60).load(str(tmp_path / "mode0.bin"))
+    assert ranged.rdd.getNumPartitions() == 4 and np.allclose([r["row"] for r in ranged.orderBy("idx").collect()], cells)
+    (tmp_path / "bad.bin").write_bytes(b"1" * 40)
+    with pytest.raises(Exception, match="don't fit"):
+        factor_source.read_factor(spark, str(tmp_path / "bad.bin")).collect()
+    for width in (4, 8):
+        factor_source.write_factor(f.where("x not in (0, 3, 4, 5)"), str(tmp_path / f"parts{width}"), width, rows=3)
+        assert sorted(p.name for p in (tmp_path / f"parts{width}").iterdir()) == ["part-000000000000000.bin", "part-000000000000006.bin"]
+        back = {r["idx"]: r["row"] for r in factor_source.read_factor(spark, str(tmp_path / f"parts{width}")).collect()}
+        assert sorted(back) == [0, 1, 2, 6] and back[0] == [0, 0, 0] and np.allclose(back[6], cells[6], atol=1e-6)
     some = f.where("x <> 4")
     files = binary.factor_files(some, "a", rows=3)
     assert sorted(r["first"] for r in files.collect()) == [0, 3, 6]
@@ -224,6 +274,10 @@ def test_binary_formats(spark, toy, tmp_path):
     back = binary.read_model(spark, str(tmp_path / "model"))
     assert np.allclose(back.core, model.core) and back.fits == model.fits
     assert binary.show(toy, 1) == "(0, 0, 0) 1"
+    factor_source.write_model_files(model, str(tmp_path / "files"))
+    back = factor_source.read_model_files(spark, str(tmp_path / "files"))
+    assert np.array_equal(back.core, model.core) and back.fits == model.fits
+    assert tucker.fits(toy, back.factors, back.core) == pytest.approx(tucker.fits(toy, model.factors, model.core))
 
 
 def test_generators(spark):
@@ -239,6 +293,19 @@ def test_comparison_and_logs(spark, toy):
     assert not compare.difference(toy, coo.scale(toy, 1.1)).first()["passed"]
     log = spark.createDataFrame([("File: a\nOrder: 3\nDims: 2 2\n0 5\n3 1\nFile: b\nOrder: 4\n1 2\n",)], "value string")
     assert sorted(map(tuple, logs.block_log(log).collect())) == [("a", 3, 0, 5), ("a", 3, 3, 1), ("b", 4, 1, 2)]
+    lines = ["Running contraction on /data/my set.v2.tns...", "Run 1/5 of method v3...", "Method: fused, Time: 1.23e+04 ms", "Running contraction on plain...", "Run 2/5 of method v4...", "Method: aao, Time: 7 ms", "Method: none, Time: soon"]
+    runs = logs.run_log(spark.createDataFrame([(0, n, x) for n, x in enumerate(lines)], "log int, n int, value string"))
+    assert sorted(map(tuple, runs.collect())) == [("my set.v2", 3, 1, "fused", 12300.0), ("plain", 4, 2, "aao", 7.0)]
+
+
+def test_table_functions(spark, toy, ab):
+    table_functions.register(spark)
+    shared = toy.repartition(1)
+    got = spark.sql("SELECT * FROM csf_fibers(TABLE(SELECT i0, i1, i2 FROM {x}) PARTITION BY i0 ORDER BY (i1, i2))", x=shared)
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 0, 1), (0, 1, 1, 1, 2), (0, 2, 2, 2, 3), (1, 0, 0, 0, 1), (1, 2, 1, 1, 3), (2, 0, 0, 0, 1), (2, 1, 1, 1, 2)]
+    a, b = (f.select("x", F.array("u0", "u1").alias("u")) for f in ab)
+    got = spark.sql("SELECT * FROM ttmc_slices(TABLE(SELECT i0, a.u AS a, b.u AS b, v FROM {x} JOIN {a} a ON i1 = a.x JOIN {b} b ON i2 = b.x) PARTITION BY i0)", x=shared, a=a, b=b)
+    assert np.array_equal(dense(got, (3, 2, 2), ["i0", "r0", "r1"]), np.einsum("ijk,jr,ks->irs", array(), A, B))
 
 
 def test_streaming(spark, toy, ab, tmp_path):
