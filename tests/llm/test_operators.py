@@ -350,7 +350,7 @@ def test_transforms_decide(spark, monkeypatch):
     assert not len(substring_dedup.repeated_windows(shards, size)[0])
 
 
-SETTINGS = {"plain": {}, "small": {"SHARD": 7, "BLOCK": 2, "PAGE": 3}, "pruned": {"SHARD": 9, "BLOCK": 2, "COMMON": 1, "DENSE": 1, "WORTH": 0, "QUERY_BYTES": 900, "GROUP": 4}, "rows": {"SHARD": 20, "BLOCK": 4, "COMMON": 2, "DENSE": 3, "WORTH": 0, "GROUP": 1}}
+SETTINGS = {"plain": {}, "small": {"SHARD": 7, "BLOCK": 2, "PAGE": 3}, "pruned": {"SHARD": 9, "BLOCK": 2, "COMMON": 1, "DENSE": 1, "QUERY_BYTES": 900, "GROUP": 4}, "rows": {"SHARD": 20, "BLOCK": 4, "COMMON": 2, "DENSE": 3, "GROUP": 1, "LEAD": 1, "STEP": 2, "GAP": 0}}
 
 
 @pytest.mark.parametrize("setting", SETTINGS)
@@ -378,31 +378,47 @@ def test_search_repeated_and_null_ids(spark):
     assert sorted(map(tuple, search.search(df.repartition(5), df.orderBy(F.desc("text")), 5).collect())) == sorted(got)
 
 
-def test_search_shard_prunes_exactly():
+def search_shard(texts, mean=40.0):
+    """A shard of texts of term numbers, the weights of its terms, and their names."""
+    found = [np.unique(t, return_counts=True) for t in texts]
+    term, doc, tf = np.concatenate([f[0] for f in found]), np.repeat(np.arange(len(texts)), [len(f[0]) for f in found]), np.concatenate([f[1] for f in found])
+    order = np.argsort(term, kind="stable")
+    names, df = np.unique(term, return_counts=True)
+    row = {"docs": np.arange(len(texts)).astype("<i8").tobytes(), "lengths": np.array([len(t) for t in texts], "<i4").tobytes(), "terms": names.astype(np.int64), "df": df, "postings": doc[order].astype("<u2").tobytes(), "tf": tf[order].astype("<i4").tobytes()}
+    shard, weights = search.Shard(row, mean), search.idf(len(texts), df)
+    shard.places(names.astype(np.uint64), weights)
+    return shard, weights, names
+
+
+@pytest.mark.parametrize("size,dense,common,block", [(300, 10, 64, 32), (300, 10_000, 64, 32), (70, 2, 64, 32), (300, 10, 1, 4), (300, 10_000, 1, 1)])
+def test_search_shard_prunes_exactly(monkeypatch, size, dense, common, block):
     """Random shards, with thresholds of earlier ones: the same as scoring all documents."""
     r = np.random.RandomState(4)
-    for size, dense in ((300, 10), (300, 10_000), (70, 2)):
-        texts = [np.minimum(r.zipf(1.3, r.randint(1, 80)), 400) for _ in range(size)]
-        found = [np.unique(t, return_counts=True) for t in texts]
-        term, doc, tf = np.concatenate([f[0] for f in found]), np.repeat(np.arange(size), [len(f[0]) for f in found]), np.concatenate([f[1] for f in found])
-        order = np.argsort(term, kind="stable")
-        names, df = np.unique(term, return_counts=True)
-        search.DENSE, kept = dense, search.DENSE
-        row = {"docs": np.arange(size).astype("<i8").tobytes(), "lengths": np.array([len(t) for t in texts], "<i4").tobytes(), "terms": names.astype(np.int64), "df": df, "postings": doc[order].astype("<u2").tobytes(), "tf": tf[order].astype("<i4").tobytes()}
-        shard, weights = search.Shard(row, 40.0), search.idf(size, df)
-        search.DENSE, search.WORTH, worth = kept, 0, search.WORTH
-        shard.places(names.astype(np.uint64), weights)
-        queries = [np.unique(r.randint(0, len(names), 30)) for _ in range(40)]
-        for threshold in (0.0, 0.8):
-            want, bests = [], []
-            for q in queries:
-                shard.asked[q] = weights[q]
-                every = sorted(zip((-shard.exact(np.arange(size))).tolist(), range(size), strict=True))
-                shard.asked[q] = 0
-                bests.append([(threshold * every[0][0], -1 - i) for i in range(5)] if threshold else [])
-                want.append(sorted([*bests[-1], *(x for x in every if x[0] < 0)])[:5])
-            assert shard.search(queries, 5, bests) == want
-        search.WORTH = worth
+    for name, value in (("DENSE", dense), ("COMMON", common), ("BLOCK", block), ("STEP", 8)):
+        monkeypatch.setattr(search, name, value)
+    shard, weights, names = search_shard([np.minimum(r.zipf(1.3, r.randint(1, 80)), 400) for _ in range(size)])
+    queries = [np.unique(r.randint(0, len(names), 30)) for _ in range(40)]
+    for threshold in (0.0, 0.8):
+        want, bests = [], []
+        for q in queries:
+            shard.asked[q] = weights[q]
+            every = sorted(zip((-shard.exact(np.arange(size))).tolist(), range(size), strict=True))
+            shard.asked[q] = 0
+            bests.append([(threshold * every[0][0], -1 - i) for i in range(5)] if threshold else [])
+            want.append(sorted([*bests[-1], *(x for x in every if x[0] < 0)])[:5])
+        assert shard.search(queries, 5, bests) == want
+
+
+def test_search_skips_blocks_by_default():
+    """Two languages with some words in common: with the settings as they are, the blocks of the other one are never read."""
+    r = np.random.RandomState(5)
+    shared = np.arange(1000, 1040)
+    texts = [np.concatenate([r.randint(0, 300, 60) + (300 if d % 2000 >= 1000 else 0), r.choice(shared, 3)]) for d in range(4000)]
+    shard, weights, names = search_shard(texts, 63.0)
+    queries = [np.searchsorted(names, np.unique(texts[d])) for d in range(0, 4000, 100)]
+    found = shard.search(queries, 10, [[]] * len(queries))
+    assert all(f[0][1] == d for f, d in zip(found, range(0, 4000, 100), strict=True))
+    assert 0 < shard.read < 0.98 * shard.whole
 
 
 def labelled(spark):
