@@ -55,7 +55,7 @@ def vantage_tree(centroids: np.ndarray) -> list[Node]:
         d = np.sqrt(squares(centroids[[vantage]], centroids[rest])[0].astype(float))
         rest, d = rest[np.argsort(d, kind="stable")], np.sort(d, kind="stable")
         half = len(rest) // 2
-        children = tuple((grow(np.sort(rest[s])), d[s][0], d[s][-1]) for s in (slice(0, half), slice(half, None)))
+        children = tuple((grow(np.sort(rest[s])), d[s][0], d[s][-1]) for s in (slice(0, half), slice(half, None)) if len(rest[s]))
         nodes[at] = Node(members[:0], vantage, children)
         return at
 

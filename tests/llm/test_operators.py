@@ -418,7 +418,7 @@ def test_search_skips_blocks_by_default():
     queries = [np.searchsorted(names, np.unique(texts[d])) for d in range(0, 4000, 100)]
     found = shard.search(queries, 10, [[]] * len(queries))
     assert all(f[0][1] == d for f, d in zip(found, range(0, 4000, 100), strict=True))
-    assert 0 < shard.read < 0.98 * shard.whole
+    assert shard.whole - shard.read > 10_000
 
 
 def labelled(spark):
