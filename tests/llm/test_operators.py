@@ -413,11 +413,11 @@ def test_search_skips_blocks_by_default():
     """Two languages with some words in common: with the settings as they are, the blocks of the other one are never read."""
     r = np.random.RandomState(5)
     shared = np.arange(1000, 1040)
-    texts = [np.concatenate([r.randint(0, 300, 60) + (300 if d % 2000 >= 1000 else 0), r.choice(shared, 3)]) for d in range(4000)]
+    texts = [np.concatenate([r.randint(0, 300, 60) + (300 if d >= 4000 else 0), r.choice(shared, 3)]) for d in range(8000)]
     shard, weights, names = search_shard(texts, 63.0)
-    queries = [np.searchsorted(names, np.unique(texts[d])) for d in range(0, 4000, 100)]
+    queries = [np.searchsorted(names, np.unique(texts[d])) for d in range(0, 8000, 200)]
     found = shard.search(queries, 10, [[]] * len(queries))
-    assert all(f[0][1] == d for f, d in zip(found, range(0, 4000, 100), strict=True))
+    assert all(f[0][1] == d for f, d in zip(found, range(0, 8000, 200), strict=True))
     assert shard.whole - shard.read > 10_000
 
 
