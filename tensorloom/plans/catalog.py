@@ -399,7 +399,20 @@ def _fixed(spark, sf_dir):
 
 
 query("tucker_core_fixed", _CORE)(lambda s, d: tucker.core(*_fixed(s, d)[:2]))
-query("core_norm_fit_fixed", f"SELECT sum(v * v) AS core_sq FROM ({_CORE})")(lambda s, d: tucker.core(*_fixed(s, d)[:2]).agg(F.sum(F.col("v") * F.col("v")).alias("core_sq")))
+
+
+
+@query("core_norm_fit_fixed", f"SELECT core_sq, round(1 - sqrt(greatest(0, norm_sq - core_sq / scale)) / sqrt(norm_sq), 9) AS fit FROM (SELECT (SELECT sum(v * v) FROM ({_CORE})) AS core_sq, (SELECT sum(v * v) FROM x3) AS norm_sq, (SELECT sum(u * u) FROM fa WHERE x < (SELECT d0 FROM dims)) * (SELECT sum(u * u) FROM fb WHERE x < (SELECT d1 FROM dims)) * (SELECT sum(u * u) FROM fc WHERE x < (SELECT d2 FROM dims)) AS scale)")
+def _core_norm_fit(spark, sf_dir):
+    """The squared norm of the core, and the fit that the factors would have, were they orthonormal when divided by their norms."""
+    x, f, _ = _fixed(spark, sf_dir)
+    core_sq = float(tucker.core(x, f).agg(F.sum(F.col("v") * F.col("v"))).first()[0])
+    scale = float(np.prod([linalg.trace(linalg.gram(g, g.columns[1:])).first()[0] for g in f]))
+    fit = tucker.fit_of_core(float(coo.norm(x).first()["norm_sq"]), core_sq / scale)
+    return spark.createDataFrame([(core_sq, round(fit, 9))], "core_sq double, fit double")
+
+
+
 _G = "CAST((p + 2 * q + 3 * t) % 4 AS DOUBLE)"
 _RECON = f"SELECT i0, i1, i2, any_value(v) AS v, sum({_G} * fa.u * fb.u * fc.u) AS vhat FROM (SELECT i0, i1, i2, v, fa.r AS p, fb.r AS q, fc.r AS t, fa.u AS ua, fb.u AS ub, fc.u AS uc {_FULL}) GROUP BY 1, 2, 3".replace("fa.u * fb.u * fc.u)", "ua * ub * uc)")
 _DELTA = f"SELECT i0, i1, i2, any_value(v) AS v, p AS r, sum({_G} * ub * uc) AS d FROM (SELECT i0, i1, i2, v, p, fb.r AS q, fc.r AS t, fb.u AS ub, fc.u AS uc FROM x3 JOIN fb ON i1 = fb.x JOIN fc ON i2 = fc.x CROSS JOIN (SELECT unnest(range(0, 3)) AS p)) GROUP BY 1, 2, 3, 5"
@@ -423,7 +436,7 @@ def _fits(spark, sf_dir):
 
 @query("hooi_fit")
 def _hooi(spark, sf_dir):
-    """Fits of three sweeps of orthogonal iteration on X3 without its long mode's tail."""
+    """Fits of three sweeps of orthogonal iteration on X3."""
     x = written(x3(spark, sf_dir), "hooi-x")
     model = tucker.hooi(x, sizes(x), [3, 3, 2], sweeps=3)
     return spark.createDataFrame([(k, float(f)) for k, f in enumerate(model.fits)], "sweep int, fit double")
@@ -566,7 +579,7 @@ def _dense_text(spark, sf_dir):
     return text.parse_dense(text.dense_lines(contract.narrow(_a(spark, sizes(x3(spark, sf_dir))[1])), RANKS[0]), RANKS[0])
 
 
-@query("result_lines")
+@query("result_lines", "SELECT -1 AS \"row\", (max(\"row\") + 1) || ' x 3 matrix' AS value FROM s2 UNION ALL SELECT \"row\", string_agg(printf('%.2f', v), chr(9) ORDER BY r) FROM (SELECT \"row\", r, sum(v * u) AS v FROM s2 JOIN fa ON col = x GROUP BY 1, 2) GROUP BY 1")
 def _result_lines(spark, sf_dir):
     """The product of S2 and A as text with two decimals."""
     m = contract.narrow(contract.spmm(s := s2(spark, sf_dir), _a(spark, int(s.agg(F.max("col")).first()[0]) + 1)).withColumnRenamed("row", "x"))
