@@ -89,9 +89,17 @@ def _update(x: DataFrame, factors: Sequence[DataFrame], dims: Sequence[int], ran
     return left_singular(written(y, "tucker-y"), names, ranks[mode])
 
 
-def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 25, tolerance: float = 1e-5, seed: int = 42, strategy: str = "fused", order: Sequence[int] | None = None, cells: int = GRAM_CELLS) -> Tucker:
+def _fitting(start: Sequence[DataFrame], n: int) -> None:
+    if len(start) != n:
+        raise ValueError(f"{len(start)} factors to start from, for {n} modes")
+
+
+def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 25, tolerance: float = 1e-5, seed: int = 42, strategy: str = "fused", order: Sequence[int] | None = None, cells: int = GRAM_CELLS, start: Sequence[DataFrame] | None = None) -> Tucker:
     """Higher-order orthogonal iteration; modes are updated from the last to the first, or in `order`.
 
+    The first factors are random orthonormal ones, or `start`: those of an earlier model, say. They
+    give the ranks then, and needn't be orthonormal, as each is replaced before a fit is taken.
+
     Each update takes the top left singular vectors of the tensor times all other factors. The
     sweeps end when the fit changes by less than tolerance. Rows without non-zeros are absent from
     the factors, as they would be zero. Ranks are cut to the sizes of the modes and to what the
@@ -99,10 +107,13 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
     takes the shorter side's Gram matrix, or none at all (svd.left_vectors).
     """
     spark, n = x.sparkSession, len(dims)
+    if start is not None:
+        _fitting(start, n)
+        ranks = [rank(f) for f in start]
     ranks = [min(r, d) for r, d in zip(ranks, dims, strict=True)]
     x = written(x.select(*modes(x), "v"), "tucker-x")
     norm_sq = x.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
-    factors = [orthonormal(spark, d, r, seed + m) for m, (d, r) in enumerate(zip(dims, ranks, strict=True))]
+    factors = list(start) if start is not None else [orthonormal(spark, d, r, seed + m) for m, (d, r) in enumerate(zip(dims, ranks, strict=True))]
     out = Tucker(factors, np.zeros(ranks))
     order = list(order or range(n - 1, -1, -1))
     for _ in range(sweeps):
@@ -117,9 +128,9 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
     return out
 
 
-def hooi_chain(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 50, tolerance: float = 1e-5, seed: int = 42, order: Sequence[int] | None = None) -> Tucker:
+def hooi_chain(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 50, tolerance: float = 1e-5, seed: int = 42, order: Sequence[int] | None = None, start: Sequence[DataFrame] | None = None) -> Tucker:
     """hooi() in ascending mode order, with the tensor times the factors one at a time (a chain of ttm)."""
-    return hooi(x, dims, ranks, sweeps, tolerance, seed, "chain", order or range(len(dims)))
+    return hooi(x, dims, ranks, sweeps, tolerance, seed, "chain", order or range(len(dims)), start=start)
 
 
 def deltas(x: DataFrame, factors: Sequence[DataFrame], core_: np.ndarray, mode: int) -> DataFrame:
@@ -179,17 +190,21 @@ def fits(x: DataFrame, factors: Sequence[DataFrame], core_: np.ndarray) -> tuple
     return 1 - math.sqrt(row["err"]) / math.sqrt(xx), 1 - math.sqrt(full) / math.sqrt(xx)
 
 
-def als(x: DataFrame, dims: Sequence[int], r: int, sweeps: int = 50, tolerance: float = 1e-5, penalty: float = 1e-4, seed: int = 42) -> Tucker:
-    """Row-wise ridge regression of the factors on the stored entries, under a fixed random core.
+def als(x: DataFrame, dims: Sequence[int], r: int, sweeps: int = 50, tolerance: float = 1e-5, penalty: float = 1e-4, seed: int = 42, start: Sequence[DataFrame] | None = None, core_: np.ndarray | None = None) -> Tucker:
+    """Row-wise ridge regression of the factors on the stored entries, under a fixed core.
 
-    fits has the observed fit after each sweep. Rows without entries stay as they began, at 0 from
+    The core is random, or `core_`; the first factors are random orthonormal ones, or `start`. fits has the observed fit after each sweep. Rows without entries stay as they began, at 0 from
     the first update on.
     """
     spark, n = x.sparkSession, len(dims)
     x = written(x.select(*modes(x), "v"), "als-x")
-    core_ = np.random.RandomState(seed).uniform(size=(r,) * n)
-    factors = [orthonormal(spark, d, min(r, d), seed + 1 + m) for m, d in enumerate(dims)]
-    core_ = core_[tuple(slice(0, min(r, d)) for d in dims)]
+    if start is not None:
+        _fitting(start, n)
+    factors = list(start) if start is not None else [orthonormal(spark, d, min(r, d), seed + 1 + m) for m, d in enumerate(dims)]
+    if core_ is None:
+        core_ = np.random.RandomState(seed).uniform(size=(r,) * n)[tuple(slice(0, min(r, d)) for d in dims)]
+    if core_.shape != tuple(rank(f) for f in factors):
+        raise ValueError(f"a core of {core_.shape} for factors of ranks {[rank(f) for f in factors]}")
     out = Tucker(factors, core_)
     for _ in range(sweeps):
         for mode in range(n):

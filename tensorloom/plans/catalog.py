@@ -19,7 +19,7 @@ from tensorloom.functions import factors as fac
 from tensorloom.functions.shipping import ship
 from tensorloom.functions.tables import shared_dir, written
 from tensorloom.operators import compare, contract, coo, formats, linalg, stats, svd, tucker
-from tensorloom.plans import planner, table_functions
+from tensorloom.plans import expected, planner, table_functions
 from tensorloom.sources import binary, factor_source, generate, logs, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,6 +325,11 @@ _EMB = "SELECT vec_id AS x, generate_subscripts(embedding, 1) - 1 AS p, CAST(unn
 _EMB_G = f"SELECT a.p AS p, b.p AS q, sum(a.v * b.v) AS g FROM ({_EMB}) a JOIN ({_EMB}) b USING (x) GROUP BY 1, 2"
 
 
+_EIGHT = f"WITH RECURSIVE g AS MATERIALIZED ({_EMB_G}), {', '.join(expected.eigenpairs('g', 8))}"
+SQL["svd_topr"] = f"{_EIGHT} SELECT k, round(sqrt(greatest(0, any_value(l))), 6) AS sigma FROM g_e WHERE k < 4 GROUP BY k"
+SQL["resolution_test"] = f"{_EIGHT} SELECT min(gap) > 2 * ((SELECT count(*) FROM embeddings) + (SELECT max(p) + 1 FROM g)) * 1.11e-16 * (SELECT sum(g) FROM g WHERE p = q) AS resolved FROM (SELECT abs(l - lead(l) OVER (ORDER BY k)) AS gap FROM (SELECT DISTINCT k, l FROM g_e))"
+
+
 @query("tsqr_moments", f"WITH g AS ({_EMB_G}) SELECT 1 AS power, round(sum(g) FILTER (p = q), 4) AS total FROM g UNION ALL SELECT 2, round(sum(g * g), 3) FROM g UNION ALL SELECT 3, round(sum(a.g * b.g * c.g), 2) FROM g a JOIN g b ON a.q = b.p JOIN g c ON b.q = c.p AND c.q = a.p")
 def _tsqr_moments(spark, sf_dir):
     """Sums of the second, fourth and sixth powers of all singular values of the embeddings, by TSQR: traces of the Gram matrix's powers."""
@@ -434,26 +439,53 @@ def _fits(spark, sf_dir):
     return spark.createDataFrame([(round(observed, 6), round(full, 6))], "observed double, full_ double")
 
 
+#: Decompositions start from cells (a x + b r) mod m, so that SQL can go the same way.
+_STARTS = ((7, 3, 11), (5, 2, 7), (3, 5, 5))
+
+
+def _started(spark, x, ranks):
+    """X, written once, its sizes and its first factors."""
+    x = written(x, "decomposed-x")
+    dims = sizes(x)
+    return x, dims, [fac.modular(spark, d, r, *s) for d, r, s in zip(dims, ranks, _STARTS, strict=True)]
+
+
+def _fit_rows(spark, fits, digits):
+    return spark.createDataFrame([(k, round(float(f), digits)) for k, f in enumerate(fits)], "sweep int, fit double")
+
+
+_X3 = f"WITH RECURSIVE x3 AS MATERIALIZED ({VIEWS['x3']}), "
+
+
 @query("hooi_fit")
 def _hooi(spark, sf_dir):
-    """Fits of three sweeps of orthogonal iteration on X3."""
-    x = written(x3(spark, sf_dir), "hooi-x")
-    model = tucker.hooi(x, sizes(x), [3, 3, 2], sweeps=3)
-    return spark.createDataFrame([(k, float(f)) for k, f in enumerate(model.fits)], "sweep int, fit double")
+    """Fits of three sweeps of orthogonal iteration on X3, from the last mode to the first."""
+    x, dims, start = _started(spark, x3(spark, sf_dir), (3, 3, 2))
+    return _fit_rows(spark, tucker.hooi(x, dims, (3, 3, 2), sweeps=3, tolerance=0.0, start=start).fits, 8)
+
+
+SQL["hooi_fit"] = _X3 + expected.hooi_fits("x3", _STARTS, (3, 3, 2), 3, (2, 1, 0))
 
 
 @query("hooi_chain_fit")
 def _hooi_chain(spark, sf_dir):
-    x = written(x3(spark, sf_dir), "hooi-x")
-    model = tucker.hooi_chain(x, sizes(x), [3, 3, 2], sweeps=2)
-    return spark.createDataFrame([(k, float(f)) for k, f in enumerate(model.fits)], "sweep int, fit double")
+    """Fits of two sweeps from the first mode to the last, with one factor after the other."""
+    x, dims, start = _started(spark, x3(spark, sf_dir), (3, 3, 2))
+    return _fit_rows(spark, tucker.hooi_chain(x, dims, (3, 3, 2), sweeps=2, tolerance=0.0, start=start).fits, 8)
+
+
+SQL["hooi_chain_fit"] = _X3 + expected.hooi_fits("x3", _STARTS, (3, 3, 2), 2, (0, 1, 2))
 
 
 @query("als_fit")
 def _als(spark, sf_dir):
-    x = written(x3(spark, sf_dir), "als-x")
-    model = tucker.als(x, sizes(x), 2, sweeps=2)
-    return spark.createDataFrame([(k, float(f)) for k, f in enumerate(model.fits)], "sweep int, fit double")
+    """Fits of two sweeps of ridge regression by rows, under a core of 1 + (r0 + 2 r1 + 3 r2) mod 4."""
+    x, dims, start = _started(spark, x3(spark, sf_dir), (2, 2, 2))
+    core = np.array([[[float(1 + (p + 2 * q + 3 * r) % 4) for r in range(2)] for q in range(2)] for p in range(2)])
+    return _fit_rows(spark, tucker.als(x, dims, 2, sweeps=2, tolerance=-1.0, start=start, core_=core).fits, 6)
+
+
+SQL["als_fit"] = _X3 + expected.als_fits("x3", _STARTS, "1 + (r0 + 2 * r1 + 3 * r2) % 4", 2, 1e-4)
 
 
 # ---- sources and sinks: what is written from a table is read again

@@ -321,3 +321,30 @@ def test_streaming(spark, toy, ab, tmp_path):
     want = np.einsum("ijk,jr,ks->irs", array(), A, B)
     for r in spark.table("ttmc").collect():
         assert [r[f"s{p}_{q}"] for p in range(2) for q in range(2)] == want[r["i0"]].ravel().tolist()
+
+
+def test_decompositions_start_from_given_factors(spark, toy):
+    """A sweep from given factors is what numpy finds from them; regression goes on where an earlier run ended."""
+    t = array()
+    made = [(2, 7, 3, 11), (2, 5, 2, 7), (1, 3, 5, 5)]
+    start = [fac.modular(spark, 3, *c) for c in made]
+    u = [np.array([[(a * x + b * k) % m for k in range(r)] for x in range(3)], float) for r, a, b, m in made]
+    for mode in (2, 1, 0):
+        y = t
+        for m in range(3):
+            if m != mode:
+                y = np.moveaxis(np.tensordot(u[m].T, y, (1, m)), 0, m)
+        left, sigma, _ = np.linalg.svd(np.moveaxis(y, mode, 0).reshape(3, -1), full_matrices=False)
+        u[mode], kept = left[:, : u[mode].shape[1]], sigma[: u[mode].shape[1]]
+    want = tucker.fit_of_core(float((t**2).sum()), float((kept**2).sum()))
+    model = tucker.hooi(toy, [3, 3, 3], [2, 2, 1], sweeps=1, start=start)
+    assert model.fits[0] == pytest.approx(want, abs=1e-9)
+    core = np.ones((2, 2, 1))
+    first = tucker.als(toy, [3, 3, 3], 2, sweeps=1, start=start, core_=core)
+    both = tucker.als(toy, [3, 3, 3], 2, sweeps=2, tolerance=-1.0, start=start, core_=core)
+    again = tucker.als(toy, [3, 3, 3], 2, sweeps=1, start=first.factors, core_=core)
+    assert again.fits[0] == pytest.approx(both.fits[1], abs=1e-9)
+    with pytest.raises(ValueError, match="3 modes"):
+        tucker.hooi(toy, [3, 3, 3], [2, 2, 1], start=start[:2])
+    with pytest.raises(ValueError, match="core"):
+        tucker.als(toy, [3, 3, 3], 2, start=start, core_=np.ones((2, 2, 2)))
