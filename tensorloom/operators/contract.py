@@ -5,14 +5,21 @@ Factors are wide tables (x, u0, ..., u{R-1}), one row per index; matrices are (r
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.shipping import ship
+
 from .coo import modes
 
+#: Products that a task holds at a time where the cells of an index are one array.
+HELD = 1 << 20
+
 
 def rank(factor: DataFrame) -> int:
     return len(factor.columns) - 1
@@ -110,6 +117,67 @@ def ttmc(x: DataFrame, factors: Mapping[int, DataFrame], keep: int, strategy: st
     return (_wide if wide else _long)(y, kept, gone, held)
 
 
+def ttmc_rows(x: DataFrame, factors: Mapping[int, DataFrame], keep: int, strategy: str = "fused", salt: int = 16) -> DataFrame:
+    """(i{keep}, y): ttmc() with one row for each index, whose cells are one array, ranks in mode order.
+
+    For ranks whose product is large: a column for each cell would be too many for generated code.
+    After each join, rows are dealt by what they keep, sorted, and summed run by run, so a task holds
+    one array and a bounded block of products, however long the slice. salted: slices are dealt by
+    a hash of the last fiber, too, and the parts of a slice are added up.
+    """
+    ship(x.sparkSession)
+    kept, gone = f"i{keep}", [m for m in sorted(factors, reverse=True) if m != keep]
+    left = [c for c in modes(x) if c != kept]
+    y = x.withColumn("y", F.array("v")).drop("v")
+    for m in gone:
+        left = [c for c in left if c != f"i{m}"]
+        cells = factors[m].select(F.col("x").alias(f"i{m}"), F.array(*(F.col(f"u{k}").cast("double") for k in range(rank(factors[m])))).alias("u"))
+        joined, by = y.join(cells, f"i{m}"), [kept, *left]
+        if strategy == "salted" and m == gone[-1]:
+            parts = _run_sums(joined.withColumn("salt", F.pmod(F.xxhash64(f"i{m}"), F.lit(salt))), [*by, "salt"])
+            y = _run_sums(parts.withColumn("u", F.array(F.lit(1.0))), by)
+        else:
+            y = _run_sums(joined, by)
+    return y
+
+
+def _run_sums(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, y): the sums of the outer products of u and y, two arrays of a row, over rows that agree in by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .linalg import block
+
+        def made(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            ends = pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32())
+            return pa.RecordBatch.from_arrays([*(pa.array(keys[:, k]) for k in range(len(by))), pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))], names=[*by, "y"])
+
+        last = None  # the run that may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            step = max(1, HELD // max(1, len(b.column(len(by))[0]) * len(b.column(len(by) + 1)[0])))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                keys = np.column_stack([part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(by))])
+                u, y = block([part.column(len(by))]), block([part.column(len(by) + 1)])
+                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+                sums = np.add.reduceat((u[:, :, None] * y[:, None, :]).reshape(len(u), -1), first, axis=0)
+                keys = keys[first]
+                if last is not None:
+                    if (last[0] == keys[0]).all():
+                        sums[0] += last[1][0]
+                    else:
+                        yield made(*last)
+                if len(keys) > 1:
+                    yield made(keys[:-1], sums[:-1])
+                last = keys[-1:], sums[-1:]
+        if last is not None:
+            yield made(*last)
+
+    dealt = df.select(*(F.col(c).cast("long").alias(c) for c in by), "u", "y").repartition(*by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(run, ", ".join([*(f"{c} long" for c in by), "y array<double>"]))
+
+
 def _wide(y: DataFrame, kept: str, gone: Sequence[int], cells: list[tuple[tuple[int, ...], str]]) -> DataFrame:
     """The columns of sums, named and ordered by their ranks in mode order."""
     at = sorted(range(len(gone)), key=lambda n: gone[n])

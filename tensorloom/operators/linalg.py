@@ -25,22 +25,25 @@ def block(columns: Sequence[pa.Array]) -> np.ndarray:
     return np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in columns])
 
 
-def gram(y: DataFrame, columns: Sequence[str], width: int | None = None) -> DataFrame:
+def gram(y: DataFrame, columns: Sequence[str], width: int | None = None, counted: bool = False) -> DataFrame:
     """(row, col, v) of Y'Y for a table with one row per row of Y: partial sums in each task, then one sum.
 
     columns are numbers, or one array of `width` of them. Only the upper half is summed up; the
-    other half mirrors it.
+    other half mirrors it. With counted, one more cell behind the diagonal has the number of rows.
     """
     n = width or len(columns)
     ship(y.sparkSession)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, n))
+        total, rows = np.zeros((n, n)), 0
         for b in batches:
             m = block(b.columns) if b.num_rows else np.zeros((0, n))
             total += m.T @ m
-        at = np.triu_indices(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int64()), pa.array(at[1], pa.int64()), pa.array(total[at])], names=["row", "col", "v"])
+            rows += b.num_rows
+        one, two, v = (*np.triu_indices(n), total[np.triu_indices(n)])
+        if counted:
+            one, two, v = np.append(one, n), np.append(two, n), np.append(v, rows)
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(v)], names=["row", "col", "v"])
 
     upper = y.select(*columns).mapInArrow(partial, "row long, col long, v double").groupBy("row", "col").agg(F.sum("v").alias("v"))
     return upper.unionByName(upper.where("row < col").select(F.col("col").alias("row"), F.col("row").alias("col"), "v"))
@@ -110,11 +113,11 @@ def trace(g: DataFrame) -> DataFrame:
     return g.where("row = col").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("trace"))
 
 
-def local(g: DataFrame, n: int) -> np.ndarray:
-    """A small (row, col, v) on the driver; raises beyond GRAM_CELLS."""
+def local(g: DataFrame, n: int, extra: int = 0) -> np.ndarray:
+    """A small (row, col, v) on the driver, with extra rows and columns behind; raises beyond GRAM_CELLS."""
     if n * n > GRAM_CELLS:
         raise ValueError(f"a Gram matrix of {n} x {n} is too large for the driver")
-    out = np.zeros((n, n))
+    out = np.zeros((n + extra, n + extra))
     for r in g.collect():
         out[r["row"], r["col"]] = r["v"]
     return out
@@ -133,6 +136,13 @@ def resolved(values: np.ndarray, rows: int, cols: int, trace_: float, eps: float
     return bool(np.all(np.abs(np.diff(values)) > 2 * (rows + cols) * eps * trace_))
 
 
+def counted_gram(y: DataFrame, columns: Sequence[str], width: int | None = None) -> tuple[np.ndarray, int]:
+    """Y'Y on the driver, and the number of rows, from one pass; raises beyond GRAM_CELLS."""
+    n = width or len(columns)
+    g = local(gram(y, columns, width, counted=True), n, extra=1)
+    return g[:n, :n], int(g[n, n])
+
+
 def left_singular(y: DataFrame, columns: list[str], r: int, row: str = "x") -> tuple[DataFrame, np.ndarray]:
     """The top r left singular vectors of Y as a factor (x, u0, ...), and the singular values.
 

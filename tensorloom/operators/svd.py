@@ -125,9 +125,9 @@ def singular(y: DataFrame, columns: Sequence[str], r: int, row: str = "x", compl
     columns are numbers, or one array of `width` of them.
     """
     n = width or len(columns)
-    g = linalg.local(linalg.gram(y, columns, width), n)
+    g, rows = linalg.counted_gram(y, columns, width)
     values, vectors = linalg.top_eigen(g, min(r + 1, n))
-    if not linalg.resolved(values, y.count(), n, float(np.trace(g))):
+    if not linalg.resolved(values, rows, n, float(np.trace(g))):
         return tall(y, columns, r, row, complete)
     values, vectors = values[:r], vectors[:, :r]
     sigma = np.sqrt(np.maximum(values, 0))

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from tensorloom.functions.factors import orthonormal
 from tensorloom.functions.tables import written
 
-from .contract import rank, ttm_chain, ttmc
+from .contract import rank, ttm_chain, ttmc, ttmc_rows
 from .coo import linear, modes
-from .linalg import GRAM_CELLS, gram, left_singular, local, ridge_rows
-from .svd import left_vectors
-
+from .linalg import GRAM_CELLS, gram, local, ridge_rows
+from .svd import Svd, left_vectors, singular
 
+#: Cells of the other ranks that are columns, each with its own sum; more of them are one array.
+COLUMNS = 64
 #: Cells of a core that the driver takes.
 MOST_CELLS = 1 << 22
 
@@ -67,26 +68,38 @@ def fit_of_core(norm_sq: float, core_sq: float) -> float:
     return 1 - math.sqrt(max(0.0, norm_sq - core_sq)) / math.sqrt(norm_sq) if norm_sq else 1.0
 
 
-def _projected(x: DataFrame, factors: Sequence[DataFrame], mode: int, strategy: str) -> tuple[DataFrame, list[str]]:
-    """x times all factors but that of mode, a row for each index: (x, y0_0, ...) and the names; `chain` takes one factor after the other."""
+def _projected(x: DataFrame, factors: Sequence[DataFrame], mode: int, strategy: str, columns: int) -> tuple[DataFrame, list[str], int]:
+    """x times all factors but that of mode, a row for each index, its columns and cells; `chain` takes one factor after the other."""
+    rest = [m for m in range(len(factors)) if m != mode]
+    ranks = [rank(factors[m]) for m in rest]
+    width = math.prod(ranks)
+    if width > columns:
+        return ttmc_rows(x, dict(enumerate(factors)), mode, strategy).withColumnRenamed(f"i{mode}", "x"), ["y"], width
     if strategy != "chain":
         y = ttmc(x, dict(enumerate(factors)), mode, strategy, wide=True).withColumnRenamed(f"i{mode}", "x")
-        return y, y.columns[1:]
-    rest = [m for m in range(len(factors)) if m != mode]
+        return y, y.columns[1:], width
     y = ttm_chain(x, {m: factors[m] for m in rest})
-    return _spread(y.select(f"i{mode}", *(F.col(f"i{m}").alias(f"r{k}") for k, m in enumerate(rest)), "v"), f"i{mode}", [rank(factors[m]) for m in rest])
+    return *_spread(y.select(f"i{mode}", *(F.col(f"i{m}").alias(f"r{k}") for k, m in enumerate(rest)), "v"), f"i{mode}", ranks), width
 
 
-def _update(x: DataFrame, factors: Sequence[DataFrame], dims: Sequence[int], ranks: Sequence[int], mode: int, strategy: str, cells: int) -> tuple[DataFrame, np.ndarray]:
-    """A mode's new factor and singular values; where the other ranks are many, from entries, without a column for each."""
+def _update(x: DataFrame, factors: Sequence[DataFrame], dims: Sequence[int], ranks: Sequence[int], mode: int, strategy: str, cells: int, columns: int) -> Svd:
+    """A mode's new factor and singular values; where the other ranks are many, from entries, without a Gram matrix of theirs."""
     others = [rank(factors[m]) for m in range(len(factors)) if m != mode]
     if math.prod(others) ** 2 > cells:
         y = ttmc(x, dict(enumerate(factors)), mode, "fused" if strategy == "chain" else strategy)
         entries = y.select(F.col(f"i{mode}").alias("row"), linear([F.col(f"r{k}") for k in range(len(others))], others).alias("col"), "v")
-        found = left_vectors(entries, dims[mode], math.prod(others), ranks[mode], complete=False, cells=cells)
-        return found.u, found.sigma
-    y, names = _projected(x, factors, mode, strategy)
-    return left_singular(written(y, "tucker-y"), names, ranks[mode])
+        return left_vectors(entries, dims[mode], math.prod(others), ranks[mode], complete=False, cells=cells)
+    y, names, width = _projected(x, factors, mode, strategy, columns)
+    return singular(written(y, "tucker-y"), names, min(ranks[mode], width), width=width)
+
+
+def _core_of(found: Svd, factors: Sequence[DataFrame], mode: int) -> np.ndarray | None:
+    """The core, if the last update's right vectors are at hand: U'Y is S V', so the tensor isn't read again."""
+    others = [rank(f) for m, f in enumerate(factors) if m != mode]
+    if not isinstance(found.v, np.ndarray) or found.v.shape[0] != math.prod(others):
+        return None
+    weight = np.where(found.sigma > 1e-6 * found.sigma.max(initial=0), found.sigma, 0) if found.way == "gram" else found.sigma
+    return np.moveaxis((found.v * weight).T.reshape(len(weight), *others), 0, mode)
 
 
 def _fitting(start: Sequence[DataFrame], n: int) -> None:
@@ -94,7 +107,7 @@ def _fitting(start: Sequence[DataFrame], n: int) -> None:
         raise ValueError(f"{len(start)} factors to start from, for {n} modes")
 
 
-def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 25, tolerance: float = 1e-5, seed: int = 42, strategy: str = "fused", order: Sequence[int] | None = None, cells: int = GRAM_CELLS, start: Sequence[DataFrame] | None = None) -> Tucker:
+def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int = 25, tolerance: float = 1e-5, seed: int = 42, strategy: str = "fused", order: Sequence[int] | None = None, cells: int = GRAM_CELLS, start: Sequence[DataFrame] | None = None, columns: int = COLUMNS) -> Tucker:
     """Higher-order orthogonal iteration; modes are updated from the last to the first, or in `order`.
 
     The first factors are random orthonormal ones, or `start`: those of an earlier model, say. They
@@ -104,7 +117,8 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
     sweeps end when the fit changes by less than tolerance. Rows without non-zeros are absent from
     the factors, as they would be zero. Ranks are cut to the sizes of the modes and to what the
     other ranks allow. Where the squared product of the other ranks is over `cells`, the update
-    takes the shorter side's Gram matrix, or none at all (svd.left_vectors).
+    takes the shorter side's Gram matrix, or none at all (svd.left_vectors); where they are over
+    `columns`, the cells of an index are one array (contract.ttmc_rows).
     """
     spark, n = x.sparkSession, len(dims)
     if start is not None:
@@ -118,13 +132,14 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
     order = list(order or range(n - 1, -1, -1))
     for _ in range(sweeps):
         for mode in order:
-            u, sigma = _update(x, factors, dims, ranks, mode, strategy, cells)
-            factors[mode] = written(u, "tucker-factor")
-        core_sq = float((sigma**2).sum())
+            found = _update(x, factors, dims, ranks, mode, strategy, cells, columns)
+            factors[mode] = written(found.u, "tucker-factor")
+        core_sq = float((found.sigma**2).sum())
         out.fits.append(fit_of_core(norm_sq, core_sq))
         if len(out.fits) > 1 and abs(out.fits[-1] - out.fits[-2]) < tolerance:
             break
-    out.core = core_array(core(x, factors), [rank(f) for f in factors])
+    known = _core_of(found, factors, order[-1]) if sweeps else None
+    out.core = core_array(core(x, factors), [rank(f) for f in factors]) if known is None else known
     return out
 
 

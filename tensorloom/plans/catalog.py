@@ -282,6 +282,21 @@ for _m in range(3):
 query("mttkrp_fnf", "SELECT i0, r, sum(v * ((7 * i1 + 3 * r) % 11) * ((5 * i2 + 2 * r) % 7)) AS v FROM x3 CROSS JOIN (SELECT unnest(range(0, 3)) AS r) GROUP BY ALL")(lambda s, d: contract.mttkrp(x := x3(s, d), _f3(s, x, 0), 0, "fused"))
 query("mttkrp4", "SELECT i0, r, sum(v * ((7 * i1 + 3 * r) % 11) * ((5 * i2 + 2 * r) % 7) * ((5 * i3 + 2 * r) % 7)) AS v FROM x4 CROSS JOIN (SELECT unnest(range(0, 3)) AS r) GROUP BY ALL")(lambda s, d: contract.mttkrp(x := x4(s, d), _f3(s, x, 0), 0))
 
+_MANY = (12, 10)
+_MANY_SQL = f"SELECT i0, CAST(b.r * {_MANY[1]} + c.r AS INTEGER) AS cell, sum(v * b.u * c.u) AS v FROM x3 JOIN (SELECT x, r, CAST((5 * x + 2 * r) % 7 AS DOUBLE) AS u FROM (SELECT DISTINCT i1 AS x FROM x3) CROSS JOIN (SELECT unnest(range(0, {_MANY[0]})) AS r)) b ON b.x = i1 JOIN (SELECT x, r, CAST((3 * x + 5 * r) % 13 AS DOUBLE) AS u FROM (SELECT DISTINCT i2 AS x FROM x3) CROSS JOIN (SELECT unnest(range(0, {_MANY[1]})) AS r)) c ON c.x = i2 GROUP BY 1, 2"
+
+
+def _many_ranks(spark, sf_dir, strategy):
+    """X3 times factors of ranks 12 and 10: 120 cells for each supplier, in one array."""
+    x = x3(spark, sf_dir)
+    dims = sizes(x)
+    f = {1: fac.modular(spark, dims[1], _MANY[0], 5, 2, 7), 2: fac.modular(spark, dims[2], _MANY[1], 3, 5, 13)}
+    return contract.ttmc_rows(x, f, 0, strategy).select("i0", F.posexplode("y").alias("cell", "v"))
+
+
+query("ttmc_rows_m0", _MANY_SQL)(lambda s, d: _many_ranks(s, d, "fused"))
+query("ttmc_rows_salted", _MANY_SQL)(lambda s, d: _many_ranks(s, d, "salted"))
+
 # ---- linear algebra
 
 query("gram", "SELECT a.r AS \"row\", b.r AS col, sum(a.u * b.u) AS v FROM fa a JOIN fa b ON a.x = b.x WHERE a.x < (SELECT d1 FROM dims) GROUP BY 1, 2")(lambda s, d: linalg.gram(f := _a(s, sizes(x3(s, d))[1]), f.columns[1:]))
@@ -464,6 +479,14 @@ def _hooi(spark, sf_dir):
     return _fit_rows(spark, tucker.hooi(x, dims, (3, 3, 2), sweeps=3, tolerance=0.0, start=start).fits, 8)
 
 
+@query("hooi_rows_fit")
+def _hooi_rows(spark, sf_dir):
+    """hooi_fit with an array for each index, as ranks with a large product have."""
+    x, dims, start = _started(spark, x3(spark, sf_dir), (3, 3, 2))
+    return _fit_rows(spark, tucker.hooi(x, dims, (3, 3, 2), sweeps=1, tolerance=0.0, start=start, columns=1).fits, 8)
+
+
+SQL["hooi_rows_fit"] = _X3 + expected.hooi_fits("x3", _STARTS, (3, 3, 2), 1, (2, 1, 0))
 SQL["hooi_fit"] = _X3 + expected.hooi_fits("x3", _STARTS, (3, 3, 2), 3, (2, 1, 0))
 
 

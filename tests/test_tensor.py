@@ -348,3 +348,26 @@ def test_decompositions_start_from_given_factors(spark, toy):
         tucker.hooi(toy, [3, 3, 3], [2, 2, 1], start=start[:2])
     with pytest.raises(ValueError, match="core"):
         tucker.als(toy, [3, 3, 3], 2, start=start, core_=np.ones((2, 2, 2)))
+
+
+def test_ttmc_rows(spark, toy, monkeypatch):
+    """An array for each index holds the cells of ttmc(), however runs fall into batches and blocks."""
+    f = {m: fac.modular(spark, 3, r, a, b, n) for m, (r, a, b, n) in enumerate([(2, 7, 3, 11), (3, 5, 2, 7), (2, 3, 5, 5)])}
+    monkeypatch.setattr(contract, "HELD", 6)
+    for keep in range(3):
+        want = {r[0]: list(r[1:]) for r in contract.ttmc(toy, f, keep, wide=True).collect()}
+        for strategy in ("fused", "salted"):
+            got = {r[0]: list(r["y"]) for r in contract.ttmc_rows(toy, f, keep, strategy).collect()}
+            assert got == want
+    four = toy.selectExpr("i0", "i1", "i2", "(i0 + i2) % 2 as i3", "v")
+    g = {**f, 3: fac.modular(spark, 2, 2, 2, 1, 3)}
+    assert {r[0]: list(r["y"]) for r in contract.ttmc_rows(four, g, 1).collect()} == {r[0]: list(r[1:]) for r in contract.ttmc(four, g, 1, wide=True).collect()}
+    assert contract.ttmc_rows(toy.where("false"), f, 0).count() == 0
+
+
+def test_core_of_the_last_update(spark, toy):
+    """The core that comes with the last update is the tensor times all factors, for columns and for arrays."""
+    start = [fac.modular(spark, 3, 2, a, b, m) for a, b, m in ((7, 3, 11), (5, 2, 7), (3, 5, 5))]
+    models = [tucker.hooi(toy, [3, 3, 3], [2, 2, 2], sweeps=1, start=start, order=o, columns=c) for o, c in (((2, 1, 0), 64), ((0, 2, 1), 1))]
+    for model in models:
+        assert np.allclose(tucker.refreshed_core(toy, model.factors), model.core)
