@@ -44,13 +44,17 @@ def csf_pointers(levels: Sequence[DataFrame], level: int) -> DataFrame:
 
 
 def from_csf(levels: Sequence[DataFrame]) -> DataFrame:
-    """The coordinates of a fiber tree; children find their parents through the pointers' ranges."""
+    """The coordinates of a fiber tree; children find their parents through the pointers' ranges.
+
+    A node becomes as many rows as it has children, which Spark's size estimates don't see: they
+    would have the children of a short level broadcast. So both sides are sorted.
+    """
     n = len(levels)
     x = levels[0].select(F.col("idx").alias("i0"), *(["ptr_begin", "ptr_end"] if n > 1 else ["v"]))
     for k in range(1, n):
         below = levels[k].select(F.col("pos").alias("_at"), F.col("idx").alias(f"i{k}"), *(["ptr_begin", "ptr_end"] if k < n - 1 else ["v"]))
         children = x.withColumn("_at", F.explode(F.sequence("ptr_begin", F.col("ptr_end") - 1))).drop("ptr_begin", "ptr_end")
-        x = children.join(below, "_at").drop("_at")
+        x = children.hint("merge").join(below.hint("merge"), "_at").drop("_at")
     return x
 
 
