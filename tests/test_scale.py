@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tensorloom.operators import formats
+from tensorloom.operators import formats, linalg
 
 
 def _tensor(spark, n=60):
@@ -25,3 +25,12 @@ def test_children_are_not_broadcast(spark):
     back = formats.from_csf(formats.csf(x))
     assert sorted(back.collect()) == sorted(x.collect())
     assert not any("BroadcastHashJoin" in line and "_at" in line for line in _plan(back))
+
+
+def test_gram_is_summed_in_tasks(spark):
+    m = np.random.RandomState(2).randint(-1, 3, (30, 14)).astype(float)
+    for chunk, held in ((3, 14), (3, 4), (100, 14), (100, 1)):
+        got = np.zeros((14, 14))
+        for r in linalg.gram_self_join(_matrix(spark, m), chunk, held=held).collect():
+            got[r["row"], r["col"]] += r["v"]
+        assert np.array_equal(got, m.T @ m)
