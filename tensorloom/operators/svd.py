@@ -211,6 +211,23 @@ def left_vectors(m: DataFrame, rows: int, cols: int, r: int, complete: bool = Tr
     return iterated(m, r)
 
 
+def power_sums(m: DataFrame, rows: int, cols: int, cells: int | None = None) -> tuple[float, float]:
+    """The sums of the second and fourth powers of all singular values of a sparse matrix (row, col, v).
+
+    From the values, where a side's Gram matrix has `cells` cells at most (linalg.GRAM_CELLS). Beyond
+    that all values would need a dense decomposition of both sides, but their power sums don't: they
+    are the trace and the squared norm of M M', whose cells stay in a table.
+    """
+    cells = cells or linalg.GRAM_CELLS
+    if min(rows, cols) ** 2 <= cells:
+        s = left_vectors(m, rows, cols, min(rows, cols), cells=cells).sigma
+        return float((s**2).sum()), float((s**4).sum())
+    g = linalg.gram_self_join(transpose(m), both=False)
+    v, diagonal = F.col("v"), F.col("row") == F.col("col")
+    found = g.agg(F.sum(F.when(diagonal, v)), F.sum(F.when(diagonal, v * v).otherwise(2 * v * v))).first()
+    return float(found[0] or 0), float(found[1] or 0)
+
+
 def _dense(m: DataFrame, cols: int) -> DataFrame:
     """(x, y) of a matrix whose rows, `cols` long, fit a task: y is a row's array."""
     entries = m.groupBy(F.col("row").alias("x")).agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("e"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tensorloom.operators import formats, linalg
+from tensorloom.operators import formats, linalg, svd
 
 
 def _tensor(spark, n=60):
@@ -27,6 +27,13 @@ def test_children_are_not_broadcast(spark):
     assert not any("BroadcastHashJoin" in line and "_at" in line for line in _plan(back))
 
 
+def test_power_sums_of_two_long_sides(spark):
+    m = np.random.RandomState(1).randint(-2, 3, (12, 15)).astype(float)
+    s = np.linalg.svd(m, compute_uv=False)
+    for cells in (4, 1000):
+        assert np.allclose(svd.power_sums(_matrix(spark, m), 12, 15, cells), ((s**2).sum(), (s**4).sum()))
+
+
 def test_gram_is_summed_in_tasks(spark):
     m = np.random.RandomState(2).randint(-1, 3, (30, 14)).astype(float)
     for chunk, held in ((3, 14), (3, 4), (100, 14), (100, 1)):
