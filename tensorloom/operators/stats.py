@@ -84,5 +84,6 @@ def fiber_runs(x: DataFrame, fibers: int, long_fiber: int) -> DataFrame:
 
 
 def blocks_by_size(x: DataFrame, dims: Sequence[int], size: Sequence[int]) -> DataFrame:
-    """(block, nnz, place): the blocks that have any, largest first; equal ones by number."""
-    return ordinals(block_histogram(x, dims, size), [F.desc("nnz"), F.col("block")], "place")
+    """(block, nnz, place): the blocks that have any entries, largest first; equal ones by number. Explicit zeros are entries."""
+    counts = x.groupBy(block_id(x, dims, size).alias("block")).agg(F.count(F.lit(1)).alias("nnz"))
+    return ordinals(counts, [F.desc("nnz"), F.col("block")], "place")

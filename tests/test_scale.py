@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tensorloom.operators import formats, linalg, svd
+from tensorloom.operators import formats, linalg, stats, svd
 
 
 def _tensor(spark, n=60):
@@ -34,6 +34,11 @@ def test_power_sums_of_two_long_sides(spark):
         assert np.allclose(svd.power_sums(_matrix(spark, m), 12, 15, cells), ((s**2).sum(), (s**4).sum()))
 
 
+def test_blocks_count_explicit_zeros(spark):
+    x = spark.createDataFrame([(0, 0, 0.0), (0, 1, 2.0), (5, 1, 0.0)], "i0 long, i1 long, v double")
+    assert sorted(stats.blocks_by_size(x, [6, 2], [2, 2]).collect()) == [(0, 2, 0), (2, 1, 1)]
+
+
 def test_gram_is_summed_in_tasks(spark):
     m = np.random.RandomState(2).randint(-1, 3, (30, 14)).astype(float)
     for chunk, held in ((3, 14), (3, 4), (100, 14), (100, 1)):
