@@ -3,6 +3,7 @@
 import numpy as np
 
 from tensorloom.operators import formats, linalg, stats, svd
+from tensorloom.sources import text
 
 
 def _tensor(spark, n=60):
@@ -46,3 +47,14 @@ def test_gram_is_summed_in_tasks(spark):
         for r in linalg.gram_self_join(_matrix(spark, m), chunk, held=held).collect():
             got[r["row"], r["col"]] += r["v"]
         assert np.array_equal(got, m.T @ m)
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    x = _tensor(spark)
+    text.write_tns(x, str(tmp_path / "t"), [9, 9, 9])
+    found, _ = text.read_tns(spark, str(tmp_path / "t"), strict=True)
+    assert sorted(found.collect()) == sorted(x.collect())
+    m = spark.createDataFrame([("2 1 3.5",), ("\t1  1\t2 ",), ("% no",), ("  # no",), ("3 2",)], "value string")
+    both = text.parse_mtx(m, symmetric=True)
+    assert sorted(both.collect()) == [(0, 0, 2.0), (0, 1, 3.5), (1, 0, 3.5), (1, 2, 1.0), (2, 1, 1.0)]
+    assert not any("Union" in line for line in _plan(both))
