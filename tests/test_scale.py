@@ -3,6 +3,7 @@
 import numpy as np
 
 from tensorloom.functions import runs as runs_module
+from tensorloom.functions import tables
 from tensorloom.operators import formats, linalg, stats, svd
 from tensorloom.sources import text
 
@@ -39,6 +40,16 @@ def test_parts_of_runs_are_a_table(spark):
     assert not any("element_at" in line for line in _plan(placed))
 
 
+def test_partitions_follow_the_tables(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert tables.sized(spark, str(tmp_path), ["lineitem"]) is spark
+    monkeypatch.setattr(tables, "SHARE", 64)
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    other = tables.sized(spark, str(tmp_path), ["lineitem"])
+    assert int(other.conf.get("spark.sql.shuffle.partitions")) > int(given) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert other.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+
+
 def test_power_sums_of_two_long_sides(spark):
     m = np.random.RandomState(1).randint(-2, 3, (12, 15)).astype(float)
     s = np.linalg.svd(m, compute_uv=False)
