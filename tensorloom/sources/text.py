@@ -39,7 +39,9 @@ def _tokens(lines: DataFrame) -> DataFrame:
     """Lines with their white-space-separated tokens; blank lines and comments (# or %) go."""
     body = F.btrim("value", F.lit(BLANKS))
     single = F.when(body.rlike(r"[\s&&[^ ]]|  "), F.regexp_replace(body, r"\s+", " ")).otherwise(body)
-    return lines.where((body != "") & ~body.startswith("#") & ~body.startswith("%")).withColumn("t", F.split(single, " "))
+    # Tokens behind a generator are cut once a line; as a plain expression they would be cut anew in each place that reads one.
+    kept = lines.where((body != "") & ~body.startswith("#") & ~body.startswith("%"))
+    return kept.select("*", F.explode(F.array(F.split(single, " "))).alias("t"))
 
 
 def parse_coo(lines: DataFrame, order: int, base: int = 1, strict: bool = False, missing: float | Column | None = None) -> DataFrame:
@@ -165,11 +167,15 @@ def csf_lines(x: DataFrame, dims: Sequence[int], order: Sequence[int] | None = N
 def parse_csf(lines: DataFrame) -> DataFrame:
     """(level, kind, pos, val) of labelled lines: the arrays ptr, idx and (level -1) values, whole or in ranges `label[begin]:`."""
     label = F.trim(F.substring_index("value", ":", 1))
-    rows = lines.where("value NOT LIKE '#%' AND value LIKE '%:%'").select(label.alias("label"), F.posexplode(F.split(F.trim(F.substring_index("value", ":", -1)), r"\s+")).alias("at", "s"))
-    level = F.coalesce(F.regexp_extract("label", r"mode_(\d+)_", 1).try_cast("int"), F.lit(-1))
-    kind = F.when(F.col("label").startswith("values"), "values").otherwise(F.regexp_extract("label", r"_(ptr|idx)(?:\[|$)", 1))
-    begin = F.coalesce(F.regexp_extract("label", r"\[(\d+)\]$", 1).try_cast("long"), F.lit(0))
-    return rows.select(level.alias("level"), kind.alias("kind"), (begin + F.col("at")).alias("pos"), F.col("s").try_cast("double").alias("val")).where("val IS NOT NULL")
+    level = F.coalesce(F.regexp_extract(label, r"mode_(\d+)_", 1).try_cast("int"), F.lit(-1))
+    kind = F.when(label.startswith("values"), "values").otherwise(F.regexp_extract(label, r"_(ptr|idx)(?:\[|$)", 1))
+    begin = F.coalesce(F.regexp_extract(label, r"\[(\d+)\]$", 1).try_cast("long"), F.lit(0))
+    # Labels behind a generator are read once a line, not for each of its numbers.
+    labels = F.explode(F.array(F.struct(level.alias("level"), kind.alias("kind"), begin.alias("begin")))).alias("l")
+    labelled = lines.where("value NOT LIKE '#%' AND value LIKE '%:%'").select("value", labels)
+    rows = labelled.select("l.*", F.posexplode(F.split(F.trim(F.substring_index("value", ":", -1)), r"\s+")).alias("at", "s"))
+    numbers = rows.select("level", "kind", (F.col("begin") + F.col("at")).alias("pos"), F.col("s").try_cast("double").alias("val"))
+    return numbers.where("val IS NOT NULL")
 
 
 def parse_positional_csf(lines: DataFrame, order: int = 3) -> DataFrame:

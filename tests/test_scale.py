@@ -4,7 +4,7 @@ import numpy as np
 
 from tensorloom.functions import runs as runs_module
 from tensorloom.functions import tables
-from tensorloom.operators import formats, linalg, stats, svd
+from tensorloom.operators import coo, formats, linalg, stats, svd
 from tensorloom.sources import text
 
 
@@ -80,3 +80,15 @@ def test_lines_are_read_once(spark, tmp_path):
     both = text.parse_mtx(m, symmetric=True)
     assert sorted(both.collect()) == [(0, 0, 2.0), (0, 1, 3.5), (1, 0, 3.5), (1, 2, 1.0), (2, 1, 1.0)]
     assert not any("Union" in line for line in _plan(both))
+
+
+def test_labels_and_tokens_are_cut_once_a_line(spark, tmp_path):
+    x = _tensor(spark)
+    text.write_tns(x, str(tmp_path / "t"), [9, 9, 9])
+    found = text.read_tns(spark, str(tmp_path / "t"), strict=True)[0]
+    plan = coo.inside(found, [9, 9, 9])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    arrays = text.parse_csf(text.csf_lines(x, [9, 9, 9], size=4).select("value"))
+    top = arrays._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "regexp_extract" not in top
+    assert sorted(text.csf_to_coo(arrays, 3).collect()) == sorted(x.collect())
