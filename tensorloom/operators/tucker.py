@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.factors import orthonormal
-from tensorloom.functions.tables import written
+from tensorloom.functions.tables import SMALL, dealt, small, written
 
 from .contract import rank, ttm_chain, ttmc, ttmc_rows
 from .coo import linear, modes
@@ -68,15 +68,33 @@ def fit_of_core(norm_sq: float, core_sq: float) -> float:
     return 1 - math.sqrt(max(0.0, norm_sq - core_sq)) / math.sqrt(norm_sq) if norm_sq else 1.0
 
 
-def _projected(x: DataFrame, factors: Sequence[DataFrame], mode: int, strategy: str, columns: int) -> tuple[DataFrame, list[str], int]:
+def _longest(dims: Sequence[int]) -> int:
+    """The longest mode, by which x is dealt: joins with its factor, and sums by it, leave x in its place."""
+    return max(range(len(dims)), key=lambda m: dims[m])
+
+
+def _hinted(factors: Sequence[DataFrame], dims: Sequence[int]) -> list[DataFrame]:
+    """The factors, those of all but the longest mode to be broadcast where they are small."""
+    return [f if m == _longest(dims) else small(f, dims[m]) for m, f in enumerate(factors)]
+
+
+def _order(factors: Sequence[DataFrame], dims: Sequence[int], mode: int) -> list[int]:
+    """The other modes, the longest last, so that sums before its join stay in their buckets."""
+    return sorted((m for m in range(len(factors)) if m != mode), key=lambda m: (m == _longest(dims), dims[m]))
+
+
+def _projected(x: DataFrame, factors: Sequence[DataFrame], dims: Sequence[int], mode: int, strategy: str, columns: int) -> tuple[DataFrame, list[str], int]:
     """x times all factors but that of mode, a row for each index, its columns and cells; `chain` takes one factor after the other."""
     rest = [m for m in range(len(factors)) if m != mode]
     ranks = [rank(factors[m]) for m in rest]
     width = math.prod(ranks)
     if width > columns:
         return ttmc_rows(x, dict(enumerate(factors)), mode, strategy).withColumnRenamed(f"i{mode}", "x"), ["y"], width
+    order, hinted = _order(factors, dims, mode), _hinted(factors, dims)
     if strategy != "chain":
-        y = ttmc(x, dict(enumerate(factors)), mode, strategy, wide=True).withColumnRenamed(f"i{mode}", "x")
+        # Where all joins are in place, sums between them would only fill memory.
+        near = all(m == _longest(dims) or dims[m] * len(factors[m].columns) <= SMALL for m in rest)
+        y = ttmc(x, dict(enumerate(hinted)), mode, "aao" if near and strategy == "fused" else strategy, order, wide=True).withColumnRenamed(f"i{mode}", "x")
         return y, y.columns[1:], width
     y = ttm_chain(x, {m: factors[m] for m in rest})
     return *_spread(y.select(f"i{mode}", *(F.col(f"i{m}").alias(f"r{k}") for k, m in enumerate(rest)), "v"), f"i{mode}", ranks), width
@@ -89,7 +107,7 @@ def _update(x: DataFrame, factors: Sequence[DataFrame], dims: Sequence[int], ran
         y = ttmc(x, dict(enumerate(factors)), mode, "fused" if strategy == "chain" else strategy)
         entries = y.select(F.col(f"i{mode}").alias("row"), linear([F.col(f"r{k}") for k in range(len(others))], others).alias("col"), "v")
         return left_vectors(entries, dims[mode], math.prod(others), ranks[mode], complete=False, cells=cells)
-    y, names, width = _projected(x, factors, mode, strategy, columns)
+    y, names, width = _projected(x, factors, dims, mode, strategy, columns)
     return singular(written(y, "tucker-y"), names, min(ranks[mode], width), width=width)
 
 
@@ -118,14 +136,15 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
     the factors, as they would be zero. Ranks are cut to the sizes of the modes and to what the
     other ranks allow. Where the squared product of the other ranks is over `cells`, the update
     takes the shorter side's Gram matrix, or none at all (svd.left_vectors); where they are over
-    `columns`, the cells of an index are one array (contract.ttmc_rows).
+    `columns`, the cells of an index are one array (contract.ttmc_rows). x is dealt once, by its
+    longest mode; small factors of the others come by broadcast.
     """
     spark, n = x.sparkSession, len(dims)
     if start is not None:
         _fitting(start, n)
         ranks = [rank(f) for f in start]
     ranks = [min(r, d) for r, d in zip(ranks, dims, strict=True)]
-    x = written(x.select(*modes(x), "v"), "tucker-x")
+    x = dealt(x.select(*modes(x), "v"), f"i{_longest(dims)}", "tucker-x")
     norm_sq = x.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
     factors = list(start) if start is not None else [orthonormal(spark, d, r, seed + m) for m, (d, r) in enumerate(zip(dims, ranks, strict=True))]
     out = Tucker(factors, np.zeros(ranks))

@@ -2,9 +2,10 @@
 
 import numpy as np
 
+from tensorloom.functions import factors as factor_makers
 from tensorloom.functions import runs as runs_module
 from tensorloom.functions import tables
-from tensorloom.operators import coo, formats, linalg, stats, svd
+from tensorloom.operators import contract, coo, formats, linalg, stats, svd, tucker
 from tensorloom.sources import text
 
 
@@ -92,3 +93,35 @@ def test_labels_and_tokens_are_cut_once_a_line(spark, tmp_path):
     top = arrays._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "regexp_extract" not in top
     assert sorted(text.csf_to_coo(arrays, 3).collect()) == sorted(x.collect())
+
+
+def _shuffled(df):
+    """What the exchanges of a plan are by, before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [line.split("hashpartitioning(")[1].split("#")[0] for line in plan if " Exchange hashpartitioning(" in line]
+
+
+def _dealt_tensor(spark, n):
+    return tables.dealt(_tensor(spark), f"i{n}", "test-dealt"), [9, 9, 9]
+
+
+def test_dealt_tables_stay_in_place(spark):
+    x = _tensor(spark)
+    y = tables.dealt(x, "i1", "test-dealt")
+    assert sorted(y.collect()) == sorted(x.collect())
+    assert _shuffled(y.groupBy("i0", "i1").count()) == []
+    assert not [t for t in spark.catalog.listTables() if "test_dealt" in t.name]
+    assert "Broadcast" in str(_plan(y.join(tables.small(spark.range(9).toDF("i1"), 9), "i1").groupBy("i1").count()))
+
+
+def test_hooi_leaves_the_tensor_in_place(spark):
+    x, dims = _dealt_tensor(spark, 1)
+    dims[1] = 10  # the longest
+    factors = [factor_makers.modular(spark, d, 2, 7, 3, 11) for d in dims]
+    for mode, strategy in ((0, "fused"), (1, "fused")):
+        wanted = {(r[0], r["r0"], r["r1"]): r["v"] for r in contract.ttmc(_tensor(spark), dict(enumerate(factors)), mode).collect()}
+        y, names, width = tucker._projected(x, factors, dims, mode, strategy, 64)
+        moved = _shuffled(y)
+        assert width == 4 and {(r["x"], k // 2, k % 2): r[n] for r in y.collect() for k, n in enumerate(names)} == wanted
+        # The tensor's rows never are: only sums by another mode leave their tasks.
+        assert moved == (["i0"] if mode == 0 else [])
