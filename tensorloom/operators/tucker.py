@@ -96,7 +96,7 @@ def _projected(x: DataFrame, factors: Sequence[DataFrame], dims: Sequence[int],
         near = all(m == _longest(dims) or dims[m] * len(factors[m].columns) <= SMALL for m in rest)
         y = ttmc(x, dict(enumerate(hinted)), mode, "aao" if near and strategy == "fused" else strategy, order, wide=True).withColumnRenamed(f"i{mode}", "x")
         return y, y.columns[1:], width
-    y = ttm_chain(x, {m: factors[m] for m in rest})
+    y = ttm_chain(x, {m: hinted[m] for m in rest}, order)
     return *_spread(y.select(f"i{mode}", *(F.col(f"i{m}").alias(f"r{k}") for k, m in enumerate(rest)), "v"), f"i{mode}", ranks), width
 
 
@@ -144,7 +144,8 @@ def hooi(x: DataFrame, dims: Sequence[int], ranks: Sequence[int], sweeps: int =
         _fitting(start, n)
         ranks = [rank(f) for f in start]
     ranks = [min(r, d) for r, d in zip(ranks, dims, strict=True)]
-    x = dealt(x.select(*modes(x), "v"), f"i{_longest(dims)}", "tucker-x")
+    # A chain holds the sums of many fibers in a task, so its buckets are smaller.
+    x = dealt(x.select(*modes(x), "v"), f"i{_longest(dims)}", "tucker-x", 1 if strategy == "chain" else 4)
     norm_sq = x.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
     factors = list(start) if start is not None else [orthonormal(spark, d, r, seed + m) for m, (d, r) in enumerate(zip(dims, ranks, strict=True))]
     out = Tucker(factors, np.zeros(ranks))

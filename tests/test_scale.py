@@ -118,7 +118,7 @@ def test_hooi_leaves_the_tensor_in_place(spark):
     x, dims = _dealt_tensor(spark, 1)
     dims[1] = 10  # the longest
     factors = [factor_makers.modular(spark, d, 2, 7, 3, 11) for d in dims]
-    for mode, strategy in ((0, "fused"), (1, "fused")):
+    for mode, strategy in ((0, "fused"), (1, "fused"), (1, "chain")):
         wanted = {(r[0], r["r0"], r["r1"]): r["v"] for r in contract.ttmc(_tensor(spark), dict(enumerate(factors)), mode).collect()}
         y, names, width = tucker._projected(x, factors, dims, mode, strategy, 64)
         moved = _shuffled(y)
