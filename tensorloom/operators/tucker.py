@@ -229,10 +229,10 @@ def als(x: DataFrame, dims: Sequence[int], r: int, sweeps: int = 50, tolerance:
     """Row-wise ridge regression of the factors on the stored entries, under a fixed core.
 
     The core is random, or `core_`; the first factors are random orthonormal ones, or `start`. fits has the observed fit after each sweep. Rows without entries stay as they began, at 0 from
-    the first update on.
+    the first update on. x is dealt as in hooi().
     """
     spark, n = x.sparkSession, len(dims)
-    x = written(x.select(*modes(x), "v"), "als-x")
+    x = dealt(x.select(*modes(x), "v"), f"i{_longest(dims)}", "als-x")
     if start is not None:
         _fitting(start, n)
     factors = list(start) if start is not None else [orthonormal(spark, d, min(r, d), seed + 1 + m) for m, d in enumerate(dims)]
@@ -243,9 +243,9 @@ def als(x: DataFrame, dims: Sequence[int], r: int, sweeps: int = 50, tolerance:
     out = Tucker(factors, core_)
     for _ in range(sweeps):
         for mode in range(n):
-            solved = ridge_rows(deltas(x, factors, core_, mode), core_.shape[mode], penalty, f"i{mode}")
+            solved = ridge_rows(deltas(x, _hinted(factors, dims), core_, mode), core_.shape[mode], penalty, f"i{mode}")
             factors[mode] = written(solved, "als-factor")
-        row = reconstruct(x, factors, core_).agg(F.sum(F.col("v") ** 2).alias("xx"), F.sum((F.col("v") - F.col("vhat")) ** 2).alias("err")).first()
+        row = reconstruct(x, _hinted(factors, dims), core_).agg(F.sum(F.col("v") ** 2).alias("xx"), F.sum((F.col("v") - F.col("vhat")) ** 2).alias("err")).first()
         out.fits.append(1 - math.sqrt((row["err"] or 0.0) / row["xx"]) if row["xx"] else 1.0)
         if len(out.fits) > 1 and abs(out.fits[-1] - out.fits[-2]) <= tolerance:
             break

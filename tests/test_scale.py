@@ -125,3 +125,15 @@ def test_hooi_leaves_the_tensor_in_place(spark):
         assert width == 4 and {(r["x"], k // 2, k % 2): r[n] for r in y.collect() for k, n in enumerate(names)} == wanted
         # The tensor's rows never are: only sums by another mode leave their tasks.
         assert moved == (["i0"] if mode == 0 else [])
+
+
+def test_ridge_rows_leave_the_tensor_in_place(spark):
+    x, dims = _dealt_tensor(spark, 1)
+    dims[1] = 10  # the longest
+    factors, core = [factor_makers.modular(spark, d, 2, 7, 3, 11) for d in dims], np.arange(1.0, 9).reshape(2, 2, 2)
+    for mode in (0, 1):
+        wanted = {r["x"]: r[1:] for r in linalg.ridge_rows(tucker.deltas(_tensor(spark), factors, core, mode), 2, 1e-4, f"i{mode}").collect()}
+        solved = linalg.ridge_rows(tucker.deltas(x, tucker._hinted(factors, dims), core, mode), 2, 1e-4, f"i{mode}")
+        assert _shuffled(solved) == (["i0"] if mode == 0 else [])
+        got = {r["x"]: r[1:] for r in solved.collect()}
+        assert got.keys() == wanted.keys() and all(np.allclose(got[i], wanted[i]) for i in wanted)
