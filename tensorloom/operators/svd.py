@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.factors import extended, normal
 from tensorloom.functions.shipping import ship
-from tensorloom.functions.tables import written
+from tensorloom.functions.tables import dealt, small, written
 
 from . import linalg
 from .contract import spmm
@@ -142,28 +142,34 @@ def iterated(m: DataFrame, r: int, extra: int = 8, steps: int = 40, tolerance: f
     A step multiplies a block of r + extra columns by the matrix and by its transpose, two joins, and
     makes it orthonormal by TSQR. The block starts as normal numbers by column. Rayleigh-Ritz turns
     the last block into singular vectors. Steps end when no wanted value changes by more than
-    tolerance times the greatest. Rows and columns without entries are absent from u and v.
+    tolerance times the greatest. The matrix is dealt once, by its longer side, and a small block of
+    the other side comes by broadcast, so that a step shuffles sums alone. Rows and columns without entries are absent from u and v.
     """
     spark = m.sparkSession
     m = written(m.select("row", "col", "v"), "iterated-matrix")
-    back = transpose(m)
-    right = m.select(F.col("col").alias("x")).distinct()
-    rows = m.select("row").distinct().count()
-    k = min(r + extra, rows, right.count())
+    right = written(m.select(F.col("col").alias("x")).distinct(), "iterated-columns")
+    rows, cols = m.select("row").distinct().count(), right.count()
+    k = min(r + extra, rows, cols)
     if not k:
         return Svd(spark.createDataFrame([], "x long"), np.zeros(0), spark.createDataFrame([], "x long"), "power")
+    m = dealt(m, "row" if rows >= cols else "col", "iterated-matrix")
+    back = transpose(m)
+
+    def near(block: DataFrame, n: int) -> DataFrame:
+        return small(block, n) if n == min(rows, cols) else block
+
     names = [f"u{c}" for c in range(k)]
     q = _orthonormal(right.select("x", *(normal(F.col("x"), c, seed).alias(f"u{c}") for c in range(k))), names)
     known = np.zeros(min(r, k))
     for _ in range(steps):
-        z = written(spmm(m, q).withColumnRenamed("row", "x"), "iterated-left")
+        z = written(spmm(m, near(q, cols)).withColumnRenamed("row", "x"), "iterated-left")
         ours = triangle(z, names)
         sigma = np.linalg.svd(ours, compute_uv=False)[: len(known)]
         done = np.abs(sigma - known).max() <= tolerance * max(sigma[0], 1e-300)
         known = sigma
         if done:
             break
-        q = _orthonormal(spmm(back, z).withColumnRenamed("row", "x"), names)
+        q = _orthonormal(spmm(back, near(z, rows)).withColumnRenamed("row", "x"), names)
     _, sigma, vt = np.linalg.svd(ours)
     turn, sigma = signed(vt[: len(known)].T), sigma[: len(known)]
     held = int((sigma > ABSENT * max(sigma[0], 1e-300)).sum())

@@ -137,3 +137,12 @@ def test_ridge_rows_leave_the_tensor_in_place(spark):
         assert _shuffled(solved) == (["i0"] if mode == 0 else [])
         got = {r["x"]: r[1:] for r in solved.collect()}
         assert got.keys() == wanted.keys() and all(np.allclose(got[i], wanted[i]) for i in wanted)
+
+
+def test_power_iteration_deals_the_longer_side(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(svd, "dealt", lambda m, key, name: seen.append(key) or tables.dealt(m, key, name))
+    for shape in ((7, 4), (4, 7)):
+        m = np.random.RandomState(4).randint(1, 9, shape).astype(float)
+        assert np.allclose(svd.iterated(_matrix(spark, m), 2).sigma, np.linalg.svd(m, compute_uv=False)[:2])
+    assert seen == ["row", "col"]
