@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -409,6 +410,38 @@ def test_search_shard_prunes_exactly(monkeypatch, size, dense, common, block):
         assert shard.search(queries, 5, bests) == want
 
 
+def test_search_shard_is_decoded_piecewise(monkeypatch):
+    """A shard takes little memory besides its own arrays, and pieces change nothing."""
+    r = np.random.RandomState(6)
+    texts = [np.unique(r.zipf(1.2, 400) % 20_000) for _ in range(3000)]
+    whole, *_ = search_shard(texts)
+    monkeypatch.setattr(search, "DECODED", 1 << 12)
+    real, peaks = search.Shard.__init__, []
+
+    def traced(self, *args):
+        tracemalloc.start()
+        real(self, *args)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+
+    monkeypatch.setattr(search.Shard, "__init__", traced)
+    pieces, *_ = search_shard(texts)
+    for name, value in vars(whole).items():
+        assert np.array_equal(value, getattr(pieces, name)), name
+    assert peaks[0] < 1.3 * sum(v.nbytes for v in vars(pieces).values() if isinstance(v, np.ndarray))
+
+
+def test_search_counts_of_any_width(spark):
+    """Frequencies in a text of one, two and four bytes."""
+    counts = {1: 3, 2: 300, 3: 70_000}
+    for some in ([1], [1, 2], [1, 2, 3]):
+        df = table(spark, [(i, "alpha " * counts[i] + "beta", None, None) for i in some])
+        mean = sum(counts[i] + 1 for i in some) / len(some)
+        score = lambda i, n, mean=mean: n * 2.2 / (n + 1.2 * (0.25 + 0.75 * (counts[i] + 1) / mean))
+        got = {r["doc_id"]: r["score"] for r in search.search(df, df.where("doc_id = 1"), 3).collect()}
+        assert got == {i: pytest.approx(math.log(1 + 0.5 / (len(some) + 0.5)) * (score(i, counts[i]) + score(i, 1))) for i in some}
+
+
 def test_search_skips_blocks_by_default():
     """Two languages with some words in common: with the settings as they are, the blocks of the other one are never read."""
     r = np.random.RandomState(5)
