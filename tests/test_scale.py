@@ -51,6 +51,21 @@ def test_partitions_follow_the_tables(spark, tmp_path, monkeypatch):
     assert other.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
 
 
+def test_reads_are_small_where_partitions_are_many(spark, tmp_path, monkeypatch):
+    """Enough partitions say nothing of what a task reads, or of what Spark merges to one."""
+    spark.range(1000).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(tables, "READ", 1 << 10)
+    given = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", *tables.READS)}
+    other = tables.sized(spark, str(tmp_path), ["lineitem"])
+    assert other.conf.get("spark.sql.shuffle.partitions") == given["spark.sql.shuffle.partitions"]
+    assert [tables._bytes(other.conf.get(key)) for key in tables.READS] == [1 << 10] * 2
+    assert given == {key: spark.conf.get(key) for key in given}
+    other.conf.set(tables.READS[0], "1k")
+    other.conf.set(tables.READS[1], "100b")
+    assert tables.sized(other, str(tmp_path), ["lineitem"]) is other
+    assert [tables._bytes(x) for x in ("16m", "64MB", "134217728b", "3 GiB", "7")] == [16 << 20, 64 << 20, 128 << 20, 3 << 30, 7]
+
+
 def test_power_sums_of_two_long_sides(spark):
     m = np.random.RandomState(1).randint(-2, 3, (12, 15)).astype(float)
     s = np.linalg.svd(m, compute_uv=False)
