@@ -1,5 +1,7 @@
 """Small tensors whose results can be checked by hand or with numpy."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -280,6 +282,28 @@ def test_binary_formats(spark, toy, tmp_path):
     assert tucker.fits(toy, back.factors, back.core) == pytest.approx(tucker.fits(toy, model.factors, model.core))
 
 
+def test_factors_of_a_session_that_is_not_active(spark, tmp_path):
+    """A query's own session has the source, and the thread may have another session, or none."""
+    other, found = spark.newSession(), {}
+
+    def run(name, active):
+        if active is not None:
+            active.createDataFrame([(1,)], "x int")  # is the thread's active session by that
+        factor_source.write_factor(other.range(7).selectExpr("id AS x", "2D * id AS u0"), str(tmp_path / name), rows=2)
+        back = factor_source.read_factor(other, str(tmp_path / name))
+        assert back.rdd.getNumPartitions() == 1
+        sessions = getattr(spark._jvm, "org.apache.spark.sql.SparkSession")
+        found[name] = sorted((r["idx"], r["row"]) for r in back.collect()), sessions.getActiveSession().isDefined()
+
+    for name, active in (("none", None), ("fresh", spark.newSession())):
+        thread = threading.Thread(target=run, args=(name, active))
+        thread.start()
+        thread.join()
+    spark.createDataFrame([(1,)], "x int")
+    rows = [(x, [2.0 * x]) for x in range(7)]
+    assert found == {"none": (rows, False), "fresh": (rows, True)}
+
+
 def test_generators(spark):
     a = generate.sparse_tensor(spark, [30, 20, 10], density=0.02, fiber_density=0.1)
     b = generate.sparse_tensor(spark, [30, 20, 10], density=0.02, fiber_density=0.1)
