@@ -304,6 +304,17 @@ def test_factors_of_a_session_that_is_not_active(spark, tmp_path):
     assert found == {"none": (rows, False), "fresh": (rows, True)}
 
 
+def test_model_files_of_a_session_that_is_not_active(spark, tmp_path):
+    other = spark.newSession()
+    factors = [fac.modular(other, d, 2, 7, 3, 11) for d in (4, 5, 3)]
+    spark.newSession().createDataFrame([(1,)], "x int")  # the active one from here on
+    factor_source.write_model_files(tucker.Tucker(factors, np.arange(8.0).reshape(2, 2, 2), [0.5]), str(tmp_path / "m"))
+    back = factor_source.read_model_files(other, str(tmp_path / "m"))
+    spark.createDataFrame([(1,)], "x int")
+    assert [sorted(f.collect()) for f in back.factors] == [sorted(f.collect()) for f in factors]
+    assert np.array_equal(back.core, np.arange(8.0).reshape(2, 2, 2)) and back.fits == [0.5]
+
+
 def test_generators(spark):
     a = generate.sparse_tensor(spark, [30, 20, 10], density=0.02, fiber_density=0.1)
     b = generate.sparse_tensor(spark, [30, 20, 10], density=0.02, fiber_density=0.1)
