@@ -1,13 +1,18 @@
 """Steps whose memory, time or shuffles once grew faster than their input."""
 
+import os
+
 import numpy as np
 
 from tensorloom.functions import factors as factor_makers
 from tensorloom.functions import runs as runs_module
 from tensorloom.functions import tables
 from tensorloom.operators import contract, coo, formats, linalg, stats, svd, tucker
+from tensorloom.plans import catalog
 from tensorloom.sources import text
 
+SMALLEST = os.environ.get("SMALLEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def _tensor(spark, n=60):
     r = np.random.RandomState(3)
@@ -87,6 +92,15 @@ def test_gram_is_summed_in_tasks(spark):
         assert np.array_equal(got, m.T @ m)
 
 
+def test_the_trace_makes_no_products(spark):
+    m = np.random.RandomState(4).randint(-1, 3, (20, 11)).astype(float)
+    got = linalg.gram_trace(_matrix(spark, m))
+    assert got.first()["trace"] == linalg.trace(linalg.gram_self_join(_matrix(spark, m))).first()["trace"] == np.trace(m.T @ m)
+    assert linalg.gram_trace(_matrix(spark, m).where("v > 9")).first()["trace"] == 0
+    plan = _plan(catalog.QUERIES["gram_trace"](spark, SMALLEST))
+    assert not any("MapInArrow" in line for line in plan)
+
+
 def test_lines_are_read_once(spark, tmp_path):
     x = _tensor(spark)
     text.write_tns(x, str(tmp_path / "t"), [9, 9, 9])
