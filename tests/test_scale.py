@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 
+from tensorloom.functions import cells
 from tensorloom.functions import factors as factor_makers
 from tensorloom.functions import runs as runs_module
 from tensorloom.functions import tables
@@ -92,6 +93,40 @@ def test_gram_is_summed_in_tasks(spark):
         assert np.array_equal(got, m.T @ m)
 
 
+def test_cells_are_packed(spark):
+    draw = np.random.RandomState(5)
+    far = 1 << 40
+    for top, parts, v in ((50, 1, [1.0, -2.0]), (1 << 20, 7, [0.1, 3.0]), (far, 3, [-0.0, np.nan]), (5, 1000, [1e300, 1.0])):
+        row, col = (np.sort(draw.randint(-2 if top == far else 0, top, 300)) for _ in range(2))
+        order = np.lexsort((col, row))
+        row, col, v = row[order], col[order], draw.choice(v, 300)
+        batch = cells.pack(row, col, v, parts)
+        back = [cells.unpack(x.as_buffer()) for x in batch.column(1)]
+        assert sum(len(x[0]) for x in back) == 300 and all(np.all(cells.part_of(x[0], x[1], parts) == p) for p, x in zip(batch.column(0).to_pylist(), back, strict=True))
+        got = [np.concatenate(x) for x in zip(*back, strict=True)]
+        order = np.lexsort((np.signbit(got[2]), np.nan_to_num(got[2], nan=7), got[1], got[0]))
+        own = np.lexsort((np.signbit(v), np.nan_to_num(v, nan=7), col, row))
+        assert all(np.array_equal(x[order], y[own], equal_nan=x.dtype == float) for x, y in zip(got, (row, col, v), strict=True))
+    assert cells.pack(*(np.zeros(0, t) for t in (np.int64, np.int64, float)), 3).num_rows == 0
+    apart = cells.summed(np.array([far, 0, far]) << 20, np.array([far, 0, far]) << 20, np.array([1.0, 2.0, 4.0]))
+    assert [x.tolist() for x in apart] == [[0, far << 20], [0, far << 20], [2.0, 5.0]]
+
+
+def test_gram_shuffles_packed_cells(spark, monkeypatch):
+    """Products of rows that share no columns are summed where their parts meet, not sorted as rows by Spark."""
+    m = np.random.RandomState(6).randint(-1, 3, (40, 18)).astype(float)
+    monkeypatch.setattr(linalg, "PART", 500)
+    for chunk in (5, 100):
+        g = linalg.gram_self_join(_matrix(spark, m), chunk, held=1)
+        plan = _plan(g)
+        assert sum("Exchange" in line and "part#" in line for line in plan) == 1 and not any("sum(v#" in line for line in plan)
+        got = np.zeros((18, 18))
+        for r in g.collect():
+            got[r["row"], r["col"]] += r["v"]
+        assert g.count() == 18 * 18 and np.array_equal(got, m.T @ m)
+    assert linalg.gram_self_join(_matrix(spark, m).where("v > 9")).collect() == []
+
+
 def test_the_trace_makes_no_products(spark):
     m = np.random.RandomState(4).randint(-1, 3, (20, 11)).astype(float)
     got = linalg.gram_trace(_matrix(spark, m))
