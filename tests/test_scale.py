@@ -127,6 +127,30 @@ def test_gram_shuffles_packed_cells(spark, monkeypatch):
     assert linalg.gram_self_join(_matrix(spark, m).where("v > 9")).collect() == []
 
 
+def test_a_matrix_is_made_once_to_be_written(spark, tmp_path):
+    """Its entries and sizes are told by the pass that writes it; shuffle files go with that."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    for name, m, sizes in (("some", [(2, 0, 1.5), (2, 2, -1.0), (4, 1, 0.0)], (5, 5, 3)), ("none", [], (0, 0, 0))):
+        table = spark.createDataFrame(m, "row long, col long, v double").mapInArrow(seen, "row long, col long, v double")
+        before = made.value
+        text.write_mtx(table, str(tmp_path / name), symmetric=True, compression="gzip")
+        assert made.value - before == len(m)
+        assert all(p.name.endswith(".txt.gz") for p in (tmp_path / name).glob("part-*"))
+        back, found = text.read_mtx(spark, str(tmp_path / name))
+        assert found == sizes and sorted(back.collect()) == sorted({*m, *((c, r, v) for r, c, v in m)})
+    given = tmp_path / "given"
+    text.write_mtx(spark.createDataFrame([(0, 1, 2.0)], "row long, col long, v double"), str(given), 3, 4)
+    assert text.read_mtx(spark, str(given))[1] == (3, 4, 1)
+    catalog.QUERIES["mtx_symmetric"](spark, SMALLEST)
+    assert not [p for p in os.listdir(tables.shared_dir(spark).removeprefix("file:")) if p.startswith("gram-") and not p.startswith("gram-entries")]
+
+
 def test_the_trace_makes_no_products(spark):
     m = np.random.RandomState(4).randint(-1, 3, (20, 11)).astype(float)
     got = linalg.gram_trace(_matrix(spark, m))
