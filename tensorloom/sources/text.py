@@ -9,10 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.blocks import tree_arrays, tree_to_coo
 from tensorloom.functions.runs import running
 from tensorloom.functions.tables import cleaning, ordinals, written
-from tensorloom.operators.coo import delinearise, linearise, modes
-from tensorloom.operators.formats import csf, csf_pointers
+from tensorloom.operators.coo import canonical, delinearise, linearise, modes
 
 #: The folder beside the parts of a text that has its header; Spark's readers pass over it.
 HEADER = "_header"
@@ -157,19 +157,15 @@ def csf_lines(x: DataFrame, dims: Sequence[int], order: Sequence[int] | None = N
     An array is a line `label: numbers`; what passes `size` numbers goes on in lines `label[begin]:`,
     so that no cell holds a level.
     """
-    levels, spark = csf(x), x.sparkSession
+    spark = x.sparkSession
     head = [f"# Tensor order: {len(dims)}", "# Mode ordering: " + " ".join(map(str, order or range(len(dims)))), "# Dimensions: " + " ".join(map(str, dims))]
-
-    def lines(df: DataFrame, col: str, n: int, label: str) -> DataFrame:
-        begin = F.floor(F.col("pos") / size) * size
-        numbers = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(col).alias("x")))), lambda s: s["x"].cast("string")), " ")
-        name = F.when(F.col("begin") == 0, label + ": ").otherwise(F.concat(F.lit(f"{label}["), F.col("begin"), F.lit("]: ")))
-        return df.groupBy(begin.alias("begin")).agg(numbers.alias("numbers")).select(F.lit(n).alias("n"), "begin", F.concat(name, "numbers").alias("value"))
-
-    out = spark.createDataFrame([(n, 0, line) for n, line in enumerate(head)], "n int, begin long, value string")
-    for k, level in enumerate(levels):
-        out = out.unionByName(lines(csf_pointers(levels, k), "ptr", 10 + 2 * k, f"mode_{k}_ptr")).unionByName(lines(level, "idx", 11 + 2 * k, f"mode_{k}_idx"))
-    return out.unionByName(lines(levels[-1], "v", 1000, "values"))
+    x, level = canonical(x), F.floor((F.col("n") - 10) / 2)
+    kind = x.schema["v"].dataType
+    numbers = lambda name, kind: F.array_join(F.transform(name, lambda c: c.cast(kind).cast("string")), " ")
+    label = F.when(F.col("n") == 1000, "values").otherwise(F.concat(F.lit("mode_"), level, F.when(F.col("n") % 2 == 0, "_ptr").otherwise("_idx")))
+    begun = F.when(F.col("begin") == 0, ": ").otherwise(F.concat(F.lit("["), F.col("begin"), F.lit("]: ")))
+    body = tree_arrays(x, size).select("n", "begin", F.concat(label, begun, F.when(F.col("n") == 1000, numbers("real", kind)).otherwise(numbers("whole", "long"))).alias("value"))
+    return spark.createDataFrame([(n, 0, line) for n, line in enumerate(head)], "n int, begin long, value string").unionByName(body)
 
 
 def parse_csf(lines: DataFrame) -> DataFrame:
@@ -196,20 +192,8 @@ def parse_positional_csf(lines: DataFrame, order: int = 3) -> DataFrame:
 
 
 def csf_to_coo(arrays: DataFrame, order: int) -> DataFrame:
-    """The tensor of parse_csf()'s arrays."""
-    from tensorloom.operators.formats import from_csf
-
-    pick = lambda level, kind: arrays.where((F.col("level") == level) & (F.col("kind") == kind)).select("pos", F.col("val"))
-    levels = []
-    for k in range(order):
-        idx = pick(k, "idx").select("pos", F.col("val").cast("long").alias("idx"))
-        if k < order - 1:
-            begin = pick(k + 1, "ptr").select("pos", F.col("val").cast("long").alias("ptr_begin"))
-            end = pick(k + 1, "ptr").select((F.col("pos") - 1).alias("pos"), F.col("val").cast("long").alias("ptr_end"))
-            levels.append(idx.join(begin, "pos").join(end, "pos"))
-        else:
-            levels.append(idx.join(pick(-1, "values").withColumnRenamed("val", "v"), "pos"))
-    return from_csf(levels)
+    """The tensor of parse_csf()'s arrays, from one pass over them (see functions/blocks.py)."""
+    return tree_to_coo(arrays, order)
 
 
 def parse_dense(lines: DataFrame, cols: int | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tensorloom.functions import cells
+from tensorloom.functions import blocks, cells
 from tensorloom.functions import factors as factor_makers
 from tensorloom.functions import runs as runs_module
 from tensorloom.functions import tables
@@ -183,6 +184,26 @@ def test_labels_and_tokens_are_cut_once_a_line(spark, tmp_path):
     assert sorted(text.csf_to_coo(arrays, 3).collect()) == sorted(x.collect())
 
 
+def test_trees_are_shuffled_packed(spark):
+    """Blocks of 4 places: nodes with more children than a block, and arrays that lack a number."""
+    x = spark.createDataFrame([(i, j, k, i - j / 8) for i, j, k in ((0, 0, 0), (0, 3, 1), *((2, 5, k) for k in range(19)), (2, 6, 0), (1 << 40, 0, 7))], "i0 long, i1 long, i2 long, v double")
+    arrays = text.parse_csf(text.csf_lines(x, [1 << 41, 7, 19], size=4).select("value"))
+    back = blocks.tree_to_coo(arrays, 3, size=4)
+    assert back.columns == x.columns and sorted(back.collect()) == sorted(x.collect())
+    for plan in (_plan(back), _plan(text.csf_lines(x, [1 << 41, 7, 19], size=4))):
+        assert not any(word in line for line in plan for word in ("SortMergeJoin", "collect_list"))
+    without = arrays.where("NOT (level = 1 AND kind = 'idx' AND pos = 2)")
+    assert sorted(blocks.tree_to_coo(without, 3, size=4).collect()) == sorted(r for r in x.collect() if r[:2] != (2, 5))
+    assert blocks.tree_to_coo(arrays.where("level > 9"), 3).collect() == []
+    values = text.csf_lines(x.where("i0 > 9").withColumn("v", F.lit(12).cast("long")), [1, 1, 1]).where("n >= 10").collect()
+    assert {r["value"] for r in values} == {"mode_0_ptr: 0 1", "mode_0_idx: 1099511627776", "mode_1_ptr: 0 1", "mode_1_idx: 0", "mode_2_ptr: 0 1", "mode_2_idx: 7", "values: 12"}
+    assert [r["value"] for r in text.csf_lines(x.where("i0 < 0"), [0, 0, 0]).where("n >= 10").collect()] == ["mode_0_ptr: 0 0"]
+    for numbers in (np.array([3, -5, 1 << 62, 0]), np.array([0.1, -0.0, np.nan, np.inf]), np.array([1.0, 7.0, -4.0]), np.array([-0.0, 1.0]), np.zeros(0)):
+        for differences in (True, False):
+            got = blocks.release(blocks.press(numbers, differences))
+            assert got.dtype == numbers.dtype and got.tobytes() == numbers.tobytes()
+
+
 def _shuffled(df):
     """What the exchanges of a plan are by, before it runs."""
     plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
